@@ -214,7 +214,7 @@ def pack(pieces: DataFrame, capacity: int, key: list[str], rounds: int = ROUNDS,
         groups = -(-rest // group)
         last = r == rounds or groups == 1
 
-        def pack_group(k, rows: pd.DataFrame, r=r, last=last) -> pd.DataFrame:
+        def pack_group(k, rows: pd.DataFrame) -> pd.DataFrame:  # runs before r and last change: each round is written
             g = int(k[0])
             lengths = rows["length"].to_numpy(np.int64)
             bins, offsets, free = best_fit_decreasing(lengths, capacity)
