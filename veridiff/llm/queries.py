@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,28 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
+#: Shingle sets, links by counting shared shingles, and the smallest id reachable.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n_shingles FROM s),
+u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n_shingles + q.n_shingles - k)),
+r(node, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.reach)
+SELECT n.doc_id, n.n_shingles, min(reach) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import best_fit_packing
 
@@ -47,5 +69,15 @@ g AS (SELECT text_sha256, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, coun
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_token_counts, op7_sentencepiece, op8_exact_dedup)}
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import crc32_utf8
+    from .toxicity import learn_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, learn_toxicity(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(F.pmod(crc32_utf8(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_token_counts, op7_sentencepiece, op8_exact_dedup, op10_toxicity)}
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op8_exact_dedup": OP8_SQL}
