@@ -51,6 +51,47 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotations import link_quotations
+
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id AS conv, turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS lines FROM conversations),
+l AS (SELECT conv, turn, unnest(lines) AS line FROM m WHERE conv IS NOT NULL AND turn IS NOT NULL),
+p AS (SELECT conv, turn, len(translate(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+'), ' ' || chr(9), '')) AS level,
+    trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '')), '[\s\x{A0}]+', ' ', 'g')) AS body FROM l),
+q AS (SELECT conv, turn, body, min(level) AS level, count(*) AS n FROM p WHERE level > 0 AND body <> '' GROUP BY ALL),
+o AS (SELECT DISTINCT conv, turn AS parent, body FROM p WHERE level = 0 AND body <> ''),
+v AS (SELECT q.conv, q.turn, o.parent, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS direct, sum(n) AS linked
+    FROM q JOIN o ON q.conv = o.conv AND q.body = o.body AND o.parent < q.turn GROUP BY ALL),
+b AS (SELECT conv, turn, parent, linked FROM v QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY direct DESC, linked DESC, parent DESC) = 1),
+t(conv, turn, root, depth) AS (SELECT conv, turn, parent, 1 FROM b UNION ALL SELECT t.conv, t.turn, b.parent, t.depth + 1 FROM t JOIN b ON b.conv = t.conv AND b.turn = t.root),
+d AS (SELECT conv, turn, root, depth FROM t QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY depth DESC) = 1),
+k AS (SELECT conv, turn, role, lines, list_transform(lines, lambda x: regexp_matches(x, '^[ \t]*(?:>[ \t]*)+')) AS quoted FROM m)
+SELECT k.conv AS conv_id, k.turn, k.role, b.parent AS parent_turn, coalesce(d.root, k.turn) AS root_turn, coalesce(d.depth, 0)::INTEGER AS depth,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*(?:>[ \t]*)+') AND trim(regexp_replace(x, '^[ \t]*(?:>[ \t]*)+', '')) <> ''))::INTEGER AS n_quoted,
+  coalesce(b.linked, 0)::BIGINT AS n_linked,
+  lpad(coalesce(d.root, k.turn)::VARCHAR, 12, '0') || '/' || lpad(k.turn::VARCHAR, 12, '0') AS order_key,
+  regexp_replace(regexp_replace(array_to_string(list_filter(lines, lambda x, i: NOT (quoted[i] OR (regexp_matches(x, '(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$') AND coalesce(quoted[i + 1], false)))), chr(10)),
+    '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text
+FROM k LEFT JOIN b ON b.conv = k.conv AND b.turn = k.turn LEFT JOIN d ON d.conv = k.conv AND d.turn = k.turn
+"""
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepieces import encode
 
@@ -69,6 +110,44 @@ g AS (SELECT text_sha256, first(doc_id ORDER BY n DESC, doc_id) AS keep_id, coun
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures of the day page_id names, against a dated list made from their own hosts.
+
+    No public list is at hand and pages carry no fetch time, so both follow from the rows by plain rules: a capture is
+    fetched on day page_id mod 365 of 2024; hosts whose length leaves 0 by 3 are listed from day 7 x length mod 200 on, those
+    of even length for 60 days only; gambling hosts are listed by parent domain for the first half of the year."""
+    from .url_filters import host_of, judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id % 365 as int))").alias("fetched"))
+    hosts = pages.select(host_of(F.col("url")).alias("key")).where("key <> ''").distinct()
+    listed = hosts.where("length(key) % 3 = 0").withColumn("day", F.expr("date_add(date'2024-01-01', (7 * length(key)) % 200)"))
+    added = listed.select("key", F.lit("dated").alias("category"), "day", F.lit("add").alias("action"))
+    gone = listed.where("length(key) % 2 = 0").select("key", F.lit("dated").alias("category"), F.date_add("day", 60).alias("day"), F.lit("remove").alias("action"))
+    bets = hosts.where("key like '%bets%'").select(F.expr("regexp_extract(key, '([^.]+[.][^.]+[.][^.]+)$', 1)").alias("key")).where("key <> ''").distinct()
+    bets = bets.select("key", F.lit("gambling").alias("category"), F.explode(F.expr("array(named_struct('d', date'2024-01-01', 'a', 'add'), named_struct('d', date'2024-07-01', 'a', 'remove'))")).alias("e")).select("key", "category", "e.d", "e.a").toDF("key", "category", "day", "action")
+    out = judge(pages, added.unionByName(gone).unionByName(bets))
+    return out.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "blocked", "n_entries", F.array_join("categories", ",").alias("categories"))
+
+
+OP9_SQL = r"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 365)::INTEGER AS fetched,
+    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*[^/:?#.])', 1) AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS seg FROM pages),
+h AS (SELECT DISTINCT host AS key FROM c WHERE host <> ''),
+b AS (SELECT DISTINCT regexp_extract(key, '([^.]+[.][^.]+[.][^.]+)$', 1) AS key FROM h WHERE key LIKE '%bets%'),
+i AS (SELECT key, 'dated' AS category, DATE '2024-01-01' + ((7 * length(key)) % 200)::INTEGER AS f,
+    CASE WHEN length(key) % 2 = 0 THEN DATE '2024-01-01' + ((7 * length(key)) % 200 + 60)::INTEGER END AS t FROM h WHERE length(key) % 3 = 0
+  UNION ALL SELECT key, 'gambling', DATE '2024-01-01', DATE '2024-07-01' FROM b WHERE key <> ''),
+k AS (SELECT page_id, fetched, unnest(list_distinct(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda j: array_to_string(string_split(host, '.')[j:], '.')),
+    list_transform(range(1, len(seg) + 1), lambda j: host || '/' || array_to_string(seg[1:j], '/'))))) AS key FROM c WHERE host <> ''),
+m AS (SELECT page_id, count(*) AS n_entries, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories
+  FROM k JOIN i USING (key) WHERE f <= fetched AND (t IS NULL OR fetched < t) GROUP BY page_id)
+SELECT page_id, url, fetched::DATE::VARCHAR AS fetched, n_entries IS NOT NULL AS blocked, coalesce(n_entries, 0) AS n_entries, coalesce(categories, '') AS categories
+FROM c LEFT JOIN m USING (page_id)
+"""
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import crc32_utf8
     from .toxicity import learn_toxicity, score_toxicity
@@ -79,5 +158,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_token_counts, op7_sentencepiece, op8_exact_dedup, op10_toxicity)}
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_best_fit_packing,
+        op3_token_counts,
+        op4_nearest_neighbours,
+        op5_quotation_linking,
+        op6_html_extraction,
+        op7_sentencepiece,
+        op8_exact_dedup,
+        op9_url_filters,
+        op10_toxicity,
+    )
+}
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_quotation_linking": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
