@@ -1 +1,95 @@
+"""Alignment comparison over the line-item pair."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..fixtures import load
+from ..operators import alignments as A
+from ..strategies import bam as S
+from .registry import query, rounded
+
+PAIR = ("sam_ref", "sam_cand")
+P = "(flag & 2304) = 0"
+KINDS = {
+    "total": "true", "primary": P, "secondary": "(flag & 256) <> 0", "supplementary": "(flag & 2048) <> 0 AND (flag & 256) = 0", "duplicates": "(flag & 1024) <> 0", "primary_duplicates": f"(flag & 1024) <> 0 AND {P}",
+    "mapped": "(flag & 4) = 0", "primary_mapped": f"(flag & 4) = 0 AND {P}", "paired": f"{P} AND (flag & 1) <> 0", "read1": f"{P} AND (flag & 1) <> 0 AND (flag & 64) <> 0", "read2": f"{P} AND (flag & 1) <> 0 AND (flag & 128) <> 0",
+    "properly_paired": f"{P} AND (flag & 1) <> 0 AND (flag & 2) <> 0 AND (flag & 4) = 0", "both_reads_mapped": f"{P} AND (flag & 1) <> 0 AND (flag & 4) = 0 AND (flag & 8) = 0", "singletons": f"{P} AND (flag & 1) <> 0 AND (flag & 4) = 0 AND (flag & 8) <> 0",
+}
+
+
+def _flagstat(table: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS category, sum(({c} AND (flag & 512) = 0)::INT)::BIGINT AS pass, sum(({c} AND (flag & 512) <> 0)::INT)::BIGINT AS fail FROM {table}" for k, c in KINDS.items())
+
+
+def _pair(spark, sf_dir):
+    return load(spark, sf_dir, *PAIR)
+
+
+@query(f", f AS ({_flagstat('sam_ref')}) SELECT category, pass, fail, round(pass / nullif(pass + fail, 0), 6) AS ratio FROM f", ("sam_ref",))
+def bam_flagstat(spark, sf_dir):
+    return rounded(A.flagstat(load(spark, sf_dir, "sam_ref")))
+
+
+@query(" SELECT count(*) AS n FROM sam_ref WHERE (flag & 2304) = 0", ("sam_ref",))
+def bam_primary_count(spark, sf_dir):
+    return A.primary_count(load(spark, sf_dir, "sam_ref"))
+
+
+@query(' SELECT min(mapq) AS "min", quantile_disc(mapq, 0.25) AS q25, quantile_disc(mapq, 0.5) AS median, quantile_disc(mapq, 0.75) AS q75, max(mapq) AS "max", round(avg(mapq), 6) AS average FROM sam_ref', ("sam_ref",))
+def bam_mapq_stats(spark, sf_dir):
+    return rounded(A.mapq_stats(load(spark, sf_dir, "sam_ref")))
+
+
+@query(", d AS (SELECT rname AS chrom, unnest(range(pos + 1, pos + len + 1)) AS p FROM sam_ref WHERE (flag & 1796) = 0), e AS (SELECT chrom, p, count(*) AS depth FROM d GROUP BY ALL) SELECT chrom, count(*) AS positions, sum(depth)::BIGINT AS bases, max(depth) AS deepest FROM e GROUP BY chrom", ("sam_ref",))
+def bam_depth(spark, sf_dir):
+    return A.depth(load(spark, sf_dir, "sam_ref")).groupBy("chrom").agg(F.count("*").alias("positions"), F.sum("depth").alias("bases"), F.max("depth").alias("deepest"))
+
+
+@query(
+    f", f AS ({_flagstat('sam_ref')}), g AS ({_flagstat('sam_cand')}) SELECT NULL::DOUBLE AS similarity, (SELECT round(avg(abs(f.pass - g.pass)), 6) FROM f JOIN g USING (category)) AS flagstat_difference, (SELECT count(*) FROM sam_ref) AS n_ref, (SELECT count(*) FROM sam_cand) AS n_cand, (SELECT count(*) FROM sam_ref JOIN sam_cand USING (qname, is_read2, flag, rname, pos, mapq, len, ord)) AS n_same",
+    PAIR,
+)
+def bam_exact(spark, sf_dir):
+    return rounded(S.exact(*_pair(spark, sf_dir)))
+
+
+@query(
+    """, a AS (SELECT * FROM sam_ref WHERE (flag & 2304) = 0 AND mapq >= 20), b AS (SELECT * FROM sam_cand WHERE (flag & 2304) = 0 AND mapq >= 20),
+    j AS (SELECT CASE WHEN (a.flag & 4) <> 0 AND (b.flag & 4) <> 0 THEN 1 WHEN (a.flag & 4) <> 0 OR (b.flag & 4) <> 0 THEN 0 WHEN a.rname = b.rname AND greatest(0, least(a.pos + a.len, b.pos + b.len) - greatest(a.pos, b.pos)) / a.len >= 0.95 THEN 1 ELSE 0 END AS ok FROM a JOIN b USING (qname, is_read2)),
+    n AS (SELECT (SELECT count(*) FROM a) AS n_ref, (SELECT count(*) FROM b) AS n_cand, (SELECT count(*) FROM j) AS n_joined, (SELECT sum(ok) FROM j)::BIGINT AS n_concordant) SELECT round(n_concordant / (n_ref + n_cand - n_concordant), 6) AS similarity, * FROM n""",
+    PAIR,
+)
+def bam_approx(spark, sf_dir):
+    return rounded(S.approximate(*_pair(spark, sf_dir)))
+
+
+@query(
+    f""", f AS ({_flagstat('sam_ref')}), g AS ({_flagstat('sam_cand')}), e AS (SELECT sum(least(1, CASE WHEN f.pass = 0 AND g.pass = 0 THEN 0 WHEN f.pass = 0 THEN 1 ELSE abs(f.pass - g.pass) / f.pass END)) AS s, count(*) AS k FROM f JOIN g USING (category)),
+    m AS (SELECT mapq, sum(p) AS p, sum(q) AS q FROM (SELECT mapq, 1 AS p, 0 AS q FROM sam_ref UNION ALL SELECT mapq, 0, 1 FROM sam_cand) GROUP BY mapq), h AS (SELECT sqrt(sum(pow(sqrt(p / (SELECT sum(p) FROM m)) - sqrt(q / (SELECT sum(q) FROM m)), 2)) / 2) AS d FROM m)
+    SELECT round(1 - (s + d) / (k + 1), 6) AS similarity, round(d, 6) AS mapq_distance FROM e, h""",
+    PAIR,
+)
+def bam_summary(spark, sf_dir):
+    return rounded(S.summary(*_pair(spark, sf_dir)))
+
+
+@query(
+    """, j AS (SELECT coalesce(a.depth, 0) AS x, coalesce(b.depth, 0) AS y FROM signal_ref a FULL JOIN signal_cand b USING (chrom, pos))
+    SELECT round(avg(CASE WHEN x = 0 AND y = 0 THEN NULL ELSE least(x, y) / greatest(x, y) END), 6) AS similarity, count(*) AS n_positions, sum((x = 0 AND y = 0)::INT)::BIGINT AS n_depth0, round(avg(x), 6) AS ref_average, round(avg(y), 6) AS cand_average FROM j""",
+    ("signal_ref", "signal_cand"),
+)
+def bam_coverage(spark, sf_dir):
+    return rounded(S.coverage(*load(spark, sf_dir, "signal_ref", "signal_cand")))
+
+
+@query(
+    """, c AS (SELECT l_orderkey AS k, l_linenumber AS line, l_linenumber || 'S' || (40 + l_linenumber) || 'M2D' || '3I' || l_linenumber || 'H' AS cigar FROM lineitem)
+    SELECT line, count(*) AS n, sum(line + 40 + line + 3)::BIGINT AS bases, sum(line * 4 + 3)::BIGINT AS codes FROM c GROUP BY line""".replace(", c AS", "WITH c AS", 1)
+)
+def bam_cigar_expand(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber")
+    n = F.col("l_linenumber").cast("string")
+    cigar = F.concat(n, F.lit("S"), (F.col("l_linenumber") + 40).cast("string"), F.lit("M2D3I"), n, F.lit("H"))
+    e = A.expand_cigar(cigar)
+    return t.select(F.col("l_linenumber").alias("line"), F.size(e).alias("b"), F.aggregate(e, F.lit(0), lambda s, x: s + x.cast("int")).alias("c")).groupBy("line").agg(F.count("*").alias("n"), F.sum("b").alias("bases"), F.sum("c").alias("codes"))
