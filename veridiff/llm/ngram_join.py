@@ -3,8 +3,10 @@
 A document's set is its distinct 5-word shingles (fewer words: the whole sequence as one; none: empty, linked with nothing),
 held as 64-bit hashes.  Two documents link when |A and B| / |A or B| >= threshold.
 
-*Count vectors.*  Shingles fall into ``GROUPS`` groups by hash; the group counts of a set are a point.  The sum over
-coordinates of the smaller count bounds the overlap of two sets, and J >= t needs an overlap of t/(1+t) of both sizes.
+*Count vectors.*  Shingles fall into groups by hash; the group counts of a set are a point.  The sum over coordinates of the
+smaller count bounds the overlap of two sets, and J >= t needs an overlap of t/(1+t) of both sizes.  A set of n shingles has
+``GROUPS`` groups, doubled until a group holds about ``FILL`` of them, for the bound of unrelated sets nears their size as
+groups fill up; the groups of a finer vector nest in those of a coarser one, so two vectors compare on the coarser.
 :class:`CountTree` is an R-tree of such points, packed by size; a node holds the largest count of each coordinate and the
 smallest size below it, so the same sum bounds the overlap with everything in the node.
 
@@ -40,16 +42,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import connected_components, settle
+from .common import connected_components, regrouped, settle, small_batches, tidy
 
 WORDS = 5
 GROUPS = 64
-HEAVY = 1 << 16
-LOCAL = 4
+FILL = 3
+BOX_FILL = 12
+HEAVY = 1 << 20
+LOCAL = 2
 CELL = 32
+BLOCK_ROWS = 1024
 FAN = 32
 BITS = 1 << 23
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 # -- shingles ------------------------------------------------------------------------------------------------------------
 
@@ -127,7 +132,34 @@ def _block_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.intp), minlength=GROUPS).astype(np.uint32)
+    """Group counts of a set; their number is a power of two that grows with the set."""
+    groups = groups_for(len(s), FILL)
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.intp), minlength=groups).astype(np.uint32)
+
+
+def groups_for(n: int, fill: int) -> int:
+    """The smallest power of two, at least ``GROUPS``, whose groups hold at most ``fill`` of n shingles on average."""
+    return max(GROUPS, 1 << (-(-n // fill) - 1).bit_length()) if n > fill else GROUPS
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Counts as 16-bit numbers: hashed groups of a few shingles never come near that limit, and the test makes sure."""
+    if v.max(initial=0) > 65535:
+        raise OverflowError("a group of more than 65535 shingles")
+    return v.astype("<u2").tobytes()
+
+
+def unpacked(b) -> np.ndarray:
+    return np.frombuffer(b, "<u2").astype(np.uint32)
+
+
+def fold(v: np.ndarray, groups: int) -> np.ndarray:
+    return v.reshape(groups, -1).sum(1, dtype=np.uint32) if len(v) > groups else v
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    return int(np.minimum(fold(a, n), fold(b, n)).sum(dtype=np.int64))
 
 
 class Jaccard:
@@ -157,33 +189,37 @@ class Jaccard:
 
 
 class CountTree:
-    """R-tree over count vectors: points sorted by size, then by their heaviest coordinate; leaves of ``FAN`` points."""
+    """R-tree over count vectors of sets, or of boxes of sets with sizes from ``least`` to ``most``.
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, rule: Jaccard):
+    Entries are sorted by size, then by their heaviest coordinate; leaves have ``FAN`` entries.
+    """
+
+    def __init__(self, vectors: np.ndarray, least: np.ndarray, most: np.ndarray, rule: Jaccard):
         self.rule = rule
-        slab = np.log2(np.maximum(sizes, 1)) * 8
-        self.order = np.lexsort((sizes, vectors.argmax(1), slab.astype(int)))
-        self.points, self.sizes = vectors[self.order], sizes[self.order]
-        cuts = np.arange(0, len(sizes), FAN)
-        self.cuts = np.append(cuts, len(sizes))
-        self.top = np.maximum.reduceat(self.points, cuts, 0) if len(sizes) else self.points
-        self.least = np.minimum.reduceat(self.sizes, cuts) if len(sizes) else self.sizes
-        self.most = np.maximum.reduceat(self.sizes, cuts) if len(sizes) else self.sizes
-
-    def search(self, vector: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(points that may link, their overlap bounds), best bound first."""
+        slab = np.log2(np.maximum(least, 1)) * 8
+        self.order = np.lexsort((least, vectors.argmax(1), slab.astype(int))) if len(least) else np.zeros(0, int)
+        self.points, self.least, self.most = vectors[self.order], least[self.order], most[self.order]
+        cuts = np.arange(0, len(least), FAN)
+        self.cuts = np.append(cuts, len(least))
+        if len(least):
+            self.top = np.maximum.reduceat(self.points, cuts, 0)
+            self.top_least, self.top_most = np.minimum.reduceat(self.least, cuts), np.maximum.reduceat(self.most, cuts)
+
+    def search(self, vector: np.ndarray, least: int, most: int) -> np.ndarray:
+        """Entries that may hold a set linked with one of the given box, best bound first."""
         r = self.rule
-        nodes = np.flatnonzero((r.den * self.most >= r.num * size) & (r.num * self.least <= r.den * size))
+        if not len(self.order):
+            return self.order
+        nodes = np.flatnonzero((r.den * self.top_most >= r.num * least) & (r.num * self.top_least <= r.den * most))
         if len(nodes):
-            nodes = nodes[r.enough(np.minimum(self.top[nodes], vector).sum(1, dtype=np.int64), self.least[nodes] + size)]
+            nodes = nodes[r.enough(np.minimum(self.top[nodes], vector).sum(1, dtype=np.int64), self.top_least[nodes] + least)]
         if not len(nodes):
-            return nodes, nodes
+            return nodes
         rows = np.concatenate([np.arange(self.cuts[k], self.cuts[k + 1]) for k in nodes.tolist()])
         bound = np.minimum(self.points[rows], vector).sum(1, dtype=np.int64)
-        ok = r.enough(bound, self.sizes[rows] + size)
+        ok = r.enough(bound, self.least[rows] + least) & (r.den * self.most[rows] >= r.num * least) & (r.num * self.least[rows] <= r.den * most)
         rows, bound = rows[ok], bound[ok]
-        best = np.argsort(-bound, kind="stable")
-        return self.order[rows[best]], bound[best]
+        return self.order[rows[np.argsort(-bound, kind="stable")]]
 
 
 class Sets:
@@ -203,15 +239,20 @@ class Sets:
         self.up[max(i, j)] = min(i, j)
 
 
-def local_components(sets: list[np.ndarray], vectors: np.ndarray, rule: Jaccard) -> Sets:
+def local_components(sets: list[np.ndarray], vectors: list[np.ndarray], rule: Jaccard) -> Sets:
     """Self-join of distinct non-empty sets; pairs that are connected already are not compared."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    tree, joined = CountTree(vectors, sizes, rule), Sets(len(sets))
+    coarse = np.array([fold(v, GROUPS) for v in vectors], np.uint32).reshape(-1, GROUPS)
+    tree, joined = CountTree(coarse, sizes, sizes, rule), Sets(len(sets))
     for i in range(len(sets)):
-        found, _ = tree.search(vectors[i], int(sizes[i]))
+        found = tree.search(coarse[i], int(sizes[i]), int(sizes[i]))
         if len(found) > 1:
             for j in found.tolist():
-                if j != i and joined.root(i) != joined.root(j) and rule.links(sets[i], sets[j]):
+                if j == i or joined.root(i) == joined.root(j):
+                    continue
+                if min(len(vectors[i]), len(vectors[j])) > GROUPS and not rule.enough(overlap_bound(vectors[i], vectors[j]), int(sizes[i] + sizes[j])):
+                    continue
+                if rule.links(sets[i], sets[j]):
                     joined.join(i, j)
     return joined
 
@@ -223,14 +264,14 @@ def _heavy(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their counts, by shingle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in regrouped(batches):
             sets = shingle_sets([t.as_buffer().to_pybytes() for t in b.column(0)])
             if sets:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
                 h, n = h[n >= LOCAL], n[n >= LOCAL]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    top = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).toArrow()
+    top = texts.mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -244,7 +285,7 @@ def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
-        for b in batches:
+        for b in regrouped(batches):
             ids = b.column(0).to_pylist()
             sets = shingle_sets([t.as_buffer().to_pybytes() for t in b.column(1)])
             first: dict[bytes, int] = {}
@@ -262,7 +303,7 @@ def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
                 names[k] = min(names[k], key)
                 kind[i] = k
             digests = list(first)
-            vectors = np.array([count_vector(s) for s in distinct]).reshape(-1, GROUPS).astype(np.uint32)
+            vectors = [count_vector(s) for s in distinct]
             joined = local_components(distinct, vectors, rule)
             roots = [joined.root(k) for k in range(len(distinct))]
             name: dict[int, int] = {}
@@ -284,7 +325,8 @@ def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
                     if len(ks) > 1:
                         seen.update(p)
                 sizes = [len(distinct[k]) for k in ks]
-                box[r] = vectors[ks].max(0).tobytes(), min(sizes), max(sizes)
+                least = groups_for(min(sizes), BOX_FILL)
+                box[r] = packed(np.maximum.reduce([fold(vectors[k], least) for k in ks])), min(sizes), max(sizes)
             done: set[int] = set()
             boxed: set[int] = set()
             cols: list[list] = [[] for _ in range(10)]
@@ -296,7 +338,7 @@ def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
                     row[2] = name[r]
                     if k not in done and key == names[k]:
                         done.add(k)
-                        row[3:7] = True, vectors[k].tobytes(), digests[k], routes[k]
+                        row[3:7] = True, packed(vectors[k]), digests[k], routes[k]
                         if key == name[r] and r not in boxed:
                             boxed.add(r)
                             row[7:] = box[r]
@@ -305,7 +347,7 @@ def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in schema.split(", ")])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,13 +388,57 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["kind", "a", "b"])
 
 
+def _block_join(rule: Jaccard):
+    """Pairs of boxes of two blocks of a large cell that lie in different components and may link."""
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("node")
+        boxes = [unpacked(x) for x in rows["box"]]
+        coarse = np.array([fold(v, GROUPS) for v in boxes], np.uint32).reshape(-1, GROUPS)
+        least, most = rows["least"].to_numpy(np.int64), rows["most"].to_numpy(np.int64)
+        comp, block, node = rows["comp"].to_numpy(), rows["block"].to_numpy(), rows["node"].to_numpy()
+        tree = CountTree(coarse, least, most, rule)
+        a, b = [], []
+        for i in range(len(rows)):
+            for j in tree.search(coarse[i], int(least[i]), int(most[i])).tolist():
+                if node[i] < node[j] and comp[i] != comp[j] and (key[1] == key[2] or block[i] != block[j]):
+                    if min(len(boxes[i]), len(boxes[j])) == GROUPS or rule.enough(overlap_bound(boxes[i], boxes[j]), int(least[i] + least[j])):
+                        a.append(node[i])
+                        b.append(node[j])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def _member_pairs(rule: Jaccard):
+    """Pairs of members of two nodes that may link, by size and by the bound of their own points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[int]] = [[], [], [], []]
+            for a, c, ma, mc in zip(*(col.to_pylist() for col in b.columns)):
+                for i in ma:
+                    for j in mc:
+                        if rule.den * i["n"] >= rule.num * j["n"] and rule.den * j["n"] >= rule.num * i["n"]:
+                            if rule.enough(overlap_bound(unpacked(i["vec"]), unpacked(j["vec"])), i["n"] + j["n"]):
+                                for col, x in zip(out, (a, c, i["x"], j["x"])):
+                                    col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(col, pa.int64()) for col in out], ["a", "b", "x", "y"])
+
+    return run
+
+
 def _may_link(left: str, right: str, rule: Jaccard):
     """Condition: the points or boxes in two columns, of sets of sizes at least nl and nr, allow enough overlap."""
     @pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint32).reshape(-1, GROUPS)
-        y = np.frombuffer(b"".join(b), np.uint32).reshape(-1, GROUPS)
-        return pd.Series(rule.enough(np.minimum(x, y).sum(1, dtype=np.int64), n.to_numpy()))
+        small = ((a.str.len() == 2 * GROUPS) & (b.str.len() == 2 * GROUPS)).to_numpy(bool)
+        bound = np.zeros(len(a), np.int64)
+        x, y = (unpacked(b"".join(v[small])).reshape(-1, GROUPS) for v in (a, b))
+        bound[small] = np.minimum(x, y).sum(1, dtype=np.int64)
+        for i in np.flatnonzero(~small).tolist():
+            bound[i] = overlap_bound(unpacked(a.iat[i]), unpacked(b.iat[i]))
+        return pd.Series(rule.enough(bound, n.to_numpy()))
 
     return lambda sizes: check(F.col(left), F.col(right), sizes)
 
@@ -374,7 +460,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = shingle_sets([t.as_buffer().to_pybytes() for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
-    return rows.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(run, "id long, set binary")
+    return rows.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(tidy(run), "id long, set binary")
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, rule: Jaccard, name: str) -> DataFrame:
@@ -390,19 +476,20 @@ def _verified(rows: DataFrame, pairs: DataFrame, rule: Jaccard, name: str) -> Da
             ok = [rule.links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, c)]
             yield b.filter(pa.array(ok, pa.bool_())).select(keep)
 
-    return both.select(*keep, "sx", "sy").mapInArrow(run, pairs.schema)
+    return both.select(*keep, "sx", "sy").mapInArrow(tidy(run), pairs.schema)
 
 
 def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (smallest id reachable by links of J >= num/den)."""
     rule = Jaccard(num, den)
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     heavy = _heavy(rows.select("text"))
     nodes = settle(_nodes(rows, heavy, rule), "nodes")
     named = nodes.where("box is not null").select("node", "box", "digest", "least", "most")
 
     routes = nodes.where("routes is not null").select(F.explode("routes").alias("token"), "node")
-    cells = settle(routes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_cells, "kind int, a long, b long").distinct(), "cells")
+    cells = settle(routes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(tidy(_cells), "kind int, a long, b long").distinct(), "cells")
     met = cells.where("kind = 0").select("a", "b")
 
     def boxed(p: DataFrame) -> DataFrame:
@@ -413,8 +500,10 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
 
     near = settle(boxed(met), "near")
     same = near.where("same").select("a", "b")
-    open_pairs = near.where("not same").select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
-    links = settle(_verified(rows, open_pairs, rule, "sets").select("a", "b").unionByName(same), "links")
+    # first one pair for each node: in a group of near copies these links are a spanning tree, and the rest needs no comparison
+    first = near.where("not same").groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+    first = settle(first, "first")
+    links = settle(_verified(rows, first, rule, "sets").select("a", "b").unionByName(same), "links")
     comps = settle(connected_components(links), "comps")
 
     # what the representatives left apart: pairs of nodes with more members, and the rest of large cells
@@ -425,14 +514,18 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     large = comp_of(cells.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node")), "node", "comp")
     mixed = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     large = settle(large.join(mixed, "token", "left_semi"), "large")
-    crossed = large.toDF("token", "a", "ca").join(large.toDF("token", "b", "cb"), "token").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = boxed(crossed).select("a", "b").unionByName(near.where("not same").select("a", "b")).distinct()
+    # a cell is dealt in blocks; each two blocks meet in one task and send on only pairs whose boxes may overlap enough
+    counts = large.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    dealt = large.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(named.select("node", "box", "least", "most"), "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "comp", "box", "least", "most")
+    crossed = dealt.groupBy("token", "b1", "b2").applyInPandas(_block_join(rule), "a long, b long").distinct()
+    rest = crossed.unionByName(near.where("not same").select("a", "b")).distinct()
     rest = comp_of(comp_of(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    members = nodes.where("member").select("node", F.col("id").alias("x"), "n", "vec")
-    opened = rest.join(members.toDF("a", "x", "nx", "vx"), "a").join(members.toDF("b", "y", "ny", "vy"), "b").where(f"nx * {den} >= ny * {num} and ny * {den} >= nx * {num}")
-    opened = opened.where(_may_link("vx", "vy", rule)(F.col("nx") + F.col("ny"))).select("a", "b", "x", "y")
-    tried = near.where("not same").select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
-    opened = settle(opened.join(tried, ["a", "b", "x", "y"], "left_anti"), "opened")
+    # a node's members are at most one batch's rows
+    members = nodes.where("member").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("x"), "n", "vec")).alias("m"))
+    opened = rest.join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b").select("a", "b", "ma", "mb").mapInArrow(tidy(_member_pairs(rule)), "a long, b long, x long, y long")
+    opened = settle(opened.join(first, ["a", "b", "x", "y"], "left_anti"), "opened")
     if opened.take(1):
         more = _verified(rows, opened, rule, "sets2").select("a", "b")
         comps = connected_components(links.unionByName(more))
