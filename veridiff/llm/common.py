@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -52,6 +53,61 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system, so that an idle worker leaves room for what runs next."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A batch function that gives memory back when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+#: Bytes of an Arrow batch on its way to Python; the session's own setting holds where it is smaller.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches of whole texts by bytes, so that executors and their workers hold a few megabytes of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def regrouped(batches, rows: int = 10_000, size: int = 32 << 20):
+    """Arrow batches joined up to a number of rows or bytes, for work that gains from seeing many rows at once."""
+    import pyarrow as pa
+
+    held, n, b = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        b += batch.nbytes
+        if n >= rows or b >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if n else batch
+            held, n, b = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def crc32_utf8(col):
     return F.crc32(F.encode(col, "UTF-8"))
 

@@ -25,10 +25,10 @@ from .common import BLANKS, settle, work_dir
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
 }
 
 
@@ -59,6 +59,7 @@ def keep_state(spark: SparkSession, rows_dir: str, state_dir: str, id_type: str
     mine = spark.newSession()  # settings of the state stay out of the caller's session
     for k, v in STATE_CONF.items():
         mine.conf.set(k, v)
+    mine.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))  # a new session has its own
     source = mine.readStream.schema(f"digest string, id {id_type}, locator long, size long")
     if max_bytes:
         source = source.option("maxBytesPerTrigger", max_bytes)

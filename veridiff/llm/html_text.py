@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
+
 LINKED = 0.5  # from this share of linked characters on a block is a menu
 DENSE = 0.18  # from this share of stop words on a block is prose
 SHORT = 60  # shorter blocks are ambiguous
@@ -236,6 +238,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep`` with text and n_chars (code points) of every row."""
+    small_batches(pages.sparkSession)
     rows = pages.select(*keep, F.col(html).alias("_html"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string, n_chars long"
 
@@ -244,4 +247,4 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
             texts = [main_text(x.as_py()) for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -391,7 +391,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _block_join(rule: Jaccard):
     """Pairs of boxes of two blocks of a large cell that lie in different components and may link."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("node")
         boxes = [unpacked(x) for x in rows["box"]]
         coarse = np.array([fold(v, GROUPS) for v in boxes], np.uint32).reshape(-1, GROUPS)

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, union_all
+from .common import settle, small_batches, tidy, union_all
 
-MAX_UNITS = 700_000
+MAX_UNITS = 500_000
 BLOCK_CHARS = 1 << 20
 GROUP = 8192
 ROUNDS = 6
@@ -112,6 +112,7 @@ class UnitEncoder:
 
 def token_pieces(df: DataFrame, tokenizer_file: str, capacity: int, end_id: int, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (and ids when asked) of every piece of every row."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = f"{id_col} {rows.schema['_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
@@ -140,7 +141,7 @@ def token_pieces(df: DataFrame, tokenizer_file: str, capacity: int, end_id: int,
                 types = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(out[0], pa.int64())), *(pa.array(x, t) for x, t in zip(out[1:], types[1:]))], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 # -- bounds and packing --------------------------------------------------------------------------------------------------
@@ -214,7 +215,7 @@ def pack(pieces: DataFrame, capacity: int, key: list[str], rounds: int = ROUNDS,
         groups = -(-rest // group)
         last = r == rounds or groups == 1
 
-        def pack_group(k, rows: pd.DataFrame) -> pd.DataFrame:  # runs before r and last change: each round is written
+        def pack_group(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # runs before r and last change: each round is written
             g = int(k[0])
             lengths = rows["length"].to_numpy(np.int64)
             bins, offsets, free = best_fit_decreasing(lengths, capacity)

@@ -19,10 +19,13 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches, tidy
 from .pieces import BPE, BYTE, MARK, Vocabulary
 
 MAX_WORDS = 600_000
@@ -149,6 +152,7 @@ def _blocks(texts: Iterator[str]) -> Iterator[list[str]]:
 
 def encode(df: DataFrame, model_file: str, text: str = "text", id_col: str = "doc_id", ids: bool = True, check: bool = False) -> DataFrame:
     """id, n_ids, ids_crc32 and, as asked, ids (array<int>) and round_trip (decoding gives the text back)."""
+    small_batches(df.sparkSession)
     with open(model_file, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(f.read()))
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -169,18 +173,16 @@ def encode(df: DataFrame, model_file: str, text: str = "text", id_col: str = "do
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``df`` with the decoded text of an id array in column ``out`` (replaced where it exists); null ids give null."""
-    from pyspark.sql.functions import pandas_udf
-
     with open(model_file, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(Vocabulary.read(f.read()))
 
     @pandas_udf("string")
-    def text_of(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = Encoder(shared.value)
         for s in batches:
             yield s.map(lambda a: None if a is None else coder.decode(array("I", a).tobytes()))

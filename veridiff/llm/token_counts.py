@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidy
 from .pieces import BPE, MARK, Vocabulary
 
 MAX_STATES = 150_000
@@ -167,6 +168,7 @@ class Counter(dict):
 def token_counts(df: DataFrame, model_file: str, text: str = "text", id_col: str = "doc_id", limit: int = 4096) -> DataFrame:
     """One row per row of ``df``: id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     spark = df.sparkSession
+    small_batches(spark)
     with open(model_file, "rb") as f:
         shared = spark.sparkContext.broadcast(Vocabulary.read(f.read()))
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -180,4 +182,4 @@ def token_counts(df: DataFrame, model_file: str, text: str = "text", id_col: str
             n = [counter.count(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(pc.binary_length(b.column(1)), pa.int64()), pa.array(n, pa.int64())], [id_col, "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidy(run), schema).withColumn("over_limit", F.col("n_tokens") > limit)

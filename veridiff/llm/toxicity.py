@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_utf8, settle
+from .common import crc32_utf8, settle, small_batches, tidy
 
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
 MAX_FEATURES = 50_000
@@ -41,7 +41,7 @@ ERRORS = 2.0  # standard errors taken off a ratio
 LEAST = 0.2  # smallest ratio that is kept
 DRIFT = 0.25
 K_GRID = tuple(10 ** (-e / 2) for e in range(0, 11))
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 CUT = 0.7
 
 _words = re.compile(r"[^\W_]+").findall
@@ -196,6 +196,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Model:
     """Fit a model on labelled rows of the training folds: those whose crc32(id as text) mod 3 is not 1."""
     spark = docs.sparkSession
+    small_batches(spark)
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y in (0, 1)")
     marked = marked.where(F.pmod(crc32_utf8(F.col("_id").cast("string")), F.lit(3)) != 1).groupBy("_id").agg(F.max("_y").alias("_y"))
     order = F.xxhash64(F.lit(7), "_id")
@@ -215,7 +216,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
                 keys = list(total)
                 yield pa.RecordBatch.from_arrays([pa.array([f for _, f in keys]), pa.array([i for i, _ in keys], pa.int32()), pa.array(list(total.values()), pa.int64())], ["f", "part", "n"])
 
-    tallies = sample.mapInArrow(count, "f string, part int, n long").groupBy("f").agg(*(F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(4)))
+    tallies = sample.mapInArrow(tidy(count), "f string, part int, n long").groupBy("f").agg(*(F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(4)))
     # of the bounded sample only what toxic texts hold more than once, and clean words, matter
     rows = tallies.where("n1 + n3 > 1 or (n0 + n2 > 1 and not endswith(f, '~'))").toArrow()
     names = rows.column("f").to_pylist()
@@ -248,7 +249,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
                 s.append([sc.m.lam * x for *_, x in segments(scores)])
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["y", "n", "s"])
 
-    got = sample.mapInArrow(raw, "y int, n long, s array<double>").toArrow().to_pylist()
+    got = sample.mapInArrow(tidy(raw), "y int, n long, s array<double>").toArrow().to_pylist()
     y = np.array([float(r["y"]) for r in got])
     best = None
     for k in K_GRID:
@@ -264,6 +265,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", passages: bool = False) -> DataFrame:
     """id, score, predicted (and passages: word ranges with their evidence) for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = f"{id_col} {rows.schema['_id'].dataType.simpleString()}, score double, predicted int" + ", passages array<struct<first:int,after:int,evidence:double>>" * passages
@@ -279,18 +281,21 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", id_col: st
                 cols.append(pa.array([[{"first": a, "after": z, "evidence": e} for a, z, e in found] for _, found in got], kind))
             yield pa.RecordBatch.from_arrays(cols, [id_col, "score", "predicted", "passages"][: len(cols)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the rows that are predicted toxic; all columns as they were."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            keep = [shared.value.probability(scorer.passages(t.as_py() or "")[0]) < CUT for t in b.column(at)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for k in range(0, b.num_rows, 500):  # small copies
+                part = b.slice(k, 500)
+                keep = [shared.value.probability(scorer.passages(t.as_py() or "")[0]) < CUT for t in part.column(at)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
