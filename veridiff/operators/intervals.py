@@ -31,6 +31,15 @@ def merge(df: DataFrame, width: int = BIN) -> DataFrame:
     return x.groupBy("chrom", "island").agg(F.max("end").alias("end")).select("chrom", F.col("island").alias("start"), "end")
 
 
+def typical_width(*sides: DataFrame) -> int:
+    """A width that nearly all intervals fit into: bins of it give each interval one or two places."""
+    n = [x.select((F.col("end") - F.col("start")).alias("n")) for x in sides]
+    lengths = n[0]
+    for x in n[1:]:
+        lengths = lengths.unionByName(x)
+    return max(1, int(lengths.agg(F.percentile_approx("n", 0.95, 1000)).first()[0] or 1))
+
+
 def overlap_join(ref: DataFrame, cand: DataFrame, width: int | None = None, tolerance: int = 0) -> DataFrame:
     """All pairs that overlap: ref_* and cand_* columns and ``overlap`` (bases shared).
 
@@ -40,9 +49,7 @@ def overlap_join(ref: DataFrame, cand: DataFrame, width: int | None = None, tole
     ref, cand = valid(ref), valid(cand)
     if tolerance:
         cand = cand.withColumn("start", F.greatest(F.col("start") - tolerance, F.lit(0))).withColumn("end", F.col("end") + tolerance)
-    if width is None:
-        row = ref.select((F.col("end") - F.col("start")).alias("n")).unionByName(cand.select((F.col("end") - F.col("start")).alias("n"))).agg(F.percentile_approx("n", 0.95, 1000)).first()
-        width = max(1, int(row[0] or 1))
+    width = width or typical_width(ref, cand)
     a = ref.select(*(F.col(f"`{c}`").alias("ref_" + c) for c in ref.columns))
     b = cand.select(*(F.col(f"`{c}`").alias("cand_" + c) for c in cand.columns))
 

@@ -40,10 +40,12 @@ def overlap(ref: DataFrame, cand: DataFrame, clip: bool = False) -> DataFrame:
     a, b = I.merge(ref), I.merge(cand)
     size = F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))
     n = a.agg(size.alias("ref_bases")).crossJoin(b.agg(size.alias("cand_bases")))
+    pairs = I.overlap_join(a, b, 4 * I.typical_width(ref, cand))  # merged intervals are longer than those they hold
     if clip:
-        shared = I.overlap_join(a, b).agg(F.coalesce(F.sum("overlap"), F.lit(0)).alias("shared"))
+        shared = pairs.agg(F.coalesce(F.sum("overlap"), F.lit(0)).alias("shared"))
     else:
-        shared = I.touching(a, b).agg(size.alias("shared"))
+        touched = pairs.groupBy("ref_chrom", "ref_start", "ref_end").agg(F.lit(1))
+        shared = touched.agg(F.coalesce(F.sum(F.col("ref_end") - F.col("ref_start")), F.lit(0)).alias("shared"))
     p, r = K.precision(F.col("shared"), F.col("cand_bases")), K.recall(F.col("shared"), F.col("ref_bases"))
     return n.crossJoin(shared).select(K.jaccard(F.col("shared"), F.col("ref_bases"), F.col("cand_bases")).alias("similarity"), "ref_bases", "cand_bases", "shared", p.alias("precision"), r.alias("recall"), K.f1(p, r).alias("f1"))
 
