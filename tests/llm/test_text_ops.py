@@ -250,3 +250,8 @@ def test_pipeline_stages(spark, data):
     d = C.packing(spark, c, data)
     assert {r["doc_id"] for r in d.collect()} == {r["doc_id"] for r in c.collect()}
     assert {r["doc_id"] for r in C.run(spark, data).collect()} == {r["doc_id"] for r in c.collect()}
+
+
+def test_linked_blocks():
+    page = "<main><h1><a href=x>A linked title</a></h1><p>The text of the article is here and it has a few of the usual words in it.</p><p><a href=y>See the source</a></p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></main>"
+    assert H.main_text(page) == "A linked title The text of the article is here and it has a few of the usual words in it. See the source"

@@ -42,6 +42,7 @@ SKIP = frozenset("head script style noscript template iframe object svg math can
 RAW = frozenset("script style textarea title iframe noscript template".split())
 BOILER = frozenset("nav footer aside form dialog menu fieldset".split())
 MAIN = frozenset("article main".split())
+LISTS = frozenset("li ul ol dl td".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id attributes that name boilerplate, and those that name the article.
@@ -65,6 +66,7 @@ class Block:
     linked: int
     boiler: bool
     main: int  # number of the article-like container, 0 for none
+    listed: bool = False  # stands in a list or table cell
     label: str = ""
 
 
@@ -125,7 +127,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                out.append(Block(text, linked, boiler, main))
+                out.append(Block(text, linked, boiler, main, any(t in LISTS for t, _, _ in stack)))
         linked = 0
 
     def put(text: str) -> None:
@@ -207,7 +209,7 @@ def classify(found: list[Block], lang: str = "") -> list[Block]:
         share = b.linked / max(1, size)
         if b.boiler:
             b.label = "bad"
-        elif share >= LINKED:
+        elif share >= LINKED and (b.listed or not b.main):  # a linked heading or paragraph of an article is no menu
             b.label = "bad"
         elif articles and not b.main:
             b.label = "bad"
