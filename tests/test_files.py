@@ -172,3 +172,54 @@ def test_streaming_join(spark, tmp_path):
     q = concordant_reads(read("a"), read("b"), "at").writeStream.format("memory").queryName("joined_reads").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["qname"], r["concordant"]) for r in spark.table("joined_reads").collect()) == [(f"r{i}", i <= 3) for i in range(6)]
+
+
+def bam_bytes():
+    """Two reads in the binary layout."""
+    import struct
+
+    text = b"@HD\tVN:1.6\n"
+    out = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", 1) + struct.pack("<i", 3) + b"c1\0" + struct.pack("<i", 100)
+
+    def record(name, ref, pos, mapq, ops, flag, seq, quals, tags):
+        codes = ["=ACMGRSVTWYHKDBN".index(c) for c in seq] + [0] * (len(seq) % 2)
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(ops), flag, len(seq), -1, -1, 0) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", n << 4 | op) for op, n in ops) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2])) + bytes(quals) + tags
+        return struct.pack("<i", len(body)) + body
+
+    out += record("r1", 0, 4, 60, [(0, 3), (2, 1), (0, 2)], 0, "ACGTA", [40] * 5, b"NMC\x01")
+    return gzip.compress(out[:30]) + gzip.compress(out[30:] + record("r2", -1, -1, 0, [], 4, "AC", [255, 255], b"XZZhi\0"))
+
+
+def test_bam(spark, tmp_path):
+    from veridiff.sources import binary
+
+    rows = binary.bam(spark, put(tmp_path, "a.bam", bam_bytes())).orderBy("ord").collect()
+    assert [(r["qname"], r["rname"], r["pos"], r["mapq"], r["len"], r["cigar"], r["seq"], r["qual"], r["tags"]) for r in rows] == [
+        ("r1", "c1", 4, 60, 6, "3M1D2M", "ACGTA", "IIIII", {"NM": "i:1"}),
+        ("r2", "*", -1, 0, 0, "*", "AC", "*", {"XZ": "Z:hi"}),
+    ]
+    path = str(tmp_path / "a.bam")
+    assert api.compare_files(spark, path, path, "summary", fmt="bam").similarity == pytest.approx(1)
+    assert api.compare_files(spark, path, path, "exact").similarity == 1
+
+
+def test_workbook(spark, tmp_path):
+    import zipfile
+
+    path = tmp_path / "a.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst xmlns='x'><si><t>id</t></si><si><r><t>na</t></r><r><t>me</t></r></si><si><t>x</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet xmlns='x'><sheetData><row><c r='A1' t='s'><v>0</v></c><c r='B1' t='s'><v>1</v></c></row><row><c r='A2'><v>1</v></c><c r='B2' t='s'><v>2</v></c></row><row><c r='A3'><v>2</v></c></row></sheetData></worksheet>")
+    t = api.load(spark, str(path), "xlsx")
+    assert t.dtypes == [("id", "bigint"), ("name", "string"), ("_row", "bigint")] and [tuple(r) for r in t.orderBy("_row").collect()] == [(1, "x", 0), (2, None, 1)]
+    assert api.compare_files(spark, str(path), str(path)).similarity == pytest.approx(1)
+
+
+def test_record_and_header_equality(spark, tmp_path):
+    from veridiff.operators.alignments import headers_equal, records_equal
+
+    s = genomics.sam(spark, put(tmp_path, "h.sam", SAM))
+    j = s.selectExpr("ord", "struct(*) as x").join(s.selectExpr("ord", "struct(*) as y"), "ord")
+    assert j.where(records_equal()).count() == 2
+    assert headers_equal(["@HD\tVN:1.6\tSO:name", "@PG\tID:a"], ["@HD\tVN:1.6\tSO:coordinate"]) and not headers_equal(["@SQ\tSN:a"], ["@SQ\tSN:b"])

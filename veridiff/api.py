@@ -13,7 +13,7 @@ from .operators.texts import joined  # noqa: F401  (public)
 from .plans import catalog
 from .plans.models import AlignPlan
 from .providers import Offline, Provider
-from .sources import delimited, detect, genomics
+from .sources import binary, delimited, detect, genomics
 from .status import SCHEMA, Result, Validation
 from .strategies import bam, bed, fasta, pdb, signals, table, txt, vcf
 
@@ -53,9 +53,13 @@ def load(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     loaders = {
         "fasta": genomics.fasta, "fastq": genomics.fastq, "table": delimited.read_table, "vcf": genomics.vcf, "bed": genomics.bed, "fai": genomics.fai, "pdb": genomics.pdb, "txt": genomics.text, "image": genomics.image,
         "tbi": genomics.contigs, "bai": lambda s, p: s.read.schema("reference string, length long, mapped long, unmapped long").csv(p, sep="\t"),
-        "bigwig": genomics.wig if fmt == "wig" else genomics.bedgraph, "bam": genomics.sam,
+        "bigwig": genomics.wig, "bam": genomics.sam,
     }
-    if fmt in ("bam", "cram", "bcf", "xlsx", "bw"):
+    if fmt == "bam":
+        return binary.bam(spark, path)
+    if fmt == "xlsx":
+        return binary.workbook(spark, path)
+    if fmt in ("cram", "bcf", "bigwig", "bw"):
         raise ValueError(f"binary {fmt} files need a registered handler; convert to its text form or call register_handler")
     if family not in loaders:
         raise ValueError(f"unsupported format {fmt}")

@@ -91,3 +91,21 @@ def concordant(min_overlap: float, min_mapq: int) -> Column:
 def qualifying(reads: DataFrame, min_mapq: int) -> DataFrame:
     """Named primary reads of at least the mapping quality."""
     return reads.where((F.col("flag").bitwiseAND(F.lit(SECONDARY | SUPPLEMENTARY)) == 0) & (F.col("mapq") >= min_mapq) & F.col("qname").isNotNull())
+
+
+def records_equal(left: str = "x", right: str = "y", fields: tuple[str, ...] = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")) -> Column:
+    """Mandatory fields of two record structs agree, missing equal to missing, and so do the tags that both have."""
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}"))
+    a, b = F.col(f"{left}.tags"), F.col(f"{right}.tags")
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    return same & F.coalesce(F.forall(shared, lambda k: a[k].eqNullSafe(b[k])), F.lit(True))
+
+
+def headers_equal(ref: list[str], cand: list[str]) -> bool:
+    """Header lines agree apart from program lines and the sort order."""
+    def core(lines: list[str]) -> list[str]:
+        return ["\t".join(p for p in x.split("\t") if not p.startswith("SO:")) if x.startswith("@HD") else x for x in lines if x.startswith("@") and not x.startswith("@PG")]
+
+    return core(ref) == core(cand)

@@ -19,9 +19,11 @@ def aligned(ref: DataFrame, cand: DataFrame, plan: AlignPlan) -> tuple[DataFrame
     cand, _ = O.cast_like(ref, cand)
     if plan.sort_by:
         ref, cand = (O.sort_rows(x, list(plan.sort_by), list(plan.ascending) or True) for x in (ref, cand))
-    keys = list(plan.id_columns) if plan.id_columns is not None else O.find_id_columns(ref, cand)
+    keys = list(plan.id_columns) if plan.id_columns is not None else O.find_id_columns(ref.drop("_row"), cand.drop("_row"))
     if not keys:  # by row number, which readers add as _row
         keys = ["_row"] if "_row" in ref.columns and "_row" in cand.columns else ref.columns[:1]
+    if "_row" not in keys:  # a reader's row number is no data
+        ref, cand = ref.drop("_row"), cand.drop("_row")
     if plan.fuzzy_ids and len(keys) == 1:
         k = keys[0]
         ids = lambda df: df.select(O.key_text(k).alias("id"))
