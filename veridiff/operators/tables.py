@@ -147,19 +147,24 @@ def column_measures(aligned: DataFrame, rules: list[ColumnRule]) -> DataFrame:
     return aligned.agg(*aggs).select(F.expr(f"stack({len(rows)}, {', '.join(rows)}) AS (column, strategy, similarity, matching, total)"))
 
 
-def average_ranks(values: DataFrame, value: str, buckets: int = 1024) -> DataFrame:
-    """(value, rank): average rank of each distinct number.
+def average_ranks(values: DataFrame, value: str, buckets: int = 1024, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., value, rank): average rank of each distinct number, within each group of ``by``.
 
     Ranks come from counts of distinct values: a running sum inside equal-width buckets, and one over the bucket totals, so
     no task sees more than a bucket's distinct values.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    span = counts.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
+    by = list(by) or ["_all"]
+    rows = values.where(F.col(value).isNotNull())
+    rows = rows.withColumn("_all", F.lit(0)) if by == ["_all"] else rows
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    span = counts.groupBy(*by).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), K.histogram_bin(F.col(value).cast("double"), F.col("lo"), F.col("hi"), buckets)).otherwise(0)
-    binned = counts.crossJoin(F.broadcast(span)).withColumn("b", at).drop("lo", "hi")
-    before = binned.groupBy("b").agg(F.sum("n").alias("t")).withColumn("before", F.sum("t").over(Window.orderBy("b")) - F.col("t")).drop("t")  # at most ``buckets`` rows
-    running = F.sum("n").over(Window.partitionBy("b").orderBy(value)) - F.col("n")
-    return binned.withColumn("r", running).join(F.broadcast(before), "b").select(value, (F.col("before") + F.col("r") + (F.col("n") + 1) / 2).alias("rank"))
+    binned = counts.join(span, by).withColumn("b", at).drop("lo", "hi")
+    totals = binned.groupBy(*by, "b").agg(F.sum("n").alias("t"))  # at most ``buckets`` rows a group
+    before = totals.withColumn("before", F.sum("t").over(Window.partitionBy(*by).orderBy("b")) - F.col("t")).drop("t")
+    running = F.sum("n").over(Window.partitionBy(*by, "b").orderBy(value)) - F.col("n")
+    out = binned.withColumn("r", running).join(before, [*by, "b"])
+    return out.select(*(c for c in by if c != "_all"), value, (F.col("before") + F.col("r") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def with_pair_ranks(df: DataFrame, column: str) -> DataFrame:

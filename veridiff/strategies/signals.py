@@ -59,11 +59,7 @@ def correlation(ref: DataFrame, cand: DataFrame, method: str = "pearson") -> Dat
     p = paired(ref, cand)
     if method == "spearman":
         for v in ("x", "y"):
-            ranks = None
-            for row in p.select("chrom").distinct().collect():  # a rank table for each chromosome
-                r = average_ranks(p.where(F.col("chrom") == row["chrom"]).select(v), v).select(F.lit(row["chrom"]).alias("chrom"), v, F.col("rank").alias("r" + v))
-                ranks = r if ranks is None else ranks.unionByName(r)
-            p = p.join(ranks, ["chrom", v])
+            p = p.join(average_ranks(p.select("chrom", v), v, by=("chrom",)).withColumnRenamed("rank", "r" + v), ["chrom", v])
         c = F.corr("rx", "ry")
     else:
         c = F.corr("x", "y")
