@@ -54,6 +54,30 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("size")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("locator").alias("locator"))).alias("best")
 
 
+#: Bits of the screen: 128 kB in the plan, whatever the input.
+SCREEN = 1 << 20
+
+
+def screen(digests: DataFrame):
+    """A test that all of ``digests`` pass and that turns away nearly all others while they are few for the bits.
+
+    It only spares rows a shuffle; the join that follows decides.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(SCREEN))
+    maps = digests.select(bit(F.col("digest")).alias("bit")).groupBy(F.expr("bit div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("m")).collect()
+    flags = bytearray(SCREEN // 8)
+    for r in maps:
+        flags[r["k"] * 4096 : r["k"] * 4096 + 4096] = r["m"]
+    held = F.lit(bytes(flags))
+
+    def passes(digest: Column) -> Column:
+        b = bit(digest)
+        value = F.conv(F.hex(F.substring(held, (F.floor(b / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", value, (b % 8).cast("int")) % 2 == 1
+
+    return passes
+
+
 def keep_state(spark: SparkSession, rows_dir: str, state_dir: str, id_type: str = "long", max_bytes: str | None = None) -> DataFrame:
     """Take in the digest rows of ``rows_dir`` that ``state_dir`` has not seen; return the state as a table."""
     mine = spark.newSession()  # settings of the state stay out of the caller's session
@@ -84,7 +108,7 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", diges
 
     # full bytes on hits: the text is part of the grouping key, collapsed within each task before it moves
     texts = df.select(F.col(id_col).alias("id"), normalised(F.col(text)).alias("body"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("size"))
-    texts = texts.withColumn("digest", digest(F.col("body"))).join(hits.select("digest"), "digest", "left_semi")
+    texts = texts.withColumn("digest", digest(F.col("body"))).where(screen(hits)(F.col("digest"))).join(hits.select("digest"), "digest", "left_semi")
     variants = texts.groupBy("digest", "body").agg(F.count("*").alias("n"))
     shared = variants.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest")
     clash = settle(shared, "clash")
@@ -119,12 +143,14 @@ def drop_copies(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
     named = df.withColumn(mark, _sha256(normalised(F.col(text))))
 
     def same(right: DataFrame) -> Column:
-        return (named[mark] == right["digest"]) & named[id_col].eqNullSafe(right["id"])
+        return (F.col(mark) == right["digest"]) & named[id_col].eqNullSafe(right["id"])
 
     dropped = decided.where("not kept")
     twice = decided.where("kept")
     if not twice.take(1):
-        return named.join(dropped, same(dropped), "left_anti").drop(mark)
+        maybe = screen(dropped)(F.col(mark))
+        clear, named = named.where(~maybe), named.where(maybe)
+        return clear.unionByName(named.join(dropped, same(dropped), "left_anti")).drop(mark)
     # rows that repeat both identifier and text: one of them stays
     single = named.join(decided, same(decided), "left_anti")
     again = named.join(twice, same(twice), "left_semi").dropDuplicates([id_col, mark])
