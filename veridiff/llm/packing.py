@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, small_batches, tidy, union_all
 
-MAX_UNITS = 500_000
-BLOCK_CHARS = 1 << 20
+MAX_UNITS = 300_000
+BLOCK_CHARS = 1 << 19
 GROUP = 8192
 ROUNDS = 6
 

@@ -208,13 +208,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: Counter = Counter()
-            for y, fold, t in zip(*(c.to_pylist() for c in b.columns)):
-                for f, n in text_counts(_words(t.lower())).items():
-                    total[2 * fold + y, f] += n
-            if total:
-                keys = list(total)
-                yield pa.RecordBatch.from_arrays([pa.array([f for _, f in keys]), pa.array([i for i, _ in keys], pa.int32()), pa.array(list(total.values()), pa.int64())], ["f", "part", "n"])
+            for k in range(0, b.num_rows, 250):  # keeps the counters of a worker small
+                parts: list[Counter] = [Counter() for _ in range(4)]
+                for y, fold, t in zip(*(c.to_pylist() for c in b.slice(k, 250).columns)):
+                    parts[2 * fold + y].update(text_counts(_words(t.lower())))
+                for i, total in enumerate(parts):
+                    if total:
+                        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array([i] * len(total), pa.int32()), pa.array(total.values(), pa.int64())], ["f", "part", "n"])
 
     tallies = sample.mapInArrow(tidy(count), "f string, part int, n long").groupBy("f").agg(*(F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(4)))
     # of the bounded sample only what toxic texts hold more than once, and clean words, matter
