@@ -264,7 +264,7 @@ def _heavy(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles and their counts, by shingle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in regrouped(batches):
+        for b in regrouped(batches, 3_000, 8 << 20):
             sets = shingle_sets([t.as_buffer().to_pybytes() for t in b.column(0)])
             if sets:
                 h, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -285,7 +285,7 @@ def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
-        for b in regrouped(batches):
+        for b in regrouped(batches, 4_000, 12 << 20):
             ids = b.column(0).to_pylist()
             sets = shingle_sets([t.as_buffer().to_pybytes() for t in b.column(1)])
             first: dict[bytes, int] = {}
