@@ -42,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import connected_components, regrouped, settle, small_batches, tidy
+from .common import connected_components, give_back, regrouped, settle, small_batches, tidy
 
 WORDS = 5
 GROUPS = 64
 FILL = 3
 BOX_FILL = 12
-HEAVY = 1 << 20
+HEAVY = 1 << 18
 LOCAL = 2
 CELL = 32
 BLOCK_ROWS = 1024
@@ -274,7 +274,10 @@ def _heavy(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     top = texts.mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(h)
-    return h[order], n[order]
+    h, n = h[order], n[order]
+    del top
+    give_back()
+    return h, n
 
 
 def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:

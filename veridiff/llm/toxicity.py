@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_utf8, settle, small_batches, tidy
+from .common import crc32_utf8, give_back, settle, small_batches, tidy
 
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
 MAX_FEATURES = 50_000
@@ -257,6 +257,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
         fit = (*_logistic(x, y), k)
         best = fit if best is None or fit > best else best
     _, model.base, model.slope, model.k = best
+    shared.unpersist()
+    del rows, names, parts, toxic, clean, folds, got, x
+    give_back()
     return model
 
 
