@@ -84,6 +84,30 @@ def test_toxicity_odd_rows(spark):
     assert T.score_toxicity(df.limit(0), model).count() == 0
 
 
+def test_scores_agree_when_a_bound_binds(spark, monkeypatch):
+    """One clean text in ten and nine toxic texts in ten hold the word; one text in ten is toxic, so it decides for about half."""
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    rng = random.Random(4)
+    rows = []
+    for i in range(6000):
+        toxic = rng.random() < 0.1
+        rows.append((i, " ".join(rng.choices(words, k=20) + ["vile"] * (rng.random() < (0.9 if toxic else 0.1))), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    probe = spark.createDataFrame([(1, " ".join(words[:20]) + " vile"), (2, " ".join(words[:20]))], "doc_id long, text string")
+
+    def scores():
+        model = T.learn_toxicity(df, df.select("doc_id", "toxic"))
+        return [r["score"] for r in T.score_toxicity(probe, model).orderBy("doc_id").collect()]
+
+    whole = scores()
+    monkeypatch.setattr(T, "MAX_CLEAN", 800)
+    bound = scores()
+    assert 0.35 < whole[0] < 0.65 and abs(whole[0] - bound[0]) < 0.12 and abs(whole[1] - bound[1]) < 0.03
+    monkeypatch.setattr(T, "MAX_TOXIC", 200)
+    both = scores()
+    assert abs(whole[0] - both[0]) < 0.12 and abs(whole[1] - both[1]) < 0.03
+
+
 # -- html ------------------------------------------------------------------------------------------------------------------
 
 PAGE = """<html lang=en><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><div>Site Name</div><ul><li><a href=/>Home</a></li></ul></header>

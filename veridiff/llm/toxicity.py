@@ -12,8 +12,9 @@ lambda solves sum p(s) exp(lambda s) = 1 over the clean score distribution.  A s
 positive; a text's evidence is the sum, turned into a probability by a logistic curve.  K and the curve are fitted by
 likelihood on folds that the ratios did not see.
 
-The fit reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows, chosen by hash of the identifier; scoring covers every
-row and whole texts.  Null texts count as empty and get the score of no evidence; rows that repeat are scored each; labels
+The fit reads at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled rows, chosen by hash of the identifier; the curve weighs each
+class back to its count among all training labels, so a score means the same when a bound is met.  Scoring covers every row
+and whole texts.  Null texts count as empty and get the score of no evidence; rows that repeat are scored each; labels
 that are null or disagree for one identifier: nulls are ignored, the larger label holds.  With no labelled rows of one class
 nothing is learned and every score is the share of toxic labels (0 without labels).
 """
@@ -180,17 +181,17 @@ def _clean_law(ratios: dict[str, float], clean: Counter) -> float:
     return low
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """(log likelihood, base, slope) of a logistic curve, with a light ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """(log likelihood, base, slope) of a logistic curve over weighted rows, with a light ridge."""
     w, X, ridge = np.zeros(2), np.stack([np.ones_like(x), x], 1), np.array([1e-3, 1e-2])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + np.diag(ridge), X.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((X * (weight * p * (1 - p))[:, None]).T @ X + np.diag(ridge), X.T @ (weight * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(X @ w, -30, 30))), 1e-12, 1 - 1e-12)
-    return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), float(w[0]), max(0.0, float(w[1]))
+    return float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), float(w[0]), max(0.0, float(w[1]))
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic") -> Model:
@@ -199,6 +200,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
     small_batches(spark)
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y in (0, 1)")
     marked = marked.where(F.pmod(crc32_utf8(F.col("_id").cast("string")), F.lit(3)) != 1).groupBy("_id").agg(F.max("_y").alias("_y"))
+    n_all = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(7), "_id")
     chosen = marked.where("_y = 1").orderBy(order, "_id").limit(MAX_TOXIC).unionByName(marked.where("_y = 0").orderBy(order, "_id").limit(MAX_CLEAN))
     # at most MAX_TOXIC + MAX_CLEAN narrow rows: a proven bound for the broadcast
@@ -251,10 +253,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
 
     got = sample.mapInArrow(tidy(raw), "y int, n long, s array<double>").toArrow().to_pylist()
     y = np.array([float(r["y"]) for r in got])
+    weight = np.where(y == 1, max(1.0, n_all[1] / MAX_TOXIC), max(1.0, n_all[0] / MAX_CLEAN))  # undoes the sampling
     best = None
     for k in K_GRID:
         x = np.array([math.log1p(sum(max(0.0, v - math.log(max(k * r["n"], 1e-9))) for v in r["s"])) for r in got])
-        fit = (*_logistic(x, y), k)
+        fit = (*_logistic(x, y, weight), k)
         best = fit if best is None or fit > best else best
     _, model.base, model.slope, model.k = best
     shared.unpersist()
