@@ -126,6 +126,31 @@ def test_main_text():
     assert [H.main_text(x) for x in (None, "", "<!-- only", "<")] == ["", "", "", ""] or H.main_text("<") in ("", "<")
 
 
+TEXT = "The text of the article that is in the page, with many of the words that we need for it to be prose."
+
+
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "id='page' class='with-comments'", "class='page-with-comments'", "class='sidebar'", "class='layout sidebar-right'"])
+@pytest.mark.parametrize("inner", ["div class='post-content'", "section class='entry'", "div role=main", "div itemprop='articleBody'"])
+def test_wrappers_named_like_boilerplate(wrapper, inner):
+    close = inner.split()[0]
+    page = f"<body><nav>Menu of the site</nav><div {wrapper}><{inner}><p>{TEXT}</p></{close}><div class='widget'>{TEXT} Not.</div></div></body>"
+    assert H.main_text(page) == TEXT
+    assert H.main_text(f"<form id=aspnet><{inner}><p>{TEXT}</p></{close}></form>") == TEXT
+
+
+@pytest.mark.parametrize("part", ["<section id='discussion'>{}</section>", "<section id='related-work'>{}</section>", "<h2 id='search'>{}</h2>", "<p class='notice'>{}</p>", "<div id='legal'>{}</div>"])
+def test_parts_of_articles_named_like_boilerplate(part):
+    assert H.main_text(f"<article><p>{TEXT}</p>{part.format('A part')}<p>{TEXT}</p></article>") == f"{TEXT} A part {TEXT}"
+
+
+def test_named_boilerplate_still_goes():
+    for x in ("div class='share-buttons'", "section id='comments'", "div class='comments-area'", "ul class='related-posts'", "form"):
+        assert H.main_text(f"<article><p>{TEXT}</p><{x}>{TEXT}</{x.split()[0]}></article>") == TEXT
+    for x in ("div class='sidebar'", "div id='cookie-notice'", "p class='copyright'", "form"):
+        assert H.main_text(f"<p>{TEXT}</p><{x}>{TEXT}</{x.split()[0]}>") == TEXT
+    assert H.main_text(f"<p>{TEXT}</p><div class='sidebar'><div class='text'>{TEXT}</div></div>") == TEXT
+
+
 def test_pages_against_their_articles(spark, data):
     import html
     import re

@@ -5,6 +5,10 @@ headers, footers, sidebars, notices, adverts, forms, reader comments: by element
 stop-word density and by length.  Blocks that stay ambiguous, mostly short ones, take the label of the nearest decided block
 of their own container in the second pass; without one they follow the container: text of an article stays.
 
+A class or id names boilerplate by its first or last word, unless it tells what else the page has (has-sidebar).  Headings are
+never named so, and inside an article neither are paragraphs nor ids of its parts, save for a few sure words.  If nothing is
+left of a page, articles inside containers that only their names (or a form) made boilerplate are its text.
+
 Whole pages are read.  Null or empty html gives an empty text; broken markup is read as browsers do: open tags close with
 their parents, a tag that the page's end cuts off is dropped.  Repeated rows are extracted each; other columns are ignored.
 """
@@ -49,6 +53,11 @@ ROLES = frozenset("navigation banner complementary contentinfo search form alert
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense adslot banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin register comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations similar pagination pager tags tagcloud widget widgets copyright legal disclaimer search searchbox skip".split()
 )
+SURE_WORDS = frozenset("adsense breadcrumb breadcrumbs commentlist comments cookie cookies disqus gdpr navbar newsletter pagination respond sidebar".split())
+OPEN_WORDS = frozenset("alert disclaimer discussion legal notice notices search".split())  # also name parts of articles
+MODIFIERS = frozenset("has have with without no not is".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = frozenset("p pre blockquote figcaption caption legend summary".split())
 MAIN_WORDS = frozenset("article articlebody content maincontent post postcontent entry entrycontent story storybody body main text prose".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -57,6 +66,7 @@ _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[^\W\d_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_STRONG = re.compile(r"\b(?:role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articlebody)\b", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
 
@@ -68,6 +78,7 @@ class Block:
     main: int  # number of the article-like container, 0 for none
     listed: bool = False  # stands in a list or table cell
     label: str = ""
+    wrapped: bool = False  # boilerplate only by names of containers around its article
 
 
 def _names(value: str) -> set[str]:
@@ -80,11 +91,33 @@ def _names(value: str) -> set[str]:
     return out
 
 
+def _heads(value: str) -> set[str]:
+    """First and last words of the names in a class or id, of one word or two joined; none of has-sidebar and the like."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = _PARTS.findall(_CAMEL.sub("-", name).lower())
+        if parts and not MODIFIERS & set(parts[:-1]):
+            out |= {parts[0], parts[-1], "".join(parts[:2]), "".join(parts[-2:])}
+    return out
+
+
+def _boiler_name(tag: str, a: dict[str, str], inside_main: bool) -> bool:
+    """Whether class or id name an element as boilerplate."""
+    if tag in ("body", "html") or tag in HEADINGS or tag in PROSE and inside_main:
+        return False
+    by_class, by_id = _heads(a.get("class", "")), _heads(a.get("id", ""))
+    if inside_main:
+        by_class -= OPEN_WORDS | {"header"}  # an article's own header holds its title
+        return bool(by_class & BOILER_WORDS or by_id & SURE_WORDS)
+    words = by_class | by_id
+    return bool((words - OPEN_WORDS if tag in PROSE else words) & BOILER_WORDS)
+
+
 def _role(tag: str, attrs: str, inside_main: bool) -> str:
-    """'skip', 'boiler', 'main' or '' for an element."""
+    """'skip', 'boiler', 'named' (boilerplate by name only), 'main' or '' for an element."""
     if tag in SKIP:
         return "skip"
-    if tag in BOILER or tag == "header" and not inside_main:
+    if tag in BOILER - {"form"} or tag == "header" and not inside_main:
         return "boiler"
     role = "main" if tag in MAIN else ""
     if attrs.strip():
@@ -93,14 +126,12 @@ def _role(tag: str, attrs: str, inside_main: bool) -> str:
             return "skip"
         if a.get("role", "").lower() in ROLES:
             return "boiler"
+        if not role and _boiler_name(tag, a, inside_main):
+            return "named"
         names = _names(f"{a.get('class', '')} {a.get('id', '')}")
-        if inside_main:
-            names.discard("header")  # an article's own header holds its title
-        if tag not in ("body", "html") and names & BOILER_WORDS and not role:
-            return "boiler"
         if a.get("role", "").lower() == "main" or a.get("itemprop", "").lower() == "articlebody" or tag in ("div", "section", "td") and names & MAIN_WORDS:
             role = "main"
-    return role
+    return "named" if tag == "form" and not role else role
 
 
 def blocks(page: str) -> list[Block]:
@@ -110,16 +141,17 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     anchors = mains = 0
 
-    def state() -> tuple[bool, bool, int]:
-        skip = boiler = False
+    def state() -> tuple[bool, bool, int, bool]:
+        skip = boiler = strict = False
         main = 0
         for _, role, number in stack:
             skip |= role == "skip"
-            boiler |= role == "boiler"
+            boiler |= role in ("boiler", "named")
+            strict |= role == "boiler" or role == "named" and main > 0
             main = number or main
-        return skip, boiler, main
+        return skip, boiler, main, boiler and not strict and main > 0
 
-    skip, boiler, main = False, False, 0
+    skip, boiler, main, wrapped = False, False, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -127,7 +159,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                out.append(Block(text, linked, boiler, main, any(t in LISTS for t, _, _ in stack)))
+                out.append(Block(text, linked, boiler, main, any(t in LISTS for t, _, _ in stack), wrapped=wrapped))
         linked = 0
 
     def put(text: str) -> None:
@@ -163,7 +195,7 @@ def blocks(page: str) -> list[Block]:
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
-                skip, boiler, main = state()
+                skip, boiler, main, wrapped = state()
             continue
         if tag == "br":
             buffer.append(" ")
@@ -186,22 +218,33 @@ def blocks(page: str) -> list[Block]:
                 anchors = anchors if tag not in MAIN else 0
             if tag in MAIN and not any(r == "main" for _, r, _ in stack):
                 # an article does not stand in a menu or header: those were left open
-                stack = [x for x in stack if x[1] not in ("boiler", "skip")]
+                stack = [x for x in stack if x[1] not in ("boiler", "named", "skip")]
             if tag == "body":
                 stack = [x for x in stack if x[0] != "head"]
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
             role = _role(tag, m[3], main > 0 or any(r == "main" for _, r, _ in stack))
             if role == "main":
+                if tag not in MAIN and _STRONG.search(m[3]) and not any(r == "main" for _, r, _ in stack):
+                    stack = [x for x in stack if x[1] not in ("boiler", "named")]
                 mains += 1
             stack.append((tag, role, mains if role == "main" else 0))
-            skip, boiler, main = state()
+            skip, boiler, main, wrapped = state()
     flush()
     return out
 
 
 def classify(found: list[Block], lang: str = "") -> list[Block]:
     """Both passes; labels become 'good' or 'bad'."""
+    _passes(found, lang)
+    if all(b.label == "bad" for b in found) and any(b.wrapped for b in found):
+        for b in found:
+            b.boiler &= not b.wrapped
+        _passes(found, lang)
+    return found
+
+
+def _passes(found: list[Block], lang: str) -> None:
     stops = _STOPS.get(lang[:2].lower(), _ANY_STOPS)
     articles = any(b.main and not b.boiler for b in found)
     for b in found:
@@ -225,7 +268,6 @@ def classify(found: list[Block], lang: str = "") -> list[Block]:
             continue
         near = [(abs(k - j), label != "good", label) for j, label in decided if found[j].main == b.main and not (label == "bad" and b.main)]
         b.label = min(near)[2] if near else ("good" if b.main or not articles and len(b.text) >= SHORT else "bad")
-    return found
 
 
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
