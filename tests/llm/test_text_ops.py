@@ -151,6 +151,27 @@ def test_named_boilerplate_still_goes():
     assert H.main_text(f"<p>{TEXT}</p><div class='sidebar'><div class='text'>{TEXT}</div></div>") == TEXT
 
 
+LINKS = "<ul><li><a href=a>First of the links</a></li><li><a href=b>Second of the links</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Zamek zbudowano w czternastym wieku nad brzegiem rzeki, gdzie przez lata mieszkali ksi\u0105\u017c\u0119ta z rodu Piast\u00f3w.",
+        "\u0417\u0430\u043c\u043e\u043a \u043f\u043e\u0441\u0442\u0440\u043e\u0438\u043b\u0438 \u043d\u0430\u0434 \u0440\u0435\u043a\u043e\u0439, \u0433\u0434\u0435 \u043c\u043d\u043e\u0433\u043e \u043b\u0435\u0442 \u0436\u0438\u043b\u0438 \u043a\u043d\u044f\u0437\u044c\u044f \u0438\u0437 \u0441\u0442\u0430\u0440\u043e\u0433\u043e \u0440\u043e\u0434\u0430.",
+        "\u57ce\u306f\u5ddd\u306e\u307b\u3068\u308a\u306b\u5efa\u3066\u3089\u308c\u305f\u3002" * 6,
+        "def area(width, height): return width * height; print(area(3, 4), area(5, 6), area(7, 8))",
+    ],
+)
+def test_long_blocks_without_stop_words(text):
+    assert len(text) >= H.SHORT
+    page = f"<h1>Title</h1><p>{text}</p><p>{text}</p>"
+    assert H.main_text(page) == f"Title {text} {text}"
+    assert H.main_text(LINKS + page) in (f"Title {text} {text}", f"{text} {text}")
+    assert H.main_text(page + LINKS) == f"Title {text} {text}"
+    assert H.main_text(f"<p>{TEXT}</p>{LINKS}<pre>{text}</pre><p>{TEXT} {TEXT}</p>") == f"{TEXT} {text} {TEXT} {TEXT}"
+
+
 def test_pages_against_their_articles(spark, data):
     import html
     import re

@@ -3,7 +3,8 @@
 A page is cut into blocks (what stands between block-level tags).  The first pass decides blocks by where they stand (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments: by element, role, class or id), by link density, by
 stop-word density and by length.  Blocks that stay ambiguous, mostly short ones, take the label of the nearest decided block
-of their own container in the second pass; without one they follow the container: text of an article stays.
+of their own container in the second pass; without one they follow the container: text of an article stays.  Where most long
+blocks lack stop words (other languages, code, tables) they say nothing, and long blocks that are no menus are prose.
 
 A class or id names boilerplate by its first or last word, unless it tells what else the page has (has-sidebar).  Headings are
 never named so, and inside an article neither are paragraphs nor ids of its parts, save for a few sure words.  If nothing is
@@ -262,6 +263,13 @@ def _passes(found: list[Block], lang: str) -> None:
             words = _WORDS.findall(b.text.lower())
             dense = sum(w in stops for w in words) / max(1, len(words))
             b.label = "good" if dense >= DENSE else ""
+    # prose outside articles: text with stop words against all long text that is no menu
+    long = [b for b in found if b.label != "bad" and not b.main and len(b.text) >= SHORT]
+    informative = 2 * sum(len(b.text) for b in long if b.label) >= sum(len(b.text) for b in long)
+    good = [k for k, b in enumerate(found) if b.label == "good" and not b.main]
+    for k, b in enumerate(found):
+        if not b.label and not b.main and len(b.text) >= SHORT and (not informative or good and good[0] < k < good[-1]):
+            b.label = "good"
     decided = [(k, b.label) for k, b in enumerate(found) if b.label and not b.boiler]
     for k, b in enumerate(found):
         if b.label:
