@@ -226,6 +226,32 @@ def test_small_leaves_reach_recall(spark, monkeypatch):
     assert hit / (30 * 5) >= 0.9
 
 
+def test_outliers_get_all_neighbours(spark, monkeypatch):
+    """Tight clusters with a few far vectors, whose own leaves hold fewer than k others."""
+    monkeypatch.setattr(N, "LEAF", 128)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 10
+    points = np.vstack([c + rng.normal(size=(60, 8)) * 0.01 for c in centres] + [rng.normal(size=(4, 8)) * 1000])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    got = N.nearest_neighbours(df, "id >= 700", k=10, recall=0.3).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == dict.fromkeys(range(700, 724), 10)
+
+
+def test_calibration_leaves_copies_out(monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 64)
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(2000, 16)).astype(np.float32).astype(float)
+    hot = np.vstack([points, np.repeat(points[:1], 2000, 0)])
+    tree = N.Tree.fit(points)
+    tree.calibrate(hot, 10)
+    d = ((points[:100, None] - points) ** 2).sum(2)
+    d[np.arange(100), np.arange(100)] = np.inf
+    leaf, hit = tree.leaf_of(points), 0
+    for p, row in zip(points, d):
+        hit += np.isin(leaf[np.argsort(row)[:10]], tree.visit(p, tree.visits)).sum()
+    assert hit / 1000 >= 0.93
+
+
 def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0]), (5, None), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [1.0, None]), (9, [1.0]), (200, []), (None, [1.0, 1.0]), (300, [float("inf"), 0.0])]

@@ -5,8 +5,9 @@
 * Every vector walks down to its leaf.  Equal vectors are kept once, with their k+1 smallest identifiers, collapsed within
   each batch before they move; so a vector that a third of all rows hold is one entry.
 * A query visits leaves best bin first: a priority queue over nodes by distance to their centre.  How many leaves it visits
-  is calibrated: the count grows by a fifth until sampled queries reach ``RECALL`` against brute force over the sample (whose
-  vectors lie further apart than those of the whole table, which makes the count a cautious one).
+  is calibrated: the count grows by a fifth until sampled queries reach ``RECALL`` against brute force over the distinct vectors
+  of the sample, themselves left out (they lie further apart than those of the whole table, which makes the count a cautious
+  one).  A query goes on past that count until its leaves hold more than k+1 identifiers, so outliers get k rows too.
 * Queries meet vectors leaf by leaf.  A leaf larger than ``SLICE`` is dealt over several tasks, with a copy of the query each.
   Distances are computed in double precision on the original vectors.
 
@@ -98,16 +99,17 @@ class Tree:
                         todo.append((child, r))
         return out
 
-    def visit(self, point: np.ndarray, leaves: int) -> list[int]:
-        """The leaves to search, best bin first."""
+    def visit(self, point: np.ndarray, leaves: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The leaves to search, best bin first: so many, and more until they hold ``least`` identifiers by the counts ``held``."""
         if not self.centres:
             return [0]
         out: list[int] = []
-        queue = [(0.0, 0)]
-        while queue and len(out) < leaves:
+        queue, have = [(0.0, 0)], 0
+        while queue and (len(out) < leaves or have < least):
             _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(~node)
+                have += held.get(~node, 0) if held else 0
                 continue
             d = ((self.centres[node] - point) ** 2).sum(1)
             for x, child in zip(d.tolist(), self.children[node]):
@@ -117,10 +119,16 @@ class Tree:
     def calibrate(self, points: np.ndarray, k: int, target: float = RECALL) -> float:
         """Raise ``visits`` by a fifth at a time until sampled queries reach the target; return their recall."""
         rng = np.random.default_rng(9)
-        tries = points[rng.choice(len(points), min(TRIALS, len(points)), replace=False)]
+        rows = np.ascontiguousarray(points, np.float32)
+        points = points[np.unique(rows.view(f"V{rows[0].nbytes}").ravel(), return_index=True)[1]]  # copies are found trivially
+        k = min(k, len(points) - 1)
+        if k < 1:
+            return 1.0
+        mine = rng.choice(len(points), min(TRIALS, len(points)), replace=False)
+        tries = points[mine]
         leaf = self.leaf_of(points)
         d = (points**2).sum(1) - 2 * tries @ points.T + (tries**2).sum(1)[:, None]
-        k = min(k + 1, len(points))
+        d[np.arange(len(mine)), mine] = np.inf  # a query is not its own neighbour
         kth = np.partition(d, k - 1, 1)[:, k - 1]
         orders = [self.visit(t, self.leaves) for t in tries]
         recall = 0.0
@@ -194,12 +202,16 @@ def nearest_neighbours(df: DataFrame, queries, k: int = 10, vec: str = "embeddin
 
     asked = settle(rows.where(queries).mapInArrow(tidy(keyed), "query_id long, key binary"), "queries")
 
+    # a row a leaf, bounded by the sample
+    counts = unique.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect()
+    held = spark.sparkContext.broadcast({r["leaf"]: r["n"] for r in counts})
+
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches:
             keys, leaves = [], []
             for x in b.column(0).to_pylist():
-                found = t.visit(np.frombuffer(x, np.float32).astype(float), t.visits)
+                found = t.visit(np.frombuffer(x, np.float32).astype(float), t.visits, held.value, keep + 1)
                 keys += [x] * len(found)
                 leaves += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(leaves, pa.int64())], ["key", "leaf"])
