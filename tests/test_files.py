@@ -223,3 +223,13 @@ def test_record_and_header_equality(spark, tmp_path):
     j = s.selectExpr("ord", "struct(*) as x").join(s.selectExpr("ord", "struct(*) as y"), "ord")
     assert j.where(records_equal()).count() == 2
     assert headers_equal(["@HD\tVN:1.6\tSO:name", "@PG\tID:a"], ["@HD\tVN:1.6\tSO:coordinate"]) and not headers_equal(["@SQ\tSN:a"], ["@SQ\tSN:b"])
+
+
+def test_bed_merge_overlap(spark, tmp_path):
+    a = put(tmp_path, "m1.bed", "c1\t0\t60\nc1\t40\t100\nc2\t5\t9\n")
+    b = put(tmp_path, "m2.bed", "c1\t0\t100\nc2\t5\t9\n")
+    run = lambda strategy, merge: api._family(spark, "bed", "bed", a, b, strategy, {"tolerance": 0, "overlap_threshold": 0.95, "ignore_order": False, "num_bins": 50, "merge_overlap": merge}, Offline()).first()
+    assert (run("exact", False)["n_ref"], run("exact", True)["n_ref"]) == (3, 2) and run("exact", True)["similarity"] == 1
+    assert (run("approximate", False)["n_ref"], run("approximate", True)["n_ref"]) == (3, 2)
+    assert (run("overlap", False)["ref_bases"], run("overlap", True)["ref_bases"]) == (124, 104)
+    assert run("overlap", False)["shared"] == 124

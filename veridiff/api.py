@@ -117,13 +117,15 @@ def _family(spark: SparkSession, family: str, fmt: str, ref: str, cand: str, str
     if family == "vcf":
         return {"exact": vcf.exact, "approximate": vcf.approximate, "summary": vcf.summary}[strategy](a, b)
     if family == "bed":
+        if p.get("merge_overlap") and strategy != "overlap":  # bed.overlap merges by itself
+            a, b = (bed.I.merge(x).withColumn("ord", F.col("start")) for x in (a, b))
         if strategy == "exact":
             return bed.exact(a, b, p["ignore_order"])
         if strategy == "approximate":
             return bed.approximate(a, b, p["tolerance"], p["overlap_threshold"])
         if strategy == "correlation":
             return bed.correlation(a, b, p["overlap_threshold"], p["correlation_method"])
-        return bed.overlap(a, b) if strategy == "overlap" else bed.summary(a, b, p["num_bins"])
+        return bed.overlap(a, b, merge=p["merge_overlap"]) if strategy == "overlap" else bed.summary(a, b, p["num_bins"])
     if family == "bigwig":
         a, b = signals.head(a, p["max_positions"]), signals.head(b, p["max_positions"])
         if strategy == "approximate":

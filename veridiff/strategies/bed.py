@@ -34,15 +34,17 @@ def approximate(ref: DataFrame, cand: DataFrame, tolerance: int = 0, overlap_thr
     return n.select(value.alias("similarity"), "n_ref", "n_cand", "ref_matched", "cand_matched", K.precision(F.col("cand_matched"), F.col("n_cand")).alias("precision"), K.recall(F.col("ref_matched"), F.col("n_ref")).alias("recall"))
 
 
-def overlap(ref: DataFrame, cand: DataFrame, clip: bool = False) -> DataFrame:
-    """Base-level Jaccard of merged sides.  Overlapping bases are the full lengths of touched reference regions; with
+def overlap(ref: DataFrame, cand: DataFrame, clip: bool = False, merge: bool = True) -> DataFrame:
+    """Base-level Jaccard of merged sides (without ``merge``, of the regions as they are).  Overlapping bases are the full lengths of touched reference regions; with
     ``clip`` only the shared parts."""
-    a, b = I.merge(ref), I.merge(cand)
+    a, b = (I.merge(ref), I.merge(cand)) if merge else (I.valid(ref), I.valid(cand))
     size = F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))
     n = a.agg(size.alias("ref_bases")).crossJoin(b.agg(size.alias("cand_bases")))
     pairs = I.overlap_join(a, b, 4 * I.typical_width(ref, cand))  # merged intervals are longer than those they hold
     if clip:
         shared = pairs.agg(F.coalesce(F.sum("overlap"), F.lit(0)).alias("shared"))
+    elif not merge:  # repeated regions count each
+        shared = I.touching(a, b).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("shared"))
     else:
         touched = pairs.groupBy("ref_chrom", "ref_start", "ref_end").agg(F.lit(1))
         shared = touched.agg(F.coalesce(F.sum(F.col("ref_end") - F.col("ref_start")), F.lit(0)).alias("shared"))
