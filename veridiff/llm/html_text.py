@@ -1,10 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks (what stands between block-level tags).  The first pass decides blocks by where they stand (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments: by element, role, class or id), by link density, by
-stop-word density and by length.  Blocks that stay ambiguous, mostly short ones, take the label of the nearest decided block
-of their own container in the second pass; without one they follow the container: text of an article stays.  Where most long
-blocks lack stop words (other languages, code, tables) they say nothing, and long blocks that are no menus are prose.
+A page is cut into blocks (what stands between block-level tags).  The first pass decides each block by itself: menus,
+headers, footers, sidebars, notices, adverts, forms and reader comments that markup declares (element, role, class or id) and
+blocks of links are bad, long blocks dense in stop words are good, the rest, mostly short blocks, is ambiguous.  Where most
+long blocks lack stop words (other languages, code, tables) these say nothing, and length decides; so it does between prose.
+Containers such as ``article`` count where the prose that the first pass found stands in them: then all outside is furniture.
+In the second pass ambiguous blocks take the label of the nearest decided one; in an article, of one of its own.
 
 A class or id names boilerplate by its first or last word, unless it tells what else the page has (has-sidebar).  Headings are
 never named so, and inside an article neither are paragraphs nor ids of its parts, save for a few sure words.  If nothing is
@@ -79,6 +80,7 @@ class Block:
     main: int  # number of the article-like container, 0 for none
     listed: bool = False  # stands in a list or table cell
     label: str = ""
+    late: str = ""  # label of the second pass
     wrapped: bool = False  # boilerplate only by names of containers around its article
 
 
@@ -247,35 +249,60 @@ def classify(found: list[Block], lang: str = "") -> list[Block]:
 
 def _passes(found: list[Block], lang: str) -> None:
     stops = _STOPS.get(lang[:2].lower(), _ANY_STOPS)
-    articles = any(b.main and not b.boiler for b in found)
     for b in found:
-        size = len("".join(b.text.split()))
-        share = b.linked / max(1, size)
-        if b.boiler:
-            b.label = "bad"
-        elif share >= LINKED and (b.listed or not b.main):  # a linked heading or paragraph of an article is no menu
-            b.label = "bad"
-        elif articles and not b.main:
-            b.label = "bad"
-        elif len(b.text) < SHORT:
-            b.label = ""
-        else:
-            words = _WORDS.findall(b.text.lower())
-            dense = sum(w in stops for w in words) / max(1, len(words))
-            b.label = "good" if dense >= DENSE else ""
-    # prose outside articles: text with stop words against all long text that is no menu
-    long = [b for b in found if b.label != "bad" and not b.main and len(b.text) >= SHORT]
+        b.label = _decide(b, stops)
+    _unread(found)
+    inside = _place(found)
+    _inherit(found, inside)
+
+
+def _decide(b: Block, stops: frozenset[str]) -> str:
+    """First pass, each block by itself: link density, length, stop-word density; '' is ambiguous."""
+    if b.boiler or b.linked >= LINKED * max(1, len("".join(b.text.split()))) and (b.listed or not b.main):
+        return "bad"  # a linked heading or paragraph of an article is no menu
+    if len(b.text) < SHORT:
+        return ""
+    words = _WORDS.findall(b.text.lower())
+    return "good" if sum(w in stops for w in words) >= DENSE * max(1, len(words)) else ""
+
+
+def _unread(found: list[Block]) -> None:
+    """Where most long text lacks stop words they say nothing, and length decides; so it does between blocks of prose."""
+    long = [b for b in found if b.label != "bad" and len(b.text) >= SHORT]
     informative = 2 * sum(len(b.text) for b in long if b.label) >= sum(len(b.text) for b in long)
-    good = [k for k, b in enumerate(found) if b.label == "good" and not b.main]
+    good = [k for k, b in enumerate(found) if b.label == "good"]
     for k, b in enumerate(found):
-        if not b.label and not b.main and len(b.text) >= SHORT and (not informative or good and good[0] < k < good[-1]):
+        if not b.label and len(b.text) >= SHORT and (not informative or good and good[0] < k < good[-1]):
             b.label = "good"
-    decided = [(k, b.label) for k, b in enumerate(found) if b.label and not b.boiler]
+
+
+def _place(found: list[Block]) -> bool:
+    """Whether containers hold the text: the decided prose must stand in them.  What is outside is then furniture; teasers and
+    containers without prose count as plain blocks."""
+    good: dict[int, int] = {}
+    for b in found:
+        if b.label == "good":
+            good[b.main] = good.get(b.main, 0) + len(b.text)
+    outside, held = good.pop(0, 0), sorted({b.main for b in found if b.main and not b.boiler})
+    prose = sum(good.values())
+    inside = bool(held) and (outside <= prose or len(held) == 1 and prose > 0)
+    for b in found:
+        if inside and not b.main:
+            b.label = "bad"
+    return inside
+
+
+def _inherit(found: list[Block], inside: bool) -> None:
+    """Second pass: ambiguous blocks take the label of the nearest decided one, good ones first at equal distance.  In an
+    article only its own blocks count, and not the adverts and the like that stand between them."""
+    decided = [(k, b) for k, b in enumerate(found) if b.label]
     for k, b in enumerate(found):
-        if b.label:
-            continue
-        near = [(abs(k - j), label != "good", label) for j, label in decided if found[j].main == b.main and not (label == "bad" and b.main)]
-        b.label = min(near)[2] if near else ("good" if b.main or not articles and len(b.text) >= SHORT else "bad")
+        if not b.label:
+            near = [(abs(k - j), x.label != "good", x.label) for j, x in decided if not inside or x.main == b.main and not x.boiler]
+            late = "good" if inside or b.main or len(b.text) >= SHORT else "bad"
+            b.late = min(near)[2] if near else late
+    for b in found:
+        b.label = b.label or b.late
 
 
 _LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", re.I)
