@@ -2,18 +2,21 @@
 
 * The tree is fitted on the driver on at most ``SAMPLE`` vectors, chosen by hash of the identifier: k-means with ``BRANCH``
   centres, again inside each cluster, down to ``LEAF`` sampled vectors.  It is small (bounded by the sample) and broadcast.
-* Every vector walks down to its leaf.  Equal vectors are kept once, with their k+1 smallest identifiers, collapsed within
-  each batch before they move; so a vector that a third of all rows hold is one entry.
+* Every vector walks down to its leaf.  Equal vectors are kept once, with their k+1 smallest distinct identifiers, collapsed
+  within each batch before they move; so a vector that a third of all rows hold is one entry.  Of more than k+1 identifiers
+  at one distance no larger one can be among the k nearest, so nothing is lost.
 * A query visits leaves best bin first: a priority queue over nodes by distance to their centre.  How many leaves it visits
   is calibrated: the count grows by a fifth until sampled queries reach ``RECALL`` against brute force over the distinct vectors
   of the sample, themselves left out (they lie further apart than those of the whole table, which makes the count a cautious
-  one).  A query goes on past that count until its leaves hold more than k+1 identifiers, so outliers get k rows too.
+  one).  A query goes on past that count until its leaves hold more than k+1 identifiers, so outliers get k rows too; one
+  that still finds fewer, for identifiers that repeat, searches every leaf.
 * Queries meet vectors leaf by leaf.  A leaf larger than ``SLICE`` is dealt over several tasks, with a copy of the query each.
-  Distances are computed in double precision on the original vectors.
+  Distances are computed in double precision on the original vectors, which move as they are stored (float or double).
 
 Vectors that are null, zero or empty, hold null or non-finite components, or have another dimension than most, take no part,
-as queries neither.  Ties go to the smaller identifier.  A repeated identifier counts as a candidate of its own row's vector;
-a query's own identifier is never its neighbour.  Empty tables give no rows; other columns are ignored.
+as queries neither.  Ties go to the smaller identifier.  An identifier is one candidate: rows that repeat it count by their
+nearest vector, and a query identifier with several rows by the nearest of them.  A query's own identifier is never its
+neighbour.  Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import settle, tidy
 
@@ -119,7 +123,7 @@ class Tree:
     def calibrate(self, points: np.ndarray, k: int, target: float = RECALL) -> float:
         """Raise ``visits`` by a fifth at a time until sampled queries reach the target; return their recall."""
         rng = np.random.default_rng(9)
-        rows = np.ascontiguousarray(points, np.float32)
+        rows = np.ascontiguousarray(points)
         points = points[np.unique(rows.view(f"V{rows[0].nbytes}").ravel(), return_index=True)[1]]  # copies are found trivially
         k = min(k, len(points) - 1)
         if k < 1:
@@ -143,11 +147,16 @@ class Tree:
             self.visits = min(self.leaves, max(self.visits + 1, self.visits * 6 // 5))
 
 
+def _stored(df: DataFrame, vec: str) -> type:
+    """Float vectors move as floats, all others as doubles."""
+    return np.float32 if df.schema[vec].dataType == ArrayType(FloatType(), df.schema[vec].dataType.containsNull) else np.float64
+
+
 def usable(df: DataFrame, vec: str, id_col: str) -> tuple[DataFrame, int]:
     """(id, vec) of the rows that take part, and their dimension."""
     v = F.col(vec)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    ok = df.where(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.cast("array<float>").alias("vec"))
+    ok = df.where(F.col(id_col).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).cast("long").alias("id"), v.cast(df.schema[vec].dataType if _stored(df, vec) == np.float32 else "array<double>").alias("vec"))
     top = ok.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     return (ok.where(F.size("vec") == top[0]["n"]), top[0]["n"]) if top else (ok, 0)
 
@@ -168,85 +177,102 @@ def nearest_neighbours(df: DataFrame, queries, k: int = 10, vec: str = "embeddin
     tree = Tree.fit(points)
     tree.calibrate(points, k, recall)
     shared = spark.sparkContext.broadcast(tree)
-    keep = k + 1
+    keep, stored = k + 1, _stored(df, vec)
+    width = f"V{np.dtype(stored).itemsize * dim}"
+
+    def keys_of(m: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(m, stored).view(width).ravel()
+
+    def points_of(keys) -> np.ndarray:
+        return np.frombuffer(b"".join(keys), stored).reshape(-1, dim).astype(float)
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, leaf, id): at most ``keep`` smallest ids of each distinct vector of a batch."""
+        """Rows (key, leaf, ids): the smallest distinct ids of each distinct vector of a batch."""
         for b in batches:
-            m = np.ascontiguousarray(_matrix(b.column(1), dim), np.float32)
+            m = _matrix(b.column(1), dim)
             if not len(m):
                 continue
-            ids = b.column(0).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            raw = m.view(f"V{4 * dim}").ravel()[order].tolist()
-            seen: dict[bytes, int] = {}
-            take = []
-            for i, x in zip(order.tolist(), raw):
-                n = seen.get(x, 0)
-                if n < keep:
-                    seen[x] = n + 1
-                    take.append(i)
-            take = np.array(take)
-            leaf = shared.value.leaf_of(m[take].astype(float))
-            keys = m[take].view(f"V{4 * dim}").ravel().tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(leaf), pa.array(ids[take])], ["key", "leaf", "id"])
-
+            held: dict[bytes, set[int]] = {}
+            for x, i in zip(keys_of(m).tolist(), b.column(0).to_pylist()):
+                held.setdefault(x, set()).add(i)
+            leaf = shared.value.leaf_of(points_of(held))
+            ids = [sorted(v)[:keep] for v in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(leaf), pa.array(ids, pa.list_(pa.int64()))], ["key", "leaf", "ids"])
+
+    # dense ranks: rows that repeat an identifier share one
     first = Window.partitionBy("key").orderBy("id")
-    unique = rows.mapInArrow(tidy(collapse), "key binary, leaf long, id long").withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep)
-    unique = settle(unique.groupBy("key").agg(F.first("leaf").alias("leaf"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    unique = rows.mapInArrow(tidy(collapse), "key binary, leaf long, ids array<long>").select("key", "leaf", F.explode("ids").alias("id"))
+    unique = unique.withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= keep)
+    unique = settle(unique.groupBy("key").agg(F.first("leaf").alias("leaf"), F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = np.ascontiguousarray(_matrix(b.column(1), dim), np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.view(f"V{4 * dim}").ravel().tolist(), pa.binary())], ["query_id", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys_of(_matrix(b.column(1), dim)).tolist(), pa.binary())], ["query_id", "key"])
 
-    asked = settle(rows.where(queries).mapInArrow(tidy(keyed), "query_id long, key binary"), "queries")
+    asked = settle(rows.where(queries).mapInArrow(tidy(keyed), "query_id long, key binary").distinct(), "queries")
 
     # a row a leaf, bounded by the sample
     counts = unique.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect()
     held = spark.sparkContext.broadcast({r["leaf"]: r["n"] for r in counts})
-
-    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for b in batches:
-            keys, leaves = [], []
-            for x in b.column(0).to_pylist():
-                found = t.visit(np.frombuffer(x, np.float32).astype(float), t.visits, held.value, keep + 1)
-                keys += [x] * len(found)
-                leaves += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(leaves, pa.int64())], ["key", "leaf"])
-
     slices = unique.groupBy("leaf").agg(F.ceil(F.count("*") / SLICE).alias("slices"))  # a row a leaf, bounded by the sample
-    left = asked.select("key").distinct().mapInArrow(tidy(routes), "key binary, leaf long").join(F.broadcast(slices), "leaf")
-    left = left.select("key", "leaf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     right = unique.join(F.broadcast(slices), "leaf").select("key", "ids", "leaf", F.pmod(F.xxhash64("key"), "slices").alias("slice"))
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
             return pd.DataFrame({"key": [], "id": [], "score": []})
-        points = np.frombuffer(b"".join(v["key"]), np.float32).reshape(-1, dim).astype(float)
-        ids, asked_keys = v["ids"].tolist(), q["key"].tolist()
-        asked_points = np.frombuffer(b"".join(asked_keys), np.float32).reshape(-1, dim).astype(float)
-        squares, n = (points**2).sum(1), min(keep, len(points))
+        points, ids, asked_keys = points_of(v["key"]), v["ids"].tolist(), q["key"].tolist()
+        asked_points, squares = points_of(asked_keys), (points**2).sum(1)
+        enough = min(keep, len({y for held in ids for y in held}))
         keys, found, scores = [], [], []
-        for k in range(0, len(asked_points), 256):
-            block = asked_points[k : k + 256]
+        for at in range(0, len(asked_points), 256):
+            block = asked_points[at : at + 256]
             own = (block**2).sum(1)[:, None]
             rough = squares - 2 * block @ points.T + own
             # a product's rounding error is far below this slack; what lies within is measured exactly
-            limit = np.partition(rough, n - 1, 1)[:, n - 1 : n] + 1e-9 * (own + squares.max())
-            for x, p, near in zip(asked_keys[k : k + 256], block, rough <= limit):
-                rows = np.flatnonzero(near)
-                d = np.sqrt(((points[rows] - p) ** 2).sum(1)).tolist()
-                best = sorted((s, y) for s, i in zip(d, rows.tolist()) for y in ids[i])[:keep]
+            slack = 1e-9 * (own + squares.max())
+            n = min(keep, len(points))
+            limit = np.partition(rough, n - 1, 1)[:, n - 1 : n] + slack
+            for x, p, far, top, eps in zip(asked_keys[at : at + 256], block, rough, limit, slack):
+                n = min(keep, len(points))
+                while True:
+                    rows = np.flatnonzero(far <= top)
+                    best: dict[int, float] = {}
+                    for s, y in sorted((s, y) for s, i in zip(np.sqrt(((points[rows] - p) ** 2).sum(1)).tolist(), rows.tolist()) for y in ids[i]):
+                        if len(best) < keep:
+                            best.setdefault(y, s)
+                    if len(best) >= enough:
+                        break
+                    n = min(2 * n, len(points))  # identifiers repeat: look further
+                    top = np.partition(far, n - 1)[n - 1] + eps
                 keys += [x] * len(best)
-                found += [y for _, y in best]
-                scores += [s for s, _ in best]
+                found += best.keys()
+                scores += best.values()
         return pd.DataFrame({"key": keys, "id": found, "score": scores})
 
-    hits = left.groupBy("leaf", "slice").cogroup(right.groupBy("leaf", "slice")).applyInPandas(search, "key binary, id long, score double")
-    near = Window.partitionBy("key").orderBy("score", "id")
-    hits = hits.withColumn("r", F.row_number().over(near)).where(F.col("r") <= keep).select("key", "id", "score")
+    def meet(keys: DataFrame, visits: int) -> DataFrame:
+        """(key, id, score): the nearest identifiers of each key in the leaves that it visits."""
+
+        def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out, leaves = [], []
+                for x in b.column(0).to_pylist():
+                    found = shared.value.visit(np.frombuffer(x, stored).astype(float), visits, held.value, keep + 1)
+                    out += [x] * len(found)
+                    leaves += found
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(leaves, pa.int64())], ["key", "leaf"])
+
+        left = keys.mapInArrow(tidy(routes), "key binary, leaf long").join(F.broadcast(slices), "leaf")
+        left = left.select("key", "leaf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        hits = left.groupBy("leaf", "slice").cogroup(right.groupBy("leaf", "slice")).applyInPandas(search, "key binary, id long, score double")
+        near = Window.partitionBy("key").orderBy("score", "id")
+        hits = hits.repartition("key").groupBy("key", "id").agg(F.min("score").alias("score"))
+        return hits.withColumn("r", F.row_number().over(near)).where(F.col("r") <= keep).drop("r")
+
+    hits = settle(meet(asked.select("key").distinct(), tree.visits), "hits")
+    short = settle(asked.join(hits.groupBy("key").count().where(F.col("count") >= keep), "key", "left_anti").select("key").distinct(), "short")
+    if tree.visits < tree.leaves and short.take(1):
+        hits = hits.join(short, "key", "left_anti").unionByName(meet(short, tree.leaves))
     mine = Window.partitionBy("query_id").orderBy("score", "id")
-    out = asked.join(hits, "key").where("id <> query_id").withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
+    out = asked.join(hits, "key").where("id <> query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    out = out.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
