@@ -16,7 +16,7 @@ from veridiff.llm.quotations import link_quotations
 from veridiff.llm.url_filters import intervals, judge
 
 
-@pytest.mark.parametrize("name", ["op5_quotation_linking", "op9_url_filters"])
+@pytest.mark.parametrize("name", ["op5_quotation_linking", "quotation_linking_replies", "op9_url_filters"])
 def test_against_sql(spark, data, name):
     assert rows_of(Q.QUERIES[name](spark, data)) == rows_of_sql(connect(data), Q.ORACLE_SQL[name])
 
@@ -345,6 +345,32 @@ def talk(spark):
     return spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")
 
 
+def test_replies_are_linked(spark, data):
+    rows = Q.QUERIES["quotation_linking_replies"](spark, data)
+    assert rows.where("parent_turn = turn - 1 and turn % 2 = 1").count() > 30 and rows.where("depth > 1").count() > 0
+
+
+def test_quotations_are_native(spark, data):
+    import re
+
+    plan = Q.QUERIES["quotation_linking_replies"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|InArrow", plan)
+
+
+def test_common_lines_and_long_turns(spark, monkeypatch):
+    """A line that every message says and quotes, over several ranges of turns, some of 13 digits, some negative."""
+    from veridiff.llm import quotations
+
+    monkeypatch.setattr(quotations, "RANGE", 4)
+    turns = [*range(-6, 30), 10**12 + 1, 10**13 + 5, 2**62]
+    df = spark.createDataFrame([(1, t, "user", "> hello there\nhello there") for t in turns], "conv_id long, turn long, role string, text string")
+    df = df.withColumn("h", F.lit(1)).withColumn("parent", F.lit("x")).withColumn("lines", F.lit(0))
+    rows = {r["turn"]: r for r in link_quotations(df).collect()}
+    assert [rows[t]["parent_turn"] for t in turns] == [None, *turns[:-1]]
+    assert len({r["order_key"] for r in rows.values()}) == len(turns)
+    assert [r["turn"] for r in sorted(rows.values(), key=lambda r: r["order_key"])] == turns
+
+
 def test_quotations(spark):
     rows = {(r["conv_id"], r["turn"]): r for r in link_quotations(talk(spark)).collect()}
     assert (rows[1, 2]["parent_turn"], rows[1, 2]["root_turn"], rows[1, 2]["depth"], rows[1, 2]["text"]) == (1, 1, 1, "And in place?")
@@ -417,3 +443,13 @@ def test_pipeline_stages(spark, data):
 def test_linked_blocks():
     page = "<main><h1><a href=x>A linked title</a></h1><p>The text of the article is here and it has a few of the usual words in it.</p><p><a href=y>See the source</a></p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></main>"
     assert H.main_text(page) == "A linked title The text of the article is here and it has a few of the usual words in it. See the source"
+
+
+def test_columns_named_like_results(spark):
+    """Captures whose columns clash with results and working names keep the others; nulls and repeats stay."""
+    pages = spark.createDataFrame([("http://a.b.c/x", 5, 1, "q", "r", True), (None, 5, 2, "q", "r", True), ("http://a.b.c/x", 5, 1, "q", "r", True)], "url string, fetched int, _url int, _at string, Categories string, n_entries boolean").withColumn("key", F.lit("k"))
+    events = spark.createDataFrame([("b.c", "x", 1, "add")], "key string, category string, day int, action string")
+    out = judge(pages, events)
+    assert out.columns == ["url", "fetched", "_url", "_at", "key", "blocked", "n_entries", "categories"]
+    assert sorted(map(str, ((r["_url"], r["_at"], r["blocked"], r["n_entries"], r["categories"]) for r in out.collect()))) == ["(1, 'q', True, 1, ['x'])"] * 2 + ["(2, 'q', False, 0, [])"]
+    assert judge(pages.limit(0), events).count() == 0

@@ -70,8 +70,8 @@ p AS (SELECT conv, turn, len(translate(regexp_extract(line, '^[ \t]*(?:>[ \t]*)+
     trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '')), '[\s\x{A0}]+', ' ', 'g')) AS body FROM l),
 q AS (SELECT conv, turn, body, min(level) AS level, count(*) AS n FROM p WHERE level > 0 AND body <> '' GROUP BY ALL),
 o AS (SELECT DISTINCT conv, turn AS parent, body FROM p WHERE level = 0 AND body <> ''),
-v AS (SELECT q.conv, q.turn, o.parent, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS direct, sum(n) AS linked
-    FROM q JOIN o ON q.conv = o.conv AND q.body = o.body AND o.parent < q.turn GROUP BY ALL),
+e AS (SELECT q.conv, q.turn, q.level, q.n, max(o.parent) AS parent FROM q JOIN o ON q.conv = o.conv AND q.body = o.body AND o.parent < q.turn GROUP BY q.conv, q.turn, q.body, q.level, q.n),
+v AS (SELECT conv, turn, parent, sum(CASE WHEN level = 1 THEN n ELSE 0 END) AS direct, sum(n) AS linked FROM e GROUP BY ALL),
 b AS (SELECT conv, turn, parent, linked FROM v QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY direct DESC, linked DESC, parent DESC) = 1),
 t(conv, turn, root, depth) AS (SELECT conv, turn, parent, 1 FROM b UNION ALL SELECT t.conv, t.turn, b.parent, t.depth + 1 FROM t JOIN b ON b.conv = t.conv AND b.turn = t.root),
 d AS (SELECT conv, turn, root, depth FROM t QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY depth DESC) = 1),
@@ -79,13 +79,47 @@ k AS (SELECT conv, turn, role, lines, list_transform(lines, lambda x: regexp_mat
 SELECT k.conv AS conv_id, k.turn, k.role, b.parent AS parent_turn, coalesce(d.root, k.turn) AS root_turn, coalesce(d.depth, 0)::INTEGER AS depth,
   len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*(?:>[ \t]*)+') AND trim(regexp_replace(x, '^[ \t]*(?:>[ \t]*)+', '')) <> ''))::INTEGER AS n_quoted,
   coalesce(b.linked, 0)::BIGINT AS n_linked,
-  lpad(coalesce(d.root, k.turn)::VARCHAR, 12, '0') || '/' || lpad(k.turn::VARCHAR, 12, '0') AS order_key,
+  lpad(coalesce(d.root, k.turn)::VARCHAR, 19, '0') || '/' || lpad(k.turn::VARCHAR, 19, '0') AS order_key,
   regexp_replace(regexp_replace(array_to_string(list_filter(lines, lambda x, i: NOT (quoted[i] OR (regexp_matches(x, '(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$') AND coalesce(quoted[i + 1], false)))), chr(10)),
     '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text
 FROM k LEFT JOIN b ON b.conv = k.conv AND b.turn = k.turn LEFT JOIN d ON d.conv = k.conv AND d.turn = k.turn
 """
 
 
+def quoting_conversations(conversations: DataFrame) -> DataFrame:
+    """``conversations`` as mail programs would have made them: every odd turn quotes the turn before it, every third turn also
+    the one before that at a second level, and every fourth conversation opens with the same line in each turn."""
+    talk = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    talk = talk.withColumn("text", F.expr("if(conv_id % 4 = 0, concat('Dear all,\n', text), text)"))
+
+    def earlier(by: int, name: str) -> DataFrame:
+        first = talk.groupBy("conv_id", "turn").agg(F.min("text").alias(name))
+        return first.select("conv_id", (F.col("turn") + by).alias("turn"), name)
+
+    out = talk.join(earlier(1, "t1"), ["conv_id", "turn"], "left").join(earlier(2, "t2"), ["conv_id", "turn"], "left")
+    once = F.expr("if(turn % 2 = 1 and t1 is not null, concat('They wrote:\n> ', replace(t1, '\n', '\n> '), '\n'), '')")
+    twice = F.expr("if(turn % 3 = 0 and t2 is not null, concat('> > ', replace(t2, '\n', '\n> > '), '\n'), '')")
+    return out.select("conv_id", "turn", "role", F.concat(once, twice, "text").alias("text"))
+
+
+def quotation_linking_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking where messages do quote: the given conversations hold no quotes."""
+    from .quotations import link_quotations
+
+    return link_quotations(quoting_conversations(table(spark, sf_dir, "conversations")))
+
+
+QUOTING_SQL = r"""
+talk AS (SELECT conv_id, turn::BIGINT AS turn, role, CASE WHEN conv_id % 4 = 0 THEN 'Dear all,' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM conversations),
+first_text AS (SELECT conv_id, turn, min(text) AS t FROM talk GROUP BY ALL),
+quoting AS (SELECT c.conv_id, c.turn, c.role,
+    CASE WHEN c.turn % 2 = 1 AND a.t IS NOT NULL THEN 'They wrote:' || chr(10) || '> ' || replace(a.t, chr(10), chr(10) || '> ') || chr(10) ELSE '' END ||
+    CASE WHEN c.turn % 3 = 0 AND b.t IS NOT NULL THEN '> > ' || replace(b.t, chr(10), chr(10) || '> > ') || chr(10) ELSE '' END || c.text AS text
+  FROM talk c LEFT JOIN first_text a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN first_text b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2),
+"""
+REPLIES_SQL = OP5_SQL.replace("WITH RECURSIVE ", "WITH RECURSIVE" + QUOTING_SQL).replace("FROM conversations),\nl AS", "FROM quoting),\nl AS")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -166,6 +200,7 @@ QUERIES = {
         op3_token_counts,
         op4_nearest_neighbours,
         op5_quotation_linking,
+        quotation_linking_replies,
         op6_html_extraction,
         op7_sentencepiece,
         op8_exact_dedup,
@@ -173,4 +208,4 @@ QUERIES = {
         op10_toxicity,
     )
 }
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_quotation_linking": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1_SQL, "op5_quotation_linking": OP5_SQL, "quotation_linking_replies": REPLIES_SQL, "op8_exact_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}

@@ -1,26 +1,29 @@
 """Chat formatting by quotation linking: who replies to whom, read from quoted passages.
 
 A line's quote level is the number of ``>`` marks it starts with.  Lines are normalised (marks off, lower case, blanks
-collapsed) and hashed; the hashes of quoted lines are joined to the unquoted lines of earlier messages of the same
-conversation.  A message replies to the message that holds most of the lines it quotes at level 1 (any level, where none of
-level 1 is found), the later one of several.  Following replies up gives each message its thread's first turn and its depth;
+collapsed) and hashed; hashes and bodies of quoted lines meet those of the unquoted lines of earlier messages of the same
+conversation, and each quoted line names the latest earlier message that says it.  A message replies to the message that
+most of the lines it quotes at level 1 name (at any level, where none of level 1 is found), the later one of several.  Following replies up gives each message its thread's first turn and its depth;
 sorting by ``order_key`` within a conversation puts every reply behind what it answers, thread by thread, and ``text`` is
 what is left without quotes and the lines that introduce them.
 
-DataFrame code only.  Conversations are never gathered: each message stays a row, so one of any size does no harm.  Defined
-results: null texts give empty ones; messages without a conversation or turn are never linked; equal rows are kept; of
+DataFrame code only.  Conversations are never gathered: each message stays a row, so one of any size does no harm.  A line
+that m messages quote and n say makes m + n rows, dealt by ranges of ``RANGE`` turns.  ``order_key`` holds turns with all
+digits a long may have, negative ones before the others.  Defined results: null texts give empty ones; messages without a conversation or turn are never linked; equal rows are kept; of
 several messages with one turn the thread follows the turn; an empty table gives no rows; other columns but role are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
 
 #: How mail programs introduce a quotation, in the languages of the corpus.
 INTRODUCTION = r"(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$"
+#: Turns of one range; a common line's rows of a range are one window.
+RANGE = 4096
 QUOTE = r"^[ \t]*(?:>[ \t]*)+"
 
 
@@ -52,13 +55,18 @@ def replies(messages: DataFrame) -> DataFrame:
     with_quotes = messages.where(F.col("text").rlike("(?m)" + QUOTE) & F.col("conv").isNotNull() & F.col("turn").isNotNull())
     quoted = _lines(with_quotes).where("level > 0")
     # only conversations that quote at all need their lines; the semi join moves whole messages, before any explode
-    own = _lines(messages.join(with_quotes.select("conv").distinct(), "conv", "left_semi")).where("level = 0")
-    own = own.groupBy("conv", "h", "body").agg(F.collect_set("turn").alias("turns"))
-    hits = quoted.groupBy("conv", "turn", "h", "body").agg(F.min("level").alias("level"), F.count("*").alias("n"))
-    # hashes meet; the bodies decide
-    hits = hits.join(own.withColumnRenamed("body", "own_body"), ["conv", "h"]).where("body = own_body")
-    hits = hits.select("conv", "turn", "level", "n", F.explode("turns").alias("parent")).where("parent < turn")
-    votes = hits.groupBy("conv", "turn", "parent").agg(F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("direct"), F.sum("n").alias("linked"))
+    own = _lines(messages.where("turn is not null").join(with_quotes.select("conv").distinct(), "conv", "left_semi")).where("level = 0")
+    said = own.groupBy("conv", "h", "body", "turn").agg(F.lit(None).cast("int").alias("level"), F.lit(0).cast("long").alias("n"))
+    asked = quoted.groupBy("conv", "h", "body", "turn").agg(F.min("level").alias("level"), F.count("*").alias("n"))
+    both = asked.unionByName(said).withColumn("range", F.expr(f"turn div {RANGE}"))
+    # the latest earlier turn that says a line: of the same range of turns, or else of the ranges before
+    near = Window.partitionBy("conv", "h", "body", "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    line = both.withColumn("near", F.max(F.expr("if(n = 0, turn, null)")).over(near)).where("n > 0")
+    ends = both.groupBy("conv", "h", "body", "range").agg(F.max(F.expr("if(n = 0, turn, null)")).alias("last"))
+    before = Window.partitionBy("conv", "h", "body").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("far", F.max("last").over(before)).where("far is not null").drop("last")
+    line = line.join(ends, ["conv", "h", "body", "range"], "left").withColumn("parent", F.coalesce("near", "far")).where("parent is not null")
+    votes = line.groupBy("conv", "turn", "parent").agg(F.sum(F.when(F.col("level") == 1, F.col("n")).otherwise(0)).alias("direct"), F.sum("n").alias("linked"))
     best = votes.groupBy("conv", "turn").agg(F.max(F.struct("direct", "linked", "parent")).alias("v"))
     return best.select("conv", "turn", F.col("v.parent").alias("parent"), F.col("v.linked").alias("linked"))
 
@@ -74,6 +82,12 @@ def threads(links: DataFrame) -> DataFrame:
             return now
 
 
+def _sortable(turn: Column) -> Column:
+    """A turn as text whose order is that of the numbers."""
+    low = F.concat(F.lit("-"), F.lpad(turn.bitwiseXOR(F.lit(-(2**63))).cast("string"), 19, "0"))
+    return F.when(turn < 0, low).otherwise(F.lpad(turn.cast("string"), 19, "0"))
+
+
 def link_quotations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conversation, turn, role, parent_turn, root_turn, depth, n_quoted, n_linked, order_key, text."""
     messages = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -91,6 +105,6 @@ def link_quotations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.coalesce("depth", F.lit(0)).cast("int").alias("depth"),
         F.size(F.filter("lines", lambda x: x.rlike(QUOTE) & (F.length(_plain(x)) > 0))).cast("int").alias("n_quoted"),
         F.coalesce("linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.concat_ws("/", F.lpad(root.cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 12, "0")).alias("order_key"),
+        F.concat_ws("/", _sortable(root), _sortable(F.col("turn"))).alias("order_key"),
         _own_text(F.col("lines")).alias(text),
     )
