@@ -7,7 +7,8 @@ time.  Equal (url, time) pairs are judged once, and so a host that a third of al
 what is joined by key are urls, whose skewed partitions adaptive execution splits.
 
 Nulls: a capture without url or time matches nothing; events without key, day or action are ignored; two events of an entry
-on one day: removal comes last.  Rows that repeat are kept; other columns are ignored.
+on one day: removal comes last.  Rows that repeat are kept; other columns go through, but for those named like a result, which
+the result replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,5 +48,13 @@ def judge(captures: DataFrame, events: DataFrame, url: str = "url", at: str = "f
     keyed = asked.select("_url", "_at", F.explode(keys_of(F.col("_url"))).alias("key"))
     hits = keyed.join(intervals(events), "key").where("valid_from <= _at and (valid_to is null or _at < valid_to)")
     found = hits.groupBy("_url", "_at").agg(F.count("*").alias("n_entries"), F.sort_array(F.collect_set("category")).alias("categories"))
-    out = captures.join(found, (captures[url] == found["_url"]) & (captures[at] == found["_at"]), "left").drop("_url", "_at")
-    return out.withColumns({"blocked": F.col("n_entries").isNotNull(), "n_entries": F.coalesce("n_entries", F.lit(0)).cast("long"), "categories": F.coalesce("categories", F.array().cast("array<string>"))})
+    results = {"blocked", "n_entries", "categories"}
+    kept = [F.col(f"_row.`{c}`") for c in captures.columns if c.lower() not in results]
+    rows = captures.select(F.struct("*").alias("_row"), captures[url].alias("_u"), captures[at].alias("_t"))
+    out = rows.join(found, (F.col("_u") == F.col("_url")) & (F.col("_t") == F.col("_at")), "left")
+    return out.select(
+        *kept,
+        F.col("n_entries").isNotNull().alias("blocked"),
+        F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"),
+        F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+    )
