@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from .common import crc32_utf8, give_back, settle, small_batches, tidy
 
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
-MAX_FEATURES = 50_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 PRIOR = 0.3  # size of the prior, as a share of the counted words
 ERRORS = 2.0  # standard errors taken off a ratio
@@ -143,7 +142,7 @@ def text_counts(words: list[str]) -> Counter:
 
 
 def log_odds(toxic: Counter, clean: Counter) -> dict[str, float]:
-    """Cautious log-odds ratios of features that speak for toxicity, at most ``MAX_FEATURES``, and 0 for exempt clean words."""
+    """Cautious log-odds ratios of features that speak for toxicity, and 0 for exempt clean words."""
     size_t, size_c = toxic[""] + 1, clean[""] + 1
     prior = PRIOR * (size_t + size_c)
     out = []
@@ -157,7 +156,7 @@ def log_odds(toxic: Counter, clean: Counter) -> dict[str, float]:
         if d > LEAST:
             out.append((d, f))
     out.sort(reverse=True)
-    ratios = {f: d for d, f in out[:MAX_FEATURES]}
+    ratios = {f: d for d, f in out}
     m = Model(dict(ratios))
     return ratios | {f: 0.0 for f, c in clean.items() if c and f and not f.endswith("~") and f not in ratios and m.ratio(f) > 0}
 
