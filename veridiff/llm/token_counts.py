@@ -6,10 +6,11 @@ Each transition carries the change in the number of emitted tokens (negative whe
 States and transitions are built when first met and dropped together when ``MAX_STATES`` is reached; that bounds memory and
 changes no result.
 
-A text is cut into chunks.  The map of a chunk is (head, body, exit): the characters before its first *reset* (a place that
+Every text is cut into chunks of ``CHUNK`` characters.  The map of a chunk is (head, body, exit): the characters before its first *reset* (a place that
 no piece crosses, where every state becomes the start state), the tokens between its first and last reset, and the state
 with its count after the last one.  :func:`compose` joins the maps of neighbours and is associative, so :func:`scan` may
-combine them in any tree order; a text of any length needs memory for one chunk map at a time.
+combine them in any tree order.  Inside a chunk a unit between two resets has the same count wherever it stands; the
+transducer's result for it is kept while there is room.
 
 Nulls and empty texts have no tokens; other columns are ignored; repeated rows are counted each.
 """
@@ -27,7 +28,7 @@ from .pieces import BPE, MARK, Vocabulary
 
 MAX_STATES = 150_000
 MAX_WORDS = 1_000_000
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 
 
 class Transducer:
@@ -160,9 +161,7 @@ class Counter(dict):
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         text = self.v.normalise(text)
-        if len(text) <= chunk:
-            return sum(map(self.__getitem__, self.find(text)))
-        return self.close(self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
+        return self.close(self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, max(1, len(text)), chunk)]))
 
 
 def token_counts(df: DataFrame, model_file: str, text: str = "text", id_col: str = "doc_id", limit: int = 4096) -> DataFrame:
