@@ -1,12 +1,16 @@
 """Packing of tokenized documents into as few fixed-length sequences as possible.
 
 1. *Tokens.* Texts are cut at ASCII blanks, which no token of a word-level BPE crosses; distinct units are encoded by the
-   tokenizers library once per worker block and joined.  Documents longer than the capacity are cut into pieces.
+   tokenizers library once per worker block and joined (whole texts for other kinds of tokenizers).  Documents longer than the capacity are cut into pieces.
 2. *Best fit decreasing* runs inside hash partitions of bounded size.
-3. *Certificate.* Dual-feasible functions over a partition's length histogram give a lower bound on its sequences; the same
-   bound over the histogram of all pieces (at most ``capacity`` rows) is the bound for the whole set.
-4. *Exchange.* While the total stands above that bound, partitions release the documents of their loose sequences; these
-   meet in fewer, mixed partitions and are packed again.  Full sequences never move again, so each round shuffles less.
+3. *Certificate.* Dual-feasible functions over a partition's length histogram give a lower bound on its sequences; a
+   partition that meets it is certified and done.  The same bound over the histogram of all pieces (at most ``capacity``
+   rows) certifies the whole set.
+4. *Exchange.* While the bound of the whole set is not met, partitions with a gap, and those certified only because their
+   own lengths match badly, keep their full sequences and release the documents of all others; partitions whose free space
+   is less than a sequence release the emptiest one, which is what their bound rounded up.  Released documents meet in
+   fewer, mixed partitions and are packed again, best fit decreasing.  Rounds end when that bound is met, the rest fits into
+   one partition, or a round saved nothing; there is no other limit.
 
 Null texts count as empty: they hold the closing id alone.  Rows that repeat are packed each.  Other columns are ignored.
 """
@@ -27,7 +31,6 @@ from .common import settle, small_batches, tidy, union_all
 MAX_UNITS = 300_000
 BLOCK_CHARS = 1 << 19
 GROUP = 8192
-ROUNDS = 6
 
 
 # -- tokens ------------------------------------------------------------------------------------------------------------
@@ -36,9 +39,10 @@ ROUNDS = 6
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, unit by unit; kept units are dropped together when full.
 
-    Any tokenizer file works: units are what lies between ASCII blanks.  For the usual word-level pattern (contractions,
-    letters, single digits, other signs) with lower-casing, texts of Latin-1 letters and ASCII signs are lower-cased and cut
-    by that pattern itself; their words repeat far more often, and many of them are encoded in one call.
+    Files with the usual word-level pattern (contractions, letters, single digits, other signs) and lower-casing part texts
+    at ASCII blanks, so units are what lies between these; texts of Latin-1 letters and ASCII signs are lower-cased and cut
+    by that pattern itself, as their words repeat far more often, and many of them are encoded in one call.  With any other
+    tokenizer file whole texts are encoded.
     """
 
     #: The split pattern and normalizers that the fast path restates.
@@ -54,6 +58,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.find = re.compile("[^ \t\n\r]+").findall
         self.kept: dict[str, bytes] = {}
         self.special = list(self.tokenizer.get_added_tokens_decoder().items())
@@ -69,22 +75,21 @@ class UnitEncoder:
             self.words = re.compile("[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+").findall
 
     def _units(self, text: str) -> list[str]:
-        if self.ends is None or self.odd(text) or any(t.content[:2] in text for _, t in self.special):
+        if self.odd(text) or any(t.content[:2] in text for _, t in self.special):
             return self.find(text)
         return self.words(text.lower())
 
     def _learn(self, units: list[str]) -> None:
         """Encode units many at a time: pure words are parted by their end-of-word ids, others by a special token."""
-        if self.ends is not None:
-            words = [u for u in units if u.isalpha() and max(u) <= "ÿ"]
-            for i in range(0, len(words), 1000):
-                group = words[i : i + 1000]
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-                cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-                raw = ids.tobytes()
-                assert len(cuts) == len(group)
-                self.kept.update(zip(group, map(raw.__getitem__, map(slice, [0, *cuts[:-1].tolist()], cuts.tolist()))))
-            units = list(set(units).difference(words))
+        words = [u for u in units if u.isalpha() and max(u) <= "ÿ"]
+        for i in range(0, len(words), 1000):
+            group = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw = ids.tobytes()
+            assert len(cuts) == len(group)
+            self.kept.update(zip(group, map(raw.__getitem__, map(slice, [0, *cuts[:-1].tolist()], cuts.tolist()))))
+        units = list(set(units).difference(words))
         if self.special:
             sep, mark = self.special[0][0], self.special[0][1].content
             odd = [u for u in units if any(t.content[0] in u for _, t in self.special)]
@@ -100,6 +105,8 @@ class UnitEncoder:
             self.kept[u] = np.array(e.ids, "<u4").tobytes()
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
+        if self.ends is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         units = [self._units(t) for t in texts]
         new = list(set().union(*units).difference(self.kept))
         if len(self.kept) + len(new) > MAX_UNITS:
@@ -194,56 +201,58 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, free
 
 
-def pack(pieces: DataFrame, capacity: int, key: list[str], rounds: int = ROUNDS, group: int = GROUP) -> DataFrame:
-    """``pieces`` (with a ``length`` from 1 to capacity) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int, key: list[str], group: int = GROUP) -> DataFrame:
+    """``pieces`` (with a ``length`` from 1 to capacity) with sequence_id, offset and certified: whether the partition that
+    packed the sequence last met its bound, or all sequences together met that of all pieces."""
     pieces = settle(pieces, "pieces")
     hist = pieces.groupBy("length").count().toPandas()  # at most ``capacity`` rows
     counts = np.zeros(capacity + 1, np.int64)
     counts[hist["length"].to_numpy(np.int64)] = hist["count"].to_numpy(np.int64)
     bound = lower_bound(counts, capacity)
-    full, rest = int(counts[capacity]), int(counts[:capacity].sum())
-    whole = F.monotonically_increasing_id()
-    done = [pieces.where(F.col("length") == capacity).withColumns({"sequence_id": whole, "offset": F.lit(0).cast("long")})]
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long, _loose boolean"
+    frozen, rest = int(counts[capacity]), int(counts[:capacity].sum())
+    sure = F.lit(True).alias("certified")
+    done = [pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "certified": sure})]
+    schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", sequence_id long, offset long, _gap boolean, _loose boolean"
     todo = pieces.where(F.col("length") < capacity)
-    loose_at = max(1, capacity // 256)
+    best, r = None, 0
 
     # pack_group numbers sequences as round (from 1), group, bin within it; full pieces stand in round 0
-    for r in range(1, rounds + 1):
-        if not rest:
-            break
+    while rest:
+        r += 1
         groups = -(-rest // group)
-        last = r == rounds or groups == 1
 
-        def pack_group(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # runs before r and last change: each round is written
+        def pack_group(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # runs before r changes: each round is written
             g = int(k[0])
             lengths = rows["length"].to_numpy(np.int64)
             bins, offsets, free = best_fit_decreasing(lengths, capacity)
-            left = np.array(free)
-            loose = np.zeros(len(free), bool) if last else left >= loose_at
-            if not last and left.sum() < loose_at:  # nothing to win by an exchange
-                loose[:] = False
+            gap = len(free) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
             rows = rows.drop(columns="_g")
             rows["sequence_id"] = (r << 58) + (g << 20) + bins
             rows["offset"] = offsets
-            rows["_loose"] = loose[bins]
+            rows["_gap"] = gap
+            left = np.array(free)
+            release = left > 0
+            if not gap and left.sum() < capacity:  # as full as it can be: only what the bound rounded up
+                release &= np.arange(len(left)) == left.argmax()
+            rows["_loose"] = release[bins]
             return rows
 
         salted = todo.withColumn("_g", F.pmod(F.xxhash64(F.lit(r), *key), F.lit(groups)))
         out = settle(salted.groupBy("_g").applyInPandas(pack_group, schema), f"packed{r}")
-        size = out.groupBy("_loose").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("n")).collect()
-        loose = next((x for x in size if x["_loose"]), None)
-        bins = full + sum(x["bins"] for x in size)
-        full += sum(x["bins"] for x in size if not x["_loose"])
-        if last or loose is None or bins <= bound or loose["n"] == rest and groups == 1:
-            done.append(out.drop("_loose"))
+        size = {x["_loose"]: x for x in out.groupBy("_loose").agg(F.sum(F.expr("if(offset = 0, 1, 0)")).alias("bins"), F.count("*").alias("n")).collect()}
+        tight, loose = (size[k]["bins"] if k in size else 0 for k in (False, True))
+        met = frozen + tight + loose <= bound
+        if met or not loose or groups == 1 or best is not None and frozen + tight + loose >= best:
+            done.append(out.withColumn("certified", F.lit(met) | ~F.col("_gap")).drop("_gap", "_loose"))
             break
-        done.append(out.where("not _loose").drop("_loose"))
-        todo, rest = out.where("_loose").select(pieces.columns), loose["n"]
+        best = frozen + tight + loose
+        frozen, rest = frozen + tight, size[True]["n"]
+        done.append(out.where("not _loose").withColumn("certified", sure).drop("_gap", "_loose"))
+        todo = out.where("_loose").select(pieces.columns)
     return union_all(done)
 
 
 def best_fit_packing(df: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset (and ids when asked)."""
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, certified (and ids when asked)."""
     pieces = token_pieces(df, tokenizer_file, capacity, end_id, text, id_col, with_ids)
     return pack(pieces, capacity, [id_col, "piece", "start", "ids_crc32"])
