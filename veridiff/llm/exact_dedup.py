@@ -107,10 +107,10 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", diges
     groups = rows.join(hits, "digest", "left")
 
     # full bytes on hits: the text is part of the grouping key, collapsed within each task before it moves
-    texts = df.select(F.col(id_col).alias("id"), normalised(F.col(text)).alias("body"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("size"))
-    texts = texts.withColumn("digest", digest(F.col("body"))).where(screen(hits)(F.col("digest"))).join(hits.select("digest"), "digest", "left_semi")
-    variants = texts.groupBy("digest", "body").agg(F.count("*").alias("n"))
-    shared = variants.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").select("digest")
+    texts = df.select(normalised(F.col(text)).alias("body"))
+    texts = texts.withColumn("digest", digest(F.col("body"))).where(screen(hits)(F.col("digest")))
+    variants = texts.groupBy("digest", "body").agg(F.count("*").alias("n")).select("digest")
+    shared = variants.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").join(hits.select("digest"), "digest", "left_semi").select("digest")
     clash = settle(shared, "clash")
     out = groups.select("digest", "id", "locator", F.coalesce("best.id", F.when(F.col("best").isNull(), F.col("id"))).alias("keep_id"), F.coalesce("best.locator", "locator").alias("keep_locator"), F.coalesce("n", F.lit(1)).alias("group_size"))
     if clash.take(1):
