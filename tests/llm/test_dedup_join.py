@@ -114,11 +114,35 @@ def test_large_cells(spark, monkeypatch):
     """Cells beyond the pairing size, in several blocks, lose no link."""
     monkeypatch.setattr(J, "CELL", 2)
     monkeypatch.setattr(J, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(J, "RECENT", 3)
     shared = " ".join(f"s{i}" for i in range(40))
     docs = corpus(5, 60) + [(1000 + i, f"{shared} " + " ".join(f"x{i}y{k}" for k in range(i % 12))) for i in range(60)]
     check(spark, docs, 8)
 
 
+@pytest.mark.parametrize("centre", [True, False])
+def test_one_passage_in_all_rows(spark, monkeypatch, centre):
+    """A group whose members link by way of a centre, or only here and there, over salted keys."""
+    monkeypatch.setattr(J, "CELL", 4)
+    monkeypatch.setattr(J, "SALT_ROWS", 8)
+    monkeypatch.setattr(J, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(11)
+    base = [f"s{i}" for i in range(90)]
+    docs = [(500, " ".join(base))] if centre else []
+    for i in range(90):
+        words = list(base)
+        for k in rng.choice(90, int(rng.integers(1, 4)), replace=False).tolist():
+            words[k] = f"n{i}x{k}"
+        docs.append((i, " ".join(words + [f"t{i}y{k}" for k in range(i % 9)])))
+    check(spark, docs, 9)
+
+
+def test_repeated_ids_tie_their_texts(spark):
+    first, second = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(1, first), (5, first), (5, second), (7, second)], "doc_id long, text string").repartition(4)
+    assert sorted(r["component_id"] for r in J.similar_components(df).collect()) == [1, 1, 1, 1]
+
+
 def test_join_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, " \t\n", 1), (3, "one two", 1), (4, "One  TWO", 2), (5, "ÉTÉ a b c d e", 1), (6, "été a b c d e", 1), (None, "one two", 1), (7, "x " * 30_000, 1), (7, "x " * 30_000, 1)], "doc_id long, text string, node int")
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in J.similar_components(df).collect())

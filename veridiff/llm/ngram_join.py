@@ -14,15 +14,18 @@ smallest size below it, so the same sum bounds the overlap with everything in th
 
 1. Frequent shingles are counted over all documents (sums of local counts; the most frequent ``HEAVY`` are broadcast).  They
    only set an order, rarest first; any order gives the same links.
-2. Each batch of rows is indexed in an R-tree and joined with itself; its components become *nodes*: boxes of the upper level
-   of the tree, with the largest counts and least size of their members.  A group of near copies, however large, leaves a
-   batch as one node.
-3. Nodes meet where prefixes meet: sets that link share one of their first n - ceil(t n) + 1 shingles in the order of 1.
-   Of a shingle shared by more than ``CELL`` nodes first only pairs with its first node are tried; what these links leave
-   apart is paired in full afterwards.
-4. Pairs whose boxes can't overlap enough are dropped; of the rest the representatives' sets are compared exactly.  Pairs
-   that stay apart are opened: their members meet, bounded by their own points, then compared exactly.
-5. Components of the links, by rewiring on the executors.
+2. Each batch of rows is indexed in an R-tree and joined with itself; its components become *nodes*.  Equal sets of several
+   batches go on once.
+3. Sets meet where prefixes meet: sets that link share one of their first n - ceil(t n) + 1 shingles in the order of 1, and
+   at the first one that they share, what is left of each set from there on bounds their overlap.  The sets that share a
+   shingle are a *cell*; its first set is the one with the greatest part left.  In a cell of more than ``CELL`` sets only
+   pairs with the first one are tried at once.  A shingle of more than ``SALT_ROWS`` documents is dealt over several keys.
+4. Pairs whose points can't overlap enough are dropped; of the rest the most promising pair of each set is compared exactly.
+   Near copies share much of each other but most of their centre, so these links connect a group.
+5. What the components of these links leave apart goes on: the other pairs; in large cells one set of each component
+   against the cell's centre; then every set for which another component of its cell holds a set of fitting size and
+   remainder.  These meet in blocks, each searched through a tree of points, and survivors are compared exactly.
+6. Components of all links, by rewiring on the executors.
 
 Nothing is capped or sampled.  Defined results: null or blank texts have n_shingles 0 and are their own component; rows that
 repeat a doc_id are one document for reachability; rows with a null doc_id take no part and get a null component_id; an
@@ -43,17 +46,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .common import connected_components, give_back, regrouped, settle, small_batches, tidy
+from .exact_dedup import screen
 
 WORDS = 5
 GROUPS = 64
 FILL = 3
-BOX_FILL = 12
 HEAVY = 1 << 18
 LOCAL = 2
 CELL = 32
+SALT_ROWS = 1 << 13
+RECENT = 100_000
 BLOCK_ROWS = 1024
 FAN = 32
-BITS = 1 << 23
+BITS = 1 << 27
 BLOCK = 1 << 19
 
 # -- shingles ------------------------------------------------------------------------------------------------------------
@@ -280,14 +285,14 @@ def _heavy(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h, n
 
 
-def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
-    """Per row: id, n, node; on the first row of each distinct set of a batch also vec, digest and its share of the routes;
-    on the row that names a node also its box."""
-    shared = rows.sparkSession.sparkContext.broadcast(heavy)
-    schema = "id long, n long, node long, member boolean, vec binary, digest binary, routes array<long>, box binary, least long, most long"
+def _nodes(rows: DataFrame, heavy, salted: np.ndarray, rule: Jaccard) -> DataFrame:
+    """Per row: id, n, node; on the first row of each distinct set of a batch also vec, digest and its routes, the keys of its
+    prefix in the common order."""
+    shared = rows.sparkSession.sparkContext.broadcast((*heavy, salted))
+    schema = "id long, n long, node long, vec binary, digest binary, routes array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = shared.value
+        tokens, counts, salted = shared.value
         for b in regrouped(batches, 4_000, 12 << 20):
             ids = b.column(0).to_pylist()
             sets = shingle_sets([t.as_buffer().to_pybytes() for t in b.column(1)])
@@ -308,158 +313,204 @@ def _nodes(rows: DataFrame, heavy, rule: Jaccard) -> DataFrame:
             digests = list(first)
             vectors = [count_vector(s) for s in distinct]
             joined = local_components(distinct, vectors, rule)
-            roots = [joined.root(k) for k in range(len(distinct))]
             name: dict[int, int] = {}
-            groups: dict[int, list[int]] = {}
-            for k, r in enumerate(roots):
-                name[r] = min(name.get(r, names[k]), names[k])
-                groups.setdefault(r, []).append(k)
-            routes: dict[int, list[int]] = {}
-            box: dict[int, tuple] = {}
-            for r, ks in groups.items():
-                seen: set[int] = set()
-                for k in ks:
-                    s = distinct[k]
+            for k, key in enumerate(names):
+                r = joined.root(k)
+                name[r] = min(name.get(r, key), key)
+            routes = []
+            for key, s in zip(names, distinct):
+                n = np.zeros(len(s), np.int64)
+                if len(tokens):
                     at = np.searchsorted(tokens, s)
                     at[at == len(tokens)] = 0
-                    n = np.where(tokens[at] == s, counts[at], 0) if len(tokens) else np.zeros(len(s), int)
-                    p = s[np.argsort(n, kind="stable")[: rule.prefix(len(s))]].view(np.int64).tolist()
-                    routes[k] = [x for x in p if x not in seen] if len(ks) > 1 else p
-                    if len(ks) > 1:
-                        seen.update(p)
-                sizes = [len(distinct[k]) for k in ks]
-                least = groups_for(min(sizes), BOX_FILL)
-                box[r] = packed(np.maximum.reduce([fold(vectors[k], least) for k in ks])), min(sizes), max(sizes)
+                    n = np.where(tokens[at] == s, counts[at], 0)
+                routes.append(_deal(s[np.argsort(n, kind="stable")[: rule.prefix(len(s))]], key, salted).view(np.int64))
             done: set[int] = set()
-            boxed: set[int] = set()
-            cols: list[list] = [[] for _ in range(10)]
-            for i, (key, s) in enumerate(zip(ids, sets)):
-                k = kind[i]
-                row = [key, len(s), key, False, None, None, None, None, None, None]
+            cols: list[list] = [[] for _ in range(6)]
+            for key, s, k in zip(ids, sets, kind):
+                row = [key, len(s), key, None, None, None]
                 if k >= 0:
-                    r = roots[k]
-                    row[2] = name[r]
+                    row[2] = name[joined.root(k)]
                     if k not in done and key == names[k]:
                         done.add(k)
-                        row[3:7] = True, packed(vectors[k]), digests[k], routes[k]
-                        if key == name[r] and r not in boxed:
-                            boxed.add(r)
-                            row[7:] = box[r]
+                        row[3:] = packed(vectors[k]), digests[k], routes[k]
                 for c, x in zip(cols, row):
                     c.append(x)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in schema.split(", ")])
 
     return rows.mapInArrow(tidy(run), schema)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, node), sorted: pairs of nodes that share a token (a < b), and the rows of large cells (kind 1)."""
-    token, held, count = None, [], 0
-    for b in batches:
-        t, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        kinds, left, right = [], [], []
-        # a token met once in the middle of a batch has no partner
-        lone = np.ones(len(t), bool)
-        lone[0] = lone[-1] = False
-        lone[1:] &= t[1:] != t[:-1]
-        lone[:-1] &= t[1:] != t[:-1]
-        for x, node in zip(t[~lone].tolist(), v[~lone].tolist()):
-            if x != token:
-                token, held, count = x, [], 0
-            if node in held:
-                continue
-            if count <= CELL:
-                partners = held
-            else:
-                partners = held[:1]
-            for h in partners:
-                kinds.append(0)
-                left.append(min(h, node))
-                right.append(max(h, node))
-            count += 1
-            if count <= CELL:
-                held.append(node)
-            else:
-                if count == CELL + 1:
-                    kinds += [1] * len(held)
-                    left += [token] * len(held)
-                    right += held
-                kinds.append(1)
-                left.append(token)
-                right.append(node)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["kind", "a", "b"])
+def _salted(heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of more than ``SALT_ROWS`` documents, and over how many keys each is dealt; then all those keys and their tokens."""
+    h, n = heavy
+    h, n = h[n > SALT_ROWS], n[n > SALT_ROWS]
+    parts = (-(-n // SALT_ROWS)).astype(np.uint64)
+    whole = np.repeat(h, parts.astype(np.int64))
+    part = np.arange(len(whole), dtype=np.uint64) - np.repeat(np.cumsum(parts) - parts, parts.astype(np.int64))
+    keys = _mix(whole + part * _P)
+    order = np.argsort(keys)
+    return np.stack([h, parts]), keys[order], whole[order]
+
+
+def _deal(prefix: np.ndarray, name: int, salted: np.ndarray) -> np.ndarray:
+    """The keys of a prefix: tokens, but for salted ones the key of the part that this set falls in."""
+    h, parts = salted
+    if not len(h):
+        return prefix
+    at = np.searchsorted(h, prefix)
+    at[at == len(h)] = 0
+    hit = h[at] == prefix
+    out = prefix.copy()
+    part = _mix(np.full(1, name, np.int64).view(np.uint64)) % parts[at[hit]]
+    out[hit] = _mix(prefix[hit] + part * _P)
+    return out
+
+
+def _cells(rule: Jaccard, salted: np.ndarray, whole: np.ndarray):
+    """Rows (token, id, node, n, left), sorted by token and the share left: pairs that may link, and rows of large cells.
+
+    ``left`` is how much of a set stands at and behind the token in the common order, so at the first token that two sets
+    share the lesser of both bounds their overlap.  Rows of salted keys always go on, under their whole token.
+    """
+    salted, whole = salted.view(np.int64), whole.view(np.int64)
+    order = np.argsort(salted)
+    salted, whole = salted[order], whole[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num, both = rule.num, rule.num + rule.den
+        token, held, count, recent = None, [], 0, set()
+        for b in batches:
+            t = b.column(0).to_numpy()
+            # a token met once in the middle of a batch has no partner
+            lone = np.ones(len(t), bool)
+            lone[0] = lone[-1] = False
+            lone[1:] &= t[1:] != t[:-1]
+            lone[:-1] &= t[1:] != t[:-1]
+            parts = np.full(len(t), -1)
+            if len(salted):
+                at = np.searchsorted(salted, t)
+                at[at == len(salted)] = 0
+                parts = np.where(salted[at] == t, at, -1)
+            lone &= parts < 0
+            out: list[list] = [[], [], [], [], []]
+
+            def send(*row) -> None:
+                for c, v in zip(out, row):
+                    c.append(v)
+
+            for t, x, node, n, left, part in zip(*(c.to_numpy()[~lone].tolist() for c in b.columns), parts[~lone].tolist()):
+                if t != token:
+                    token, held, count = t, [], 0
+                for y, other, m, rest in held if count <= CELL else held[:1]:
+                    if other != node and both * min(left, rest) >= num * (n + m) and (pair := (min(x, y), max(x, y))) not in recent:
+                        recent.add(pair)
+                        send(*pair, None, None, None)
+                count += 1
+                if part >= 0:
+                    send(int(whole[part]), x, node, n, left)
+                elif count == CELL + 1:
+                    for r in held:
+                        send(t, *r)
+                    send(t, x, node, n, left)
+                elif count > CELL:
+                    send(t, x, node, n, left)
+                if count <= CELL:
+                    held.append((x, node, n, left))
+                if len(recent) > RECENT:
+                    recent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "node", "n", "left"])
+
+    return run
 
 
 def _block_join(rule: Jaccard):
-    """Pairs of boxes of two blocks of a large cell that lie in different components and may link."""
+    """Pairs of rows of two blocks of a large cell that lie in different components and may link."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
-        boxes = [unpacked(x) for x in rows["box"]]
-        coarse = np.array([fold(v, GROUPS) for v in boxes], np.uint32).reshape(-1, GROUPS)
-        least, most = rows["least"].to_numpy(np.int64), rows["most"].to_numpy(np.int64)
-        comp, block, node = rows["comp"].to_numpy(), rows["block"].to_numpy(), rows["node"].to_numpy()
-        tree = CountTree(coarse, least, most, rule)
+        rows = rows.drop_duplicates("id")
+        vectors = [unpacked(x) for x in rows["vec"]]
+        coarse = np.array([fold(v, GROUPS) for v in vectors], np.uint32).reshape(-1, GROUPS)
+        n, left = rows["n"].to_numpy(np.int64), rows["left"].to_numpy(np.int64)
+        comp, block, ids = rows["comp"].to_numpy(), rows["block"].to_numpy(), rows["id"].to_numpy()
+        tree = CountTree(coarse, n, n, rule)
         a, b = [], []
         for i in range(len(rows)):
-            for j in tree.search(coarse[i], int(least[i]), int(most[i])).tolist():
-                if node[i] < node[j] and comp[i] != comp[j] and (key[1] == key[2] or block[i] != block[j]):
-                    if min(len(boxes[i]), len(boxes[j])) == GROUPS or rule.enough(overlap_bound(boxes[i], boxes[j]), int(least[i] + least[j])):
-                        a.append(node[i])
-                        b.append(node[j])
+            found = tree.search(coarse[i], int(n[i]), int(n[i]))
+            found = found[(ids[found] > ids[i]) & (comp[found] != comp[i])]
+            found = found[rule.enough(np.minimum(left[found], left[i]), n[found] + n[i])]
+            if key[1] != key[2]:
+                found = found[block[found] != block[i]]
+            for j in found.tolist():
+                if min(len(vectors[i]), len(vectors[j])) == GROUPS or rule.enough(overlap_bound(vectors[i], vectors[j]), int(n[i] + n[j])):
+                    a.append(ids[i])
+                    b.append(ids[j])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
 
-def _member_pairs(rule: Jaccard):
-    """Pairs of members of two nodes that may link, by size and by the bound of their own points."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list[int]] = [[], [], [], []]
-            for a, c, ma, mc in zip(*(col.to_pylist() for col in b.columns)):
-                for i in ma:
-                    for j in mc:
-                        if rule.den * i["n"] >= rule.num * j["n"] and rule.den * j["n"] >= rule.num * i["n"]:
-                            if rule.enough(overlap_bound(unpacked(i["vec"]), unpacked(j["vec"])), i["n"] + j["n"]):
-                                for col, x in zip(out, (a, c, i["x"], j["x"])):
-                                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(col, pa.int64()) for col in out], ["a", "b", "x", "y"])
-
-    return run
+def _bound(left: str, right: str):
+    """Upper bound of the overlap of the sets whose points are in two columns."""
 
-
-def _may_link(left: str, right: str, rule: Jaccard):
-    """Condition: the points or boxes in two columns, of sets of sizes at least nl and nr, allow enough overlap."""
-    @pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+    @pandas_udf("long")
+    def bound(a: pd.Series, b: pd.Series) -> pd.Series:
         small = ((a.str.len() == 2 * GROUPS) & (b.str.len() == 2 * GROUPS)).to_numpy(bool)
-        bound = np.zeros(len(a), np.int64)
+        out = np.zeros(len(a), np.int64)
         x, y = (unpacked(b"".join(v[small])).reshape(-1, GROUPS) for v in (a, b))
-        bound[small] = np.minimum(x, y).sum(1, dtype=np.int64)
+        out[small] = np.minimum(x, y).sum(1, dtype=np.int64)
         for i in np.flatnonzero(~small).tolist():
-            bound[i] = overlap_bound(unpacked(a.iat[i]), unpacked(b.iat[i]))
-        return pd.Series(rule.enough(bound, n.to_numpy()))
+            out[i] = overlap_bound(unpacked(a.iat[i]), unpacked(b.iat[i]))
+        return pd.Series(out)
+
+    return bound(F.col(left), F.col(right))
 
-    return lambda sizes: check(F.col(left), F.col(right), sizes)
 
+def _screen(ids: DataFrame, n: int):
+    """A test of arrays of ids that passes all of ``ids``, at most n, and few others: a bit map, 16 bits an id, 16 MB at most.
 
-def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, set) of the wanted ids (and of a few others: a bit map of one megabyte screens the texts where they are read)."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
-    maps = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("m")).collect()
-    flags = np.zeros(BITS, bool)
+    It only spares rows a shuffle; the join that follows decides.
+    """
+    bits = min(BITS, 1 << max(20, (16 * n).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    maps = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("k")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("m")).toLocalIterator()
+    flags = np.zeros(bits // 8, np.uint8)
     for r in maps:
-        m = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")
-        flags[r["k"] * 32768 : r["k"] * 32768 + len(m)] = m
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(flags))
+        m = np.frombuffer(r["m"], np.uint8)
+        flags[r["k"] * 4096 : r["k"] * 4096 + len(m)] = m
+    shared = ids.sparkSession.sparkContext.broadcast(flags)
+
+    def keep(b: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of a batch whose last column, their bit, is on."""
+        at = b.column(b.num_columns - 1).to_numpy()
+        return b.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    return bit, keep
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
+def _points_of(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The points that may occur in settled ``pairs``."""
+    bit, keep = _screen(_ends(pairs), 2 * pairs.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(keep(b).columns[:-1], b.schema.names[:-1])
+
+    return points.select("*", bit.alias("bit")).mapInArrow(run, points.schema)
+
+
+def _sets_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, set) of the documents of settled ``pairs`` (and of a few others)."""
+    bit, keep = _screen(_ends(pairs), 2 * pairs.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            b = b.filter(pa.array(on[b.column(2).to_numpy()]))
+            b = keep(b)
             sets = shingle_sets([t.as_buffer().to_pybytes() for t in b.column(1)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
@@ -467,19 +518,18 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, rule: Jaccard, name: str) -> DataFrame:
-    """``pairs`` (x, y and others) whose documents link."""
-    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id")))
-    sets = settle(_sets_of(rows, wanted).join(wanted.distinct(), "id", "left_semi"), name)
-    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("set").alias("sy")), "y")
-    keep = [c for c in pairs.columns]
+    """``pairs`` (a, b and others) whose documents link."""
+    sets = settle(_sets_of(rows, pairs).join(_ends(pairs).distinct(), "id", "left_semi"), name)
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    keep = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column(b.schema.get_field_index("sx")), b.column(b.schema.get_field_index("sy"))
-            ok = [rule.links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, c)]
+            x, y = b.column(b.schema.get_field_index("sa")), b.column(b.schema.get_field_index("sb"))
+            ok = [rule.links(np.frombuffer(i.as_buffer(), np.uint64), np.frombuffer(j.as_buffer(), np.uint64)) for i, j in zip(x, y)]
             yield b.filter(pa.array(ok, pa.bool_())).select(keep)
 
-    return both.select(*keep, "sx", "sy").mapInArrow(tidy(run), pairs.schema)
+    return both.select(*keep, "sa", "sb").mapInArrow(tidy(run), pairs.schema)
 
 
 def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", num: int = 4, den: int = 5) -> DataFrame:
@@ -488,50 +538,78 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     heavy = _heavy(rows.select("text"))
-    nodes = settle(_nodes(rows, heavy, rule), "nodes")
-    named = nodes.where("box is not null").select("node", "box", "digest", "least", "most")
-
-    routes = nodes.where("routes is not null").select(F.explode("routes").alias("token"), "node")
-    cells = settle(routes.repartition("token").sortWithinPartitions("token", "node").mapInArrow(tidy(_cells), "kind int, a long, b long").distinct(), "cells")
-    met = cells.where("kind = 0").select("a", "b")
-
-    def boxed(p: DataFrame) -> DataFrame:
-        q = p.join(named.toDF("a", "box_a", "dig_a", "least_a", "most_a"), "a").join(named.toDF("b", "box_b", "dig_b", "least_b", "most_b"), "b")
-        q = q.where(f"most_a * {den} >= least_b * {num} and most_b * {den} >= least_a * {num}")
-        q = q.withColumn("same", F.col("dig_a") == F.col("dig_b"))
-        return q.where(F.col("same") | _may_link("box_a", "box_b", rule)(F.col("least_a") + F.col("least_b"))).select("a", "b", "same")
-
-    near = settle(boxed(met), "near")
-    same = near.where("same").select("a", "b")
-    # first one pair for each node: in a group of near copies these links are a spanning tree, and the rest needs no comparison
-    first = near.where("not same").groupBy("b").agg(F.min("a").alias("a")).select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
-    first = settle(first, "first")
-    links = settle(_verified(rows, first, rule, "sets").select("a", "b").unionByName(same), "links")
-    comps = settle(connected_components(links), "comps")
-
-    # what the representatives left apart: pairs of nodes with more members, and the rest of large cells
+    parts, keys, tokens = _salted(heavy)
+    nodes = settle(_nodes(rows, heavy, parts, rule), "nodes")
+    # equal sets of different batches go on once
+    equal = nodes.where("vec is not null").groupBy("digest").agg(F.min("id").alias("b"), F.max("id").alias("hi")).where("b <> hi").select("digest", "b")
+    equal = settle(nodes.where("vec is not null").select("id", "node", "digest").join(equal, "digest").where("id <> b").select("id", "digest", "node", "b"), "equal")
+    maybe, distinct = screen(equal)(F.col("digest")), nodes.where("vec is not null")
+    distinct = distinct.where(~maybe).unionByName(distinct.where(maybe).join(equal.select("id", "digest"), ["id", "digest"], "left_anti"))
+    points = settle(distinct.select("id", "node", "n", "vec"), "points")
+
+    routes = distinct.select(F.posexplode("routes").alias("pos", "token"), "id", "node", "n").select("token", "id", "node", "n", F.expr("n - pos").alias("left"))
+    dealt = routes.repartition("token").sortWithinPartitions("token", F.desc(F.expr("left / n")), "id")
+    cells = settle(dealt.mapInArrow(tidy(_cells(rule, keys, tokens)), "a long, b long, node long, n long, left long"), "cells")
+
+    def bounded(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose points allow a link: a, b, their nodes, and how near they may be."""
+        pairs = settle(pairs, f"pairs_{name}")
+        own = _points_of(points, pairs)
+        q = pairs.join(own.toDF("a", "node_a", "n_a", "vec_a"), "a").join(own.toDF("b", "node_b", "n_b", "vec_b"), "b")
+        q = q.select("a", "b", "node_a", "node_b", F.expr("n_a + n_b").alias("sizes"), _bound("vec_a", "vec_b").alias("bound"))
+        return q.where(F.col("bound") * (num + den) >= F.col("sizes") * num).select("a", "b", "node_a", "node_b", F.expr("bound / sizes").alias("near"))
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs of nodes that the compared sets link."""
+        return settle(_verified(rows, pairs, rule, f"sets_{name}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), f"links_{name}")
+
     def comp_of(p: DataFrame, node: str, out: str) -> DataFrame:
         c = comps.select(F.col("node").alias(node), F.col("comp").alias("_c"))
         return p.join(c, node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
 
-    large = comp_of(cells.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node")), "node", "comp")
-    mixed = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    large = settle(large.join(mixed, "token", "left_semi"), "large")
-    # a cell is dealt in blocks; each two blocks meet in one task and send on only pairs whose boxes may overlap enough
-    counts = large.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    dealt = large.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(named.select("node", "box", "least", "most"), "node")
+    def apart(pairs: DataFrame) -> DataFrame:
+        return comp_of(comp_of(pairs, "node_a", "ca"), "node_b", "cb").where("ca <> cb").drop("ca", "cb")
+
+    near = settle(bounded(cells.where("node is null").select("a", "b").distinct(), "near"), "near")
+    # first the most promising pair of each set: in a group of near copies these links reach its centre, and what they connect
+    # needs no comparison
+    ends = near.withColumn("x", F.explode(F.array("a", "b"))).groupBy("x").agg(F.max_by(F.struct(near.columns), F.struct("near", "a", "b")).alias("p"))
+    first = settle(ends.select("p.*").distinct(), "first")
+    # rows that repeat an id tie their nodes together, as equal sets do
+    twice = nodes.where("n > 0").groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi").select("id", "b")
+    ties = nodes.join(twice, "id").select(F.col("node").alias("a"), "b")
+    equal_to = points.select(F.col("id").alias("b"), F.col("node").alias("to"))
+    ties = ties.unionByName(equal.join(equal_to, "b").select(F.col("node").alias("a"), F.col("to").alias("b")))
+    found = settle(links(first, "first").unionByName(ties), "found")
+    comps = settle(connected_components(found), "comps")
+    rest = apart(near.join(first, ["a", "b"], "left_anti"))
+
+    # large cells: one set of each component against the cell's centre, then all sets that components still keep apart
+    large = cells.where("node is not null").select(F.col("a").alias("token"), F.col("b").alias("id"), "node", "n", "left")
+    large = settle(comp_of(large, "node", "comp").withColumn("most", F.expr(f"({num + den} * left - {num} * n) div {num}")), "large")
+    heads = large.groupBy("token", "comp").agg(F.max_by(F.struct("id", "n", "left"), F.struct(F.expr("left / n"), F.col("id"))).alias("head"))
+    middle = heads.groupBy("token").agg(F.max_by("head", F.struct(F.expr("head.left / head.n"), F.col("head.id"))).alias("mid"))
+    second = heads.join(middle, "token").where(f"head.id <> mid.id and {num + den} * least(head.left, mid.left) >= {num} * (head.n + mid.n)")
+    second = second.select(F.expr("least(head.id, mid.id)").alias("a"), F.expr("greatest(head.id, mid.id)").alias("b")).distinct()
+    second = settle(bounded(second.join(near, ["a", "b"], "left_anti"), "second").unionByName(rest), "second")
+    found = found.unionByName(links(second, "second"))
+    comps = settle(connected_components(found), "comps")
+
+    # a set stays only if another component of its cell has sets small enough for it that reach its own size
+    large = comp_of(large.drop("comp"), "node", "comp")
+    ends = large.groupBy("token").agg(F.min(F.struct("n", "comp")).alias("lo"), F.max(F.struct("most", "comp")).alias("hi"))
+    ends = large.join(ends, "token").groupBy("token").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(F.expr("if(comp <> lo.comp, n, null)")).alias("lo2"), F.max(F.expr("if(comp <> hi.comp, most, null)")).alias("hi2"))
+    kept = large.join(ends, "token").where("if(comp = lo.comp, lo2, lo.n) <= most and if(comp = hi.comp, hi2, hi.most) >= n")
+    kept = settle(kept.select("token", "id", "n", "left", "comp"), "kept")
+    # a cell is dealt in blocks; each two blocks meet in one task and send on only pairs whose points allow a link
+    counts = kept.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    dealt = kept.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(points.select("id", "vec"), "id")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "comp", "box", "least", "most")
+    dealt = dealt.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "n", "left", "comp", "vec")
     crossed = dealt.groupBy("token", "b1", "b2").applyInPandas(_block_join(rule), "a long, b long").distinct()
-    rest = crossed.unionByName(near.where("not same").select("a", "b")).distinct()
-    rest = comp_of(comp_of(rest, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    # a node's members are at most one batch's rows
-    members = nodes.where("member").groupBy("node").agg(F.collect_list(F.struct(F.col("id").alias("x"), "n", "vec")).alias("m"))
-    opened = rest.join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b").select("a", "b", "ma", "mb").mapInArrow(tidy(_member_pairs(rule)), "a long, b long, x long, y long")
-    opened = settle(opened.join(first, ["a", "b", "x", "y"], "left_anti"), "opened")
-    if opened.take(1):
-        more = _verified(rows, opened, rule, "sets2").select("a", "b")
-        comps = connected_components(links.unionByName(more))
+    crossed = settle(bounded(crossed.join(near, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "crossed"), "crossed")
+    if crossed.take(1):
+        comps = connected_components(found.unionByName(links(crossed, "crossed")))
     out = nodes.select("id", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 
