@@ -6,6 +6,7 @@ import json
 import lzma
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridiff import api, evaluation
 from veridiff.providers import Offline
@@ -221,7 +222,7 @@ def test_record_and_header_equality(spark, tmp_path):
 
     s = genomics.sam(spark, put(tmp_path, "h.sam", SAM))
     j = s.selectExpr("ord", "struct(*) as x").join(s.selectExpr("ord", "struct(*) as y"), "ord")
-    assert j.where(records_equal()).count() == 2
+    assert j.where(records_equal(s.columns)).count() == 2
     assert headers_equal(["@HD\tVN:1.6\tSO:name", "@PG\tID:a"], ["@HD\tVN:1.6\tSO:coordinate"]) and not headers_equal(["@SQ\tSN:a"], ["@SQ\tSN:b"])
 
 
@@ -233,3 +234,165 @@ def test_bed_merge_overlap(spark, tmp_path):
     assert (run("approximate", False)["n_ref"], run("approximate", True)["n_ref"]) == (3, 2)
     assert (run("overlap", False)["ref_bases"], run("overlap", True)["ref_bases"]) == (124, 104)
     assert run("overlap", False)["shared"] == 124
+
+
+SPLICED = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:c1\tLN:300\n@SQ\tSN:c2\tLN:50\n" + "r1\t0\tc1\t11\t60\t5M100N5M\t*\t0\t0\tACGTAACGTA\tIIIIIIIIII\tNM:i:0\nr2\t0\tc1\t13\t60\t4M2D4M\t*\t0\t0\tACGTACGT\tIIIIIIII\tNM:i:2\n"
+
+
+def test_depth_follows_the_cigar(spark, tmp_path):
+    from veridiff.operators import alignments as A
+
+    reads = genomics.sam(spark, put(tmp_path, "s.sam", SPLICED))
+    runs = sorted(map(tuple, A.depth(reads).collect()))
+    assert runs == [("c1", 10, 12, 1), ("c1", 12, 15, 2), ("c1", 15, 16, 1), ("c1", 18, 22, 1), ("c1", 115, 120, 1)]
+    lines, sizes = genomics.sam_header(spark, str(tmp_path / "s.sam"))
+    assert len(lines) == 3 and sizes == [("c1", 300), ("c2", 50)]
+    full = A.depth(reads, spark.createDataFrame(sizes, "chrom string, size long")).collect()
+    assert sum(r["end"] - r["start"] for r in full) == 300 and {r["chrom"] for r in full} == {"c1"}
+    other = put(tmp_path, "o.sam", SPLICED.replace("5M100N5M", "10M"))
+    path = str(tmp_path / "s.sam")
+    assert api.compare_files(spark, path, path, "coverage", fmt="sam").similarity == 1
+    some = api.compare_files(spark, path, other, "coverage", fmt="sam", depth0_similarity=1.0)
+    assert some.details["n_positions"] == 300 and 0.9 < some.similarity < 1
+    strict = api.compare_files(spark, path, other, "approximate", fmt="sam")
+    assert strict.details["n_concordant"] == 1  # introns are not shared positions
+
+
+def test_levels_over_ranges(spark, monkeypatch):
+    from veridiff.operators import alignments as A
+
+    monkeypatch.setattr(A, "REACH", 7)
+    steps = spark.createDataFrame([("a", 0, 1), ("a", 30, -1), ("a", 8, 2), ("a", 22, -2), ("b", 3, 1), ("b", 5, -1)], "chrom string, at long, v long")
+    got = sorted(map(tuple, A.levels(steps, ["v"]).collect()))
+    assert got == [("a", 0, 8, 1), ("a", 8, 22, 3), ("a", 22, 30, 1), ("b", 3, 5, 1)]
+
+
+@pytest.mark.parametrize("old,new", [("IIIIIIII\tNM:i:2", "IIIIIII#\tNM:i:2"), ("NM:i:2", "NM:i:3"), ("4M2D4M\t*\t0\t0", "4M2D4M\t*\t0\t7"), ("4M2D4M", "3M2D5S")])
+def test_exact_reads_every_field(spark, tmp_path, old, new):
+    a, b = put(tmp_path, "a.sam", SPLICED), put(tmp_path, "b.sam", SPLICED.replace(old, new))
+    assert api.compare_files(spark, a, a, "exact", fmt="sam").similarity == 1
+    assert api.compare_files(spark, a, b, "exact", fmt="sam").similarity == 0
+    same = put(tmp_path, "c.sam", SPLICED.replace("4M2D4M", "2M2M2D4M").replace("\tNM:i:0", ""))  # the same bases, one tag on one side only
+    assert api.compare_files(spark, a, same, "exact", fmt="sam").similarity == 1
+
+
+def test_sorted_reads(spark, tmp_path):
+    from veridiff.operators import alignments as A
+
+    reads = genomics.sam(spark, put(tmp_path, "s.sam", SPLICED))
+    assert A.coordinate_sorted(reads, ["c1", "c2"]).first()[0] and A.name_sorted(reads).first()[0]
+    back = reads.withColumn("ord", -F.col("ord"))
+    assert not A.coordinate_sorted(back, ["c1", "c2"]).first()[0]
+    rows = spark.range(1000).select(F.col("id").alias("ord"), F.expr("if(id = 500, 0, id)").alias("v"))
+    assert not A.in_order(rows, [F.col("v")], reach=100).first()[0] and A.in_order(rows.where("ord <> 500"), [F.col("v")], reach=100).first()[0]
+
+
+def tabix_bytes(names):
+    import struct
+
+    block = b"".join(n.encode() + b"\0" for n in names)
+    head = struct.pack("<iiiiii", 2, 1, 2, 0, ord("#"), 0) + struct.pack("<i", len(block)) + block
+    refs = b"".join(struct.pack("<ii", 0, 0) for _ in names)
+    tbi = b"TBI\x01" + struct.pack("<i", len(names)) + head + refs
+    csi = b"CSI\x01" + struct.pack("<iii", 14, 5, len(head)) + head + struct.pack("<i", len(names)) + b"".join(struct.pack("<i", 0) for _ in names)
+    return gzip.compress(tbi), gzip.compress(csi)
+
+
+def test_tabix_indexes(spark, tmp_path):
+    text = "##fileformat=VCFv4.2\n##contig=<ID=c1,length=100>\n##contig=<ID=c2,length=50>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nc1\t5\t.\tA\tC\t9\tPASS\t.\n"
+    tbi, csi = tabix_bytes(["c1", "c2"])
+    for name, content in (("a.vcf.gz", gzip.compress(text.encode())), ("b.vcf.gz", gzip.compress(text.replace("=50", "=40").encode()))):
+        put(tmp_path, name, content)
+        put(tmp_path, name + ".tbi", tbi)
+        put(tmp_path, name + ".csi", csi)
+    put(tmp_path, "c.bed.gz.tbi", tabix_bytes(["c1"])[0])
+    at = lambda x: str(tmp_path / x)
+    assert sorted(map(tuple, api.load(spark, at("a.vcf.gz.tbi"), "tbi").collect())) == [("c1", 100), ("c2", 50)]
+    for kind in ("tbi", "csi"):
+        assert api.compare_files(spark, at(f"a.vcf.gz.{kind}"), at(f"a.vcf.gz.{kind}"), fmt=kind).similarity == 1
+        assert api.compare_files(spark, at(f"a.vcf.gz.{kind}"), at(f"b.vcf.gz.{kind}"), fmt=kind).similarity == pytest.approx(0.9)
+    assert api.compare_files(spark, at("a.vcf.gz.tbi"), at("c.bed.gz.tbi")).status == "error"
+    assert api.compare_files(spark, at("a.vcf.gz.tbi"), at("b.vcf.gz.tbi"), fmt="tbi", indexed_file=at("a.vcf.gz")).similarity == 1
+
+
+def test_alignment_indexes(spark, tmp_path):
+    import struct
+
+    from veridiff.sources import indexes
+
+    def bai(mapped, unmapped):
+        counts = struct.pack("<Ii", 37450, 2) + struct.pack("<QQQQ", 0, 0, mapped, unmapped)
+        plain = struct.pack("<Ii", 4681, 1) + struct.pack("<QQ", 0, 9)
+        return b"BAI\x01" + struct.pack("<i", 1) + struct.pack("<i", 2) + plain + counts + struct.pack("<i", 1) + struct.pack("<Q", 0) + struct.pack("<Q", 1)
+
+    for name, n in (("a", 10), ("b", 5)):
+        put(tmp_path, f"{name}.bam", bam_bytes())
+        put(tmp_path, f"{name}.bam.bai", bai(n, 2))
+    put(tmp_path, "a.bai", bai(10, 2))
+    at = lambda x: str(tmp_path / x)
+    assert [tuple(r) for r in api.load(spark, at("a.bam.bai"), "bai").collect()] == [("c1", 100, 10, 2)]
+    assert indexes.data_file(spark, at("a.bai")) == at("a.bam") and indexes.data_file(spark, at("zz.bai")) is None
+    assert api.compare_files(spark, at("a.bam.bai"), at("a.bai")).similarity == 1
+    assert api.compare_files(spark, at("a.bam.bai"), at("b.bam.bai")).similarity == pytest.approx(1 - 5 / 112)
+    assert api.compare_files(spark, at("a.bam.bai"), at("b.bam.bai"), "summary").similarity == 1
+
+
+CIF = """data_1ABC
+#
+loop_
+_atom_site.group_PDB
+_atom_site.id
+_atom_site.label_atom_id
+_atom_site.label_comp_id
+_atom_site.label_asym_id
+_atom_site.label_seq_id
+_atom_site.Cartn_x
+_atom_site.Cartn_y
+_atom_site.Cartn_z
+_atom_site.auth_seq_id
+_atom_site.auth_asym_id
+_atom_site.pdbx_PDB_model_num
+ATOM 1 CA ALA A 1 11.0 12.0 13.0 7 X 1
+ATOM 2 "O5'" GLY A 2 14.0 15.0 16.5 8 X 1
+HETATM 3 O HOH B . 1.0 2.0 3.0 101 X 1
+ATOM 4 CA ALA A 1 11.5 12.0 13.0 7 X 2
+#
+_exptl.method 'X-RAY DIFFRACTION'
+"""
+
+
+def test_mmcif(spark, tmp_path):
+    path = put(tmp_path, "a.cif", CIF)
+    rows = genomics.mmcif(spark, path).orderBy("res_ord").collect()
+    assert [(r["chain"], r["res_ord"], r["resname"], r["hetero"], r["atom"], r["z"]) for r in rows] == [("X", 7, "ALA", False, "CA", 13.0), ("X", 8, "GLY", False, "O5'", 16.5), ("X", 101, "HOH", True, "O", 3.0)]
+    for strategy in ("exact", "approximate", "summary"):
+        assert api.compare_files(spark, path, path, strategy).similarity == pytest.approx(1)
+    assert api.detect_format(spark, path) == "cif"
+
+
+def test_heads_of_large_files(spark, tmp_path, monkeypatch):
+    from veridiff.sources import lines
+
+    monkeypatch.setattr(lines, "WHOLE", 100)
+    put(tmp_path, "small.fa", ">a\nACGT\n")
+    big = put(tmp_path, "big.csv", "a,b,c\n" * 200_000)
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], bytes(r["head"])) for r in lines.heads(spark, str(tmp_path), 9).collect()}
+    assert got == {"small.fa": (8, b">a\nACGT\n"), "big.csv": (1_200_000, b"a,b,c\na,b")}
+    assert api.detect_format(spark, big) == "csv" and lines.head(spark, big, 2) == ["a,b,c", "a,b,c"]
+    assert {r["path"].rsplit("/", 1)[1]: r["text"][-11:] for r in lines.sample(spark, str(tmp_path), 5).collect()} == {"small.fa": "[truncated]", "big.csv": "[truncated]"}
+    assert lines.preview(spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string"), 1) == {"shape": (2, 2), "columns": ["a", "b"], "head": [(1, "x")]}
+
+
+def test_id_columns_of_wide_tables(spark):
+    import time
+
+    from veridiff.operators import tables
+
+    wide = spark.range(50).select(*((F.col("id") % (i % 7 + 2)).alias(f"c{i}") for i in range(120)), (F.col("id") % 10).alias("a"), F.floor(F.col("id") / 10).alias("b"))
+    began = time.time()
+    keys = tables.find_id_columns(wide, wide)
+    assert keys and wide.select(*keys).distinct().count() == 50 and time.time() - began < 120
+    assert all(wide.select(*(k for k in keys if k != x)).distinct().count() < 50 for x in keys if len(keys) > 1)
+    four = spark.range(16).select(*(F.shiftright("id", i).bitwiseAND(F.lit(1)).alias(f"b{i}") for i in range(4)))
+    assert tables.find_id_columns(four, four) == ["b0", "b1", "b2", "b3"]
+    assert tables.find_id_columns(four.union(four), four) == [] and tables.find_id_columns(four.limit(0), four) == []

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from .operators.texts import joined  # noqa: F401  (public)
 from .plans import catalog
 from .plans.models import AlignPlan
 from .providers import Offline, Provider
-from .sources import binary, delimited, detect, genomics
+from .sources import binary, delimited, detect, genomics, indexes
 from .status import SCHEMA, Result, Validation
 from .strategies import bam, bed, fasta, pdb, signals, table, txt, vcf
 
@@ -52,11 +51,13 @@ def load(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     family = catalog.family_of(fmt)
     loaders = {
         "fasta": genomics.fasta, "fastq": genomics.fastq, "table": delimited.read_table, "vcf": genomics.vcf, "bed": genomics.bed, "fai": genomics.fai, "pdb": genomics.pdb, "txt": genomics.text, "image": genomics.image,
-        "tbi": genomics.contigs, "bai": lambda s, p: s.read.schema("reference string, length long, mapped long, unmapped long").csv(p, sep="\t"),
+        "tbi": indexes.contigs, "bai": indexes.idxstats,
         "bigwig": genomics.wig, "bam": genomics.sam,
     }
     if fmt == "bam":
         return binary.bam(spark, path)
+    if fmt in ("cif", "mmcif"):
+        return genomics.mmcif(spark, path)
     if fmt == "xlsx":
         return binary.workbook(spark, path)
     if fmt in ("cram", "bcf", "bigwig", "bw"):
@@ -108,12 +109,12 @@ def _family(spark: SparkSession, family: str, fmt: str, ref: str, cand: str, str
     if family == "bam":
         if strategy == "variant":
             raise ValueError("variant calling needs an external caller: compare called variants with the vcf strategies")
-        data = ["qname", "is_read2", "flag", "rname", "pos", "mapq", "len", "cigar", "seq", "ord"]
         if strategy == "coverage":
-            return bam.coverage(alignments.depth(a), alignments.depth(b), p["depth0_similarity"])
+            sizes = [spark.createDataFrame((binary.bam_header if fmt == "bam" else genomics.sam_header)(spark, x)[1], "chrom string, size long") for x in (ref, cand)]
+            return bam.coverage(alignments.depth(a, sizes[0]), alignments.depth(b, sizes[1]), p["depth0_similarity"])
         if strategy == "approximate":
             return bam.approximate(a, b, p["min_mapq"], p["overlap_threshold"])
-        return bam.exact(a.select(data), b.select(data)) if strategy == "exact" else bam.summary(a, b)
+        return bam.exact(a, b) if strategy == "exact" else bam.summary(a, b)
     if family == "vcf":
         return {"exact": vcf.exact, "approximate": vcf.approximate, "summary": vcf.summary}[strategy](a, b)
     if family == "bed":
@@ -139,6 +140,8 @@ def _family(spark: SparkSession, family: str, fmt: str, ref: str, cand: str, str
         if strategy == "summary":
             size = lambda path: spark.read.format("binaryFile").load(path).select("length")
             return size(ref).toDF("x").crossJoin(size(cand).toDF("y")).select(signals.size_similarity(F.col("x"), F.col("y")).alias("similarity"))
+        if p["indexed_file"]:
+            a, b = ((indexes.contigs if family == "tbi" else indexes.idxstats)(spark, x, p["indexed_file"]) for x in (ref, cand))
         return (signals.contigs_functional if family == "tbi" else signals.idxstats_functional)(a, b)
     if family == "pdb":
         if strategy == "summary":
@@ -191,7 +194,3 @@ class ComparisonRunner:
         """Each pair: ref, cand and, as wanted, strategy, fmt and parameters."""
         rows = [compare_files(self.spark, x["ref"], x["cand"], x.get("strategy"), x.get("fmt"), self.provider, task_id, **x.get("parameters", {})).row() for x in pairs]
         return self.spark.createDataFrame(rows, SCHEMA)
-
-
-def union(results: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, results)

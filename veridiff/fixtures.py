@@ -43,18 +43,19 @@ SQL: dict[str, str] = {
         UNION ALL SELECT item_id + 100000, upper(regexp_replace(text, '[^A-Za-z]'@all)), item_id + 100000 FROM {benchmark} WHERE item_id % 7 = 0""",
     # P6: alignments, one per (qname, mate)
     "sam_ref": """
-        SELECT qname, is_read2, flag, rname, pos, mapq, len, ord FROM (
-          SELECT l_orderkey || '-' || l_suppkey AS qname, l_linenumber % 2 AS is_read2,
+        SELECT qname, is_read2, flag, rname, pos, mapq, len, cigar, rnext, pnext, tlen, qual, ord FROM (
+          SELECT CASE l_linenumber % 3 WHEN 0 THEN '50M' WHEN 1 THEN '20M30N30M' ELSE '5S25M5D20M' END AS cigar, '=' AS rnext, l_partkey + 200 AS pnext, l_partkey % 300 AS tlen, 'III' AS qual, l_orderkey || '-' || l_suppkey AS qname, l_linenumber % 2 AS is_read2,
             1 + CASE WHEN l_linenumber % 2 = 1 THEN 128 ELSE 64 END + CASE WHEN l_partkey % 41 = 0 THEN 4 ELSE 0 END + CASE WHEN l_partkey % 5 = 0 THEN 2 ELSE 0 END
               + CASE WHEN l_linenumber = 6 THEN 256 ELSE 0 END + CASE WHEN l_suppkey % 7 = 0 THEN 1024 ELSE 0 END + CASE WHEN l_orderkey % 50 = 0 THEN 512 ELSE 0 END AS flag,
-            l_returnflag AS rname, l_partkey AS pos, CAST(floor(l_quantity) AS INT) AS mapq, 50 AS len, l_orderkey * 10 + l_linenumber AS ord,
+            l_returnflag AS rname, l_partkey AS pos, CAST(floor(l_quantity) AS INT) AS mapq, CASE l_linenumber % 3 WHEN 1 THEN 80 ELSE 50 END AS len, l_orderkey * 10 + l_linenumber AS ord,
             row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey) AS rn FROM {lineitem}) t WHERE rn = 1""",
     "sam_cand": """
-        SELECT qname, is_read2, flag, rname, CASE WHEN okey % 21 = 0 THEN pos + 100 WHEN okey % 10 = 0 THEN pos + 1 ELSE pos END AS pos, mapq, len, ord FROM (
-          SELECT l_orderkey AS okey, l_orderkey || '-' || l_suppkey AS qname, l_linenumber % 2 AS is_read2,
+        SELECT qname, is_read2, flag, rname, CASE WHEN okey % 21 = 0 THEN pos + 100 WHEN okey % 10 = 0 THEN pos + 1 ELSE pos END AS pos, mapq, len,
+          CASE WHEN cigar = '50M' AND okey % 4 = 0 THEN '25M25M' WHEN cigar = '20M30N30M' AND okey % 8 = 1 THEN '50M30N' ELSE cigar END AS cigar, rnext, CASE WHEN okey % 18 = 0 THEN pnext + 1 ELSE pnext END AS pnext, tlen, CASE WHEN okey % 26 = 0 THEN 'II#' ELSE 'III' END AS qual, ord FROM (
+          SELECT CASE l_linenumber % 3 WHEN 0 THEN '50M' WHEN 1 THEN '20M30N30M' ELSE '5S25M5D20M' END AS cigar, '=' AS rnext, l_partkey + 200 AS pnext, l_partkey % 300 AS tlen, l_orderkey AS okey, l_orderkey || '-' || l_suppkey AS qname, l_linenumber % 2 AS is_read2,
             1 + CASE WHEN l_linenumber % 2 = 1 THEN 128 ELSE 64 END + CASE WHEN l_partkey % 43 = 0 THEN 4 ELSE 0 END + CASE WHEN l_partkey % 5 = 0 THEN 2 ELSE 0 END
               + CASE WHEN l_linenumber = 6 THEN 256 ELSE 0 END + CASE WHEN l_suppkey % 7 = 0 THEN 1024 ELSE 0 END + CASE WHEN l_orderkey % 50 = 0 THEN 512 ELSE 0 END AS flag,
-            l_returnflag AS rname, l_partkey AS pos, CAST(floor(l_quantity) AS INT) AS mapq, 50 AS len, l_orderkey * 10 + l_linenumber AS ord,
+            l_returnflag AS rname, l_partkey AS pos, CAST(floor(l_quantity) AS INT) AS mapq, CASE l_linenumber % 3 WHEN 1 THEN 80 ELSE 50 END AS len, l_orderkey * 10 + l_linenumber AS ord,
             row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber % 2 ORDER BY l_linenumber, l_partkey) AS rn FROM {lineitem}) t WHERE rn = 1 AND okey % 33 <> 0""",
     # P7: depth and signal
     "signal_ref": "SELECT l_returnflag AS chrom, l_partkey AS pos, count(*) AS depth, avg(l_quantity) AS value FROM {lineitem} GROUP BY l_returnflag, l_partkey",

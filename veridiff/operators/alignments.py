@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dist as D
@@ -53,15 +53,39 @@ def mapq_stats(reads: DataFrame) -> DataFrame:
     return ends.crossJoin(box).select("min", "q25", "median", "q75", "max", "average")
 
 
-def depth(reads: DataFrame) -> DataFrame:
-    """(chrom, pos, depth) of positions that a mapped, kept read covers; 1-based.
+def depth(reads: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(chrom, start, end, depth): runs of equal depth, from 0 and half open, over the aligned blocks of mapped, kept reads.
 
-    Covered positions come from starts and ends of runs of equal (rname, pos, len), so identical reads explode once.
+    With ``sizes`` (chrom, size) the positions without reads, of contigs that have any, are runs of depth 0.
     """
     kept = reads.where(F.col("flag").bitwiseAND(F.lit(UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE)) == 0)
-    runs = kept.groupBy("rname", "pos", "len").agg(F.count("*").alias("n"))
-    at = runs.select(F.col("rname").alias("chrom"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + F.col("len"))).alias("pos"), "n")
-    return at.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"))
+    runs = kept.select(F.col("rname").alias("chrom"), F.explode(blocks(reads)).alias("b")).select("chrom", "b.s", "b.e")
+    steps = runs.select("chrom", F.explode(F.expr("array(struct(s as at, 1L as depth), struct(e as at, -1L as depth))")).alias("v")).select("chrom", "v.at", "v.depth")
+    if sizes is not None:
+        used = runs.select("chrom").distinct()
+        ends = sizes.join(used, "chrom", "left_semi").select("chrom", F.explode(F.array(F.lit(0).cast("long"), F.col("size").cast("long"))).alias("at"), F.lit(0).cast("long").alias("depth"))
+        steps = steps.unionByName(ends)
+    out = levels(steps, ["depth"])
+    return out if sizes is not None else out.where("depth > 0")
+
+
+#: Positions of one window of running sums.
+REACH = 1 << 16
+
+
+def levels(steps: DataFrame, values: list[str]) -> DataFrame:
+    """(chrom, start, end, values...): running sums of the changes in ``steps`` (chrom, at, values...) up to the next change.
+
+    Sums run inside ranges of ``REACH`` positions and once over the ranges' totals, so no task sorts a chromosome.
+    """
+    at = steps.groupBy("chrom", "at").agg(*(F.sum(v).alias(v) for v in values)).withColumn("range", F.expr(f"at div {REACH}"))
+    inside = Window.partitionBy("chrom", "range").orderBy("at")
+    rows = at.select("chrom", "range", F.col("at").alias("start"), F.lead("at").over(inside).alias("next"), *(F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(v) for v in values))
+    over = Window.partitionBy("chrom").orderBy("range")
+    ranges = at.groupBy("chrom", "range").agg(F.min("at").alias("first"), *(F.sum(v).alias("b_" + v) for v in values))
+    ranges = ranges.select("chrom", "range", F.lead("first").over(over).alias("after"), *((F.sum("b_" + v).over(over) - F.col("b_" + v)).alias("b_" + v) for v in values))
+    out = rows.join(ranges, ["chrom", "range"]).withColumn("end", F.coalesce("next", "after")).where("end is not null")
+    return out.select("chrom", "start", "end", *((F.col(v) + F.col("b_" + v)).alias(v) for v in values))
 
 
 #: Operation letters in the order of their codes.
@@ -80,12 +104,42 @@ def expand_cigar(cigar: Column) -> Column:
     return F.flatten(F.transform(ops, lambda x: F.array_repeat(x["op"], x["len"])))
 
 
+#: One block of aligned positions, from 0 and half open.
+BLOCKS = "array<struct<s:bigint,e:bigint>>"
+
+
+def cigar_blocks(cigar: Column, pos: Column) -> Column:
+    """Runs of reference positions that a read's bases are aligned to: matches and mismatches, without deletions and skips."""
+    state = f"struct<at:bigint,out:{BLOCKS}>"
+    start = F.struct(pos.cast("long").alias("at"), F.array().cast(BLOCKS).alias("out")).cast(state)
+
+    def step(s: Column, o: Column) -> Column:
+        end = s["at"] + F.when(o["op"].isin(0, 2, 3, 7, 8), o["len"]).otherwise(0)
+        out = F.when(o["op"].isin(0, 7, 8), F.concat(s["out"], F.array(F.struct(s["at"].alias("s"), end.alias("e"))).cast(BLOCKS))).otherwise(s["out"])
+        return F.struct(end.alias("at"), out.alias("out")).cast(state)
+
+    return F.aggregate(cigar_ops(cigar), start, step, lambda s: s["out"])
+
+
+def blocks(reads: DataFrame) -> Column:
+    """Aligned blocks of each read: by its cigar, or one block of its length where the table has none."""
+    if "cigar" in reads.columns:
+        return cigar_blocks(F.col("cigar"), F.col("pos"))
+    return F.array(F.struct(F.col("pos").cast("long").alias("s"), (F.col("pos") + F.col("len")).cast("long").alias("e")))
+
+
 def concordant(min_overlap: float, min_mapq: int) -> Column:
-    """Both unmapped, or both mapped with quality to one contig, sharing enough of the reference read's positions."""
+    """Both unmapped, or both mapped with quality to one contig, sharing enough of the reference read's aligned positions.
+
+    Reads stand side by side with suffixes 1 and 2 and their ``blocks``.
+    """
     u1, u2 = F.col("flag1").bitwiseAND(F.lit(UNMAPPED)) != 0, F.col("flag2").bitwiseAND(F.lit(UNMAPPED)) != 0
-    shared = F.greatest(F.lit(0), F.least(F.col("pos1") + F.col("len1"), F.col("pos2") + F.col("len2")) - F.greatest("pos1", "pos2"))
-    good = (F.col("mapq1") >= min_mapq) & (F.col("mapq2") >= min_mapq) & (F.col("rname1") == F.col("rname2")) & (F.col("len1") > 0) & (shared / F.col("len1") >= min_overlap)
-    return F.when(u1 & u2, True).when(u1 | u2, False).otherwise(good)
+    zero = F.lit(0).cast("long")
+    both = F.flatten(F.transform("blocks1", lambda x: F.transform("blocks2", lambda y: F.greatest(zero, F.least(x["e"], y["e"]) - F.greatest(x["s"], y["s"])))))
+    shared = F.aggregate(both, zero, lambda s, v: s + v)
+    own = F.aggregate(F.transform("blocks1", lambda x: x["e"] - x["s"]), zero, lambda s, v: s + v)
+    good = (F.col("mapq1") >= min_mapq) & (F.col("mapq2") >= min_mapq) & (F.col("rname1") == F.col("rname2")) & (own > 0) & (shared / own >= min_overlap)
+    return F.when(u1 & u2, True).when(u1 | u2, False).otherwise(F.coalesce(good, F.lit(False)))
 
 
 def qualifying(reads: DataFrame, min_mapq: int) -> DataFrame:
@@ -93,14 +147,45 @@ def qualifying(reads: DataFrame, min_mapq: int) -> DataFrame:
     return reads.where((F.col("flag").bitwiseAND(F.lit(SECONDARY | SUPPLEMENTARY)) == 0) & (F.col("mapq") >= min_mapq) & F.col("qname").isNotNull())
 
 
-def records_equal(left: str = "x", right: str = "y", fields: tuple[str, ...] = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")) -> Column:
-    """Mandatory fields of two record structs agree, missing equal to missing, and so do the tags that both have."""
+#: Mandatory fields of a record.
+FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
+
+
+def records_equal(fields: list[str], left: str = "x", right: str = "y") -> Column:
+    """The mandatory fields among ``fields`` of two record structs agree, missing equal to missing, and so do the tags that
+    both have.  Cigars agree when they give each base of the read the same operation."""
     same = F.lit(True)
-    for f in fields:
-        same = same & F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}"))
-    a, b = F.col(f"{left}.tags"), F.col(f"{right}.tags")
-    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    return same & F.coalesce(F.forall(shared, lambda k: a[k].eqNullSafe(b[k])), F.lit(True))
+    for f in FIELDS:
+        if f in fields:
+            a, b = F.col(f"{left}.{f}"), F.col(f"{right}.{f}")
+            equal = a.eqNullSafe(b)
+            same = same & (F.when(equal, True).otherwise(F.coalesce(expand_cigar(a) == expand_cigar(b), F.lit(False))) if f == "cigar" else equal)
+    if "tags" in fields:
+        a, b = F.col(f"{left}.tags"), F.col(f"{right}.tags")
+        shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
+        same = same & F.coalesce(F.forall(shared, lambda k: a[k].eqNullSafe(b[k])), F.lit(True))
+    return same
+
+
+def coordinate_sorted(reads: DataFrame, contigs: list[str]) -> DataFrame:
+    """One row: whether reads stand by contig, in header order, and position, those without a contig last."""
+    rank = F.coalesce(F.create_map(*(x for i, c in enumerate(contigs) for x in (F.lit(c), F.lit(i))))[F.col("rname")], F.lit(len(contigs))) if contigs else F.lit(0)
+    return in_order(reads, [rank, F.when(rank < len(contigs), F.col("pos")).otherwise(0)])
+
+
+def name_sorted(reads: DataFrame) -> DataFrame:
+    return in_order(reads, [F.col("qname")])
+
+
+def in_order(rows: DataFrame, keys: list[Column], place: str = "ord", reach: int = 100_000) -> DataFrame:
+    """One row: whether ``keys`` never fall as ``place`` grows.  Each range of places is checked by itself, then their ends."""
+    k = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys)))
+    x = rows.select(F.col(place).cast("long").alias("p"), k.alias("k")).withColumn("range", F.floor(F.col("p") / reach))
+    before = F.lag("k").over(Window.partitionBy("range").orderBy("p"))
+    x = x.withColumn("ok", F.coalesce(before <= F.col("k"), F.lit(True)))
+    ranges = x.groupBy("range").agg(F.bool_and("ok").alias("ok"), F.min_by("k", "p").alias("first"), F.max_by("k", "p").alias("last"))
+    ranges = ranges.withColumn("joined", F.coalesce(F.lag("last").over(Window.orderBy("range")) <= F.col("first"), F.lit(True)))
+    return ranges.agg(F.coalesce(F.bool_and(F.col("ok") & F.col("joined")), F.lit(True)).alias("sorted"))
 
 
 def headers_equal(ref: list[str], cand: list[str]) -> bool:

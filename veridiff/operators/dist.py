@@ -8,15 +8,40 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 
 
-def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: tau-b.  Pairs are counted over the table of distinct (x, y) values, weighted by their counts."""
+def kendall_tau(df: DataFrame, x: str, y: str, span: int = 1 << 16) -> DataFrame:
+    """One row: tau-b, from n log n rows.
+
+    Two values of different rank in x part at one bit of their ranks: above it they agree.  So for each bit, rows with equal
+    higher bits form a group, and within it every row with the bit set counts the rows without it that are lower and higher
+    in y.  Groups are counted in ranges of ``span`` ranks of y, so no task holds a whole level.
+    """
+    from pyspark.sql import Window
+
+    from .tables import average_ranks
+
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    other = cells.toDF("x2", "y2", "n2")
-    pairs = cells.join(other, (F.col("x") < F.col("x2")) | ((F.col("x") == F.col("x2")) & (F.col("y") < F.col("y2"))))
-    w = F.col("n") * F.col("n2")
-    sign = F.sum(w * F.signum(F.col("x2") - F.col("x")) * F.signum(F.col("y2") - F.col("y")))
-    untied = pairs.agg(F.coalesce(sign, F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.when(F.col("x") != F.col("x2"), w)), F.lit(0)).cast("double").alias("u"), F.coalesce(F.sum(F.when(F.col("y") != F.col("y2"), w)), F.lit(0)).cast("double").alias("v"))
-    return untied.select(F.when((F.col("u") > 0) & (F.col("v") > 0), F.col("s") / F.sqrt(F.col("u") * F.col("v"))).alias("kendall"))
+    for c in ("x", "y"):
+        values = cells.select(F.col(c).alias("v")).distinct()
+        # twice the average rank of each distinct value is a whole number
+        cells = cells.join(average_ranks(values, "v").select(F.col("v").alias(c), (F.col("rank") * 2).cast("long").alias("r" + c)), c)
+    cells = cells.select("rx", "ry", "n")
+    bits = cells.agg(F.coalesce(F.ceil(F.log2(F.max("rx") + 1)), F.lit(1)).cast("int").alias("bits"))
+    part = cells.crossJoin(F.broadcast(bits)).select("ry", "n", F.explode(F.expr("transform(sequence(0, bits - 1), b -> struct(b, shiftright(rx, b + 1) as up, shiftright(rx, b) % 2 as on))")).alias("l"))
+    part = part.groupBy("l.b", "l.up", F.floor(F.col("ry") / span).alias("range"), "ry").agg(F.sum(F.expr("if(l.on = 0, n, 0)")).alias("off"), F.sum(F.expr("if(l.on = 1, n, 0)")).alias("on"))
+    inside = Window.partitionBy("b", "up", "range").orderBy("ry")
+    part = part.withColumn("upto", F.sum("off").over(inside))
+    ranges = part.groupBy("b", "up", "range").agg(F.sum("off").alias("t"))
+    level = Window.partitionBy("b", "up")
+    ranges = ranges.select("b", "up", "range", (F.sum("t").over(level.orderBy("range")) - F.col("t")).alias("before"), F.sum("t").over(level).alias("all"))
+    lower, higher = F.col("before") + F.col("upto") - F.col("off"), F.col("all") - F.col("before") - F.col("upto")
+    s = part.where("on > 0").join(ranges, ["b", "up", "range"]).agg(F.coalesce(F.sum((F.col("on") * (lower - higher)).cast("double")), F.lit(0.0)).alias("s"))
+
+    def ties(c: str) -> DataFrame:
+        return cells.groupBy(c).agg(F.sum("n").cast("double").alias("k")).agg(F.coalesce(F.sum(F.expr("k * (k - 1) / 2")), F.lit(0.0)).alias("t" + c), F.coalesce(F.sum("k"), F.lit(0.0)).alias("n" + c))
+
+    row = s.crossJoin(ties("rx")).crossJoin(ties("ry"))
+    u, v = F.expr("nrx * (nrx - 1) / 2 - trx"), F.expr("nry * (nry - 1) / 2 - try")
+    return row.select(F.when((u > 0) & (v > 0), F.col("s") / F.sqrt(u * v)).alias("kendall"))
 
 
 def two_sided(ref: DataFrame, cand: DataFrame, key: Column, by: list[str] | None = None) -> DataFrame:

@@ -75,10 +75,14 @@ def touching(ref: DataFrame, cand: DataFrame) -> DataFrame:
     return keyed.join(hit, ["chrom", "start", "end"], "left_semi").drop("_id")
 
 
-def is_sorted(df: DataFrame, order: str = "ord") -> DataFrame:
-    """One row: whether starts never fall within a chromosome in the order given."""
-    prev = F.lag("start").over(Window.partitionBy("chrom").orderBy(order))
-    return df.select((prev.isNull() | (prev <= F.col("start"))).alias("ok")).agg(F.bool_and("ok").alias("sorted"))
+def is_sorted(df: DataFrame, order: str = "ord", reach: int = 100_000) -> DataFrame:
+    """One row: whether starts never fall within a chromosome in the order given; ranges of places first, then their ends."""
+    x = df.withColumn("_range", F.floor(F.col(order) / reach))
+    prev = F.lag("start").over(Window.partitionBy("chrom", "_range").orderBy(order))
+    x = x.select("chrom", "_range", F.col(order).alias("_at"), "start", (prev.isNull() | (prev <= F.col("start"))).alias("ok"))
+    ranges = x.groupBy("chrom", "_range").agg(F.bool_and("ok").alias("ok"), F.min_by("start", "_at").alias("first"), F.max_by("start", "_at").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("chrom").orderBy("_range"))
+    return ranges.select("ok", (before.isNull() | (before <= F.col("first"))).alias("joined")).agg(F.bool_and(F.col("ok") & F.col("joined")).alias("sorted"))
 
 
 def stats(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,19 +93,45 @@ def fuzzy_pairs(ref_ids: DataFrame, cand_ids: DataFrame) -> DataFrame:
     return folded(only_left, "ref_id").join(folded(only_right, "cand_id"), ["bare", "k"]).select("ref_id", "cand_id")
 
 
-def find_id_columns(ref: DataFrame, cand: DataFrame, most: int = 3) -> list[str]:
-    """The smallest set of common columns that is unique on both sides: counted for all sets of one size in one pass."""
-    common = [c for c in ref.columns if c in cand.columns]
-    for size in range(1, min(most, len(common)) + 1):
-        sets = list(combinations(common, size))
+#: Key sets of one size are all tried up to this many; beyond, columns are added one by one.
+KEY_SETS = 300
+
 
-        def distinct(df: DataFrame, sets=sets) -> dict:
-            return df.agg(F.count("*").alias("n"), *(F.count_distinct(F.struct(*(q(c) for c in s))).alias(f"d{i}") for i, s in enumerate(sets))).first().asDict()
+def find_id_columns(ref: DataFrame, cand: DataFrame, most: int | None = None) -> list[str]:
+    """Common columns that together are unique on both sides, none of them needless; the smallest set where all can be tried.
 
-        a, b = distinct(ref), distinct(cand)
-        for i, s in enumerate(sets):
-            if a[f"d{i}"] == a["n"] and b[f"d{i}"] == b["n"] and a["n"] and b["n"]:
-                return list(s)
+    Sketches of distinct counts, all sets of one size in one aggregate, leave few candidates, which are then counted exactly
+    one by one.  Where a size has more than ``KEY_SETS`` sets, the column that adds most distinct rows joins in turn and
+    needless ones are dropped at the end, so the work grows with columns times key length.
+    """
+    common = [c for c in ref.columns if c in cand.columns]
+    most = min(most or len(common), len(common))
+    n, m = ref.count(), cand.count()
+    if not n or not m or not common:
+        return []
+
+    def unique(columns: tuple[str, ...]) -> bool:
+        return all(df.groupBy(*(q(c) for c in columns)).count().where("count > 1").limit(1).count() == 0 for df in (ref, cand))
+
+    def sketched(sets: list[tuple[str, ...]]) -> list[float]:
+        """Distinct rows of each set, as a share of all."""
+        row = ref.agg(*(F.approx_count_distinct(F.xxhash64(*(q(c) for c in s)), 0.02).alias(f"d{i}") for i, s in enumerate(sets))).first()
+        return [x / n for x in row]
+
+    if len(set(common)) < len(common):
+        return []
+    held: tuple[str, ...] = ()
+    for size in range(1, most + 1):
+        sets = list(combinations(common, size)) if comb(len(common), size) <= KEY_SETS else [(*held, c) for c in common if c not in held]
+        shares = sketched(sets)
+        for s, share in zip(sets, shares):
+            if share > 0.9 and unique(s):
+                needless = [c for c in s if len(s) > 1 and unique(tuple(x for x in s if x != c))] if comb(len(common), size) > KEY_SETS else []
+                while needless:
+                    s = tuple(x for x in s if x != needless[0])
+                    needless = [c for c in s if len(s) > 1 and unique(tuple(x for x in s if x != c))]
+                return [c for c in common if c in s]
+        held = max(zip(shares, [-i for i in range(len(sets))], sets))[2]
     return []
 
 

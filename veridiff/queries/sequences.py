@@ -10,8 +10,9 @@ from ..strategies import fasta as X
 from .registry import query, rounded
 
 PAIR = ("seq_ref", "seq_cand")
-READS = """, ra AS (SELECT id, substr(seq, 1, 100) AS seq, list_transform(string_split(substr(seq, 1, 100), ''), lambda c: ascii(c) % 42) AS qual FROM seq_ref),
-rb AS (SELECT id, CASE WHEN id % 4 = 0 THEN substr(seq, 2, 99) ELSE substr(seq, 1, 100) END AS seq, list_transform(string_split(CASE WHEN id % 4 = 0 THEN substr(seq, 2, 99) ELSE substr(seq, 1, 100) END, ''), lambda c: ascii(c) % 42 + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) AS qual FROM seq_cand)"""
+READS = """, ra AS (SELECT id, seq, list_transform(string_split(seq, ''), lambda c: ascii(c) % 42) AS qual FROM seq_ref),
+rc AS (SELECT id, CASE WHEN id % 4 = 0 THEN substr(seq, 2) ELSE seq END AS seq FROM seq_cand),
+rb AS (SELECT id, seq, list_transform(string_split(seq, ''), lambda c: ascii(c) % 42 + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) AS qual FROM rc)"""
 KM = "(SELECT id, unnest(list_transform(range(1, len(seq) - {k} + 2), lambda i: substr(seq, i, {k}))) AS kmer FROM {t} WHERE len(seq) >= {k})"
 HELL = "sqrt(sum(pow(sqrt(p / (SELECT sum(p) FROM {0})) - sqrt(q / (SELECT sum(q) FROM {0})), 2)) / 2)"
 
@@ -35,8 +36,7 @@ def _pair(spark, sf_dir):
 def _reads(spark, sf_dir):
     a, b = _pair(spark, sf_dir)
     codes = lambda s, extra: F.transform(F.split(s, ""), lambda c: F.ascii(c) % 42 + extra)
-    a = a.withColumn("seq", F.substring("seq", 1, 100))
-    b = b.withColumn("seq", F.when(F.col("id") % 4 == 0, F.substring("seq", 2, 99)).otherwise(F.substring("seq", 1, 100)))
+    b = b.withColumn("seq", F.expr("if(id % 4 = 0, substring(seq, 2), seq)"))
     return a.withColumn("qual", codes(F.col("seq"), F.lit(0))), b.withColumn("qual", codes(F.col("seq"), F.when(F.col("id") % 3 == 0, 1).otherwise(0)))
 
 

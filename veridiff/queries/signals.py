@@ -48,9 +48,15 @@ def bigwig_summary(spark, sf_dir):
     return rounded(S.summary(*load(spark, sf_dir, *PAIR)))
 
 
-@query(' SELECT chrom, round(min(value), 6) AS "min", round(max(value), 6) AS "max", round(avg(value), 6) AS "avg", count(value) AS n FROM signal_ref WHERE pos < 500 GROUP BY chrom', ("signal_ref",))
+@query(' SELECT chrom, round(min(value), 6) AS "min", round(max(value), 6) AS "max", round(avg(value), 6) AS "avg", count(value) AS n FROM signal_ref GROUP BY chrom', ("signal_ref",))
 def bigwig_stats(spark, sf_dir):
-    return rounded(S.value_stats(S.head(load(spark, sf_dir, "signal_ref"), 500)))
+    return rounded(S.value_stats(load(spark, sf_dir, "signal_ref")))
+
+
+@query(' SELECT chrom, count(*) AS n, max(pos) AS last FROM signal_ref WHERE pos < 500 GROUP BY chrom', ("signal_ref",))
+def bigwig_head(spark, sf_dir):
+    """The operator that keeps the first positions of a track."""
+    return S.head(load(spark, sf_dir, "signal_ref"), 500).groupBy("chrom").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
 
 
 @query(" SELECT 0.0::DOUBLE AS similarity, count(*) AS n_equal FROM fai_ref JOIN fai_cand USING (name, length, offset_, linebases, linewidth)", FAI)

@@ -7,6 +7,7 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -75,6 +76,37 @@ def bam_records(content: bytes) -> Iterator[tuple]:
         i, ord_ = end, ord_ + 1
 
 
+def bam_header(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """Header lines, and names and lengths of the contigs, from as much of the file's beginning as they take."""
+    from .lines import first_bytes
+
+    size = 1 << 18
+    while True:
+        raw = first_bytes(spark, path, size)
+        data, rest = b"", raw
+        while rest:
+            d = zlib.decompressobj(31)
+            data += d.decompress(rest)
+            rest = d.unused_data
+        if data[:4] != b"BAM\x01":
+            raise ValueError("not a BAM file")
+        try:
+            n = struct.unpack_from("<i", data, 4)[0]
+            text, i = data[8 : 8 + n].rstrip(b"\0").decode(), 8 + n
+            n_ref, i = struct.unpack_from("<i", data, i)[0], i + 4
+            contigs = []
+            for _ in range(n_ref):
+                k = struct.unpack_from("<i", data, i)[0]
+                length = struct.unpack_from("<i", data, i + 4 + k)[0]
+                contigs.append((data[i + 4 : i + 3 + k].decode(), length))
+                i += 8 + k
+            return text.splitlines(), contigs
+        except struct.error:
+            if len(raw) < size:
+                raise ValueError("a BAM file cut off in its header") from None
+            size *= 8
+
+
 def bam(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i32, i64, s = pa.int32(), pa.int64(), pa.string()

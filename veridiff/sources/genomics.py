@@ -53,6 +53,13 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def sam_header(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """Header lines, and names and lengths of the contigs, of a text file."""
+    lines = [r["value"] for r in numbered_lines(spark, path).where(F.col("value").startswith("@")).orderBy("_row").collect()]  # a line a contig or group
+    tags = [dict(x.split(":", 1) for x in h.split("\t")[1:] if ":" in x) for h in lines if h.startswith("@SQ")]
+    return lines, [(t["SN"], int(t.get("LN", 0))) for t in tags if "SN" in t]
+
+
 def vcf(spark: SparkSession, path: str) -> DataFrame:
     """chrom, pos, id, ref, alts, qual, filter, info (map), ord."""
     f = F.col("f")
@@ -116,6 +123,34 @@ def pdb(spark: SparkSession, path: str) -> DataFrame:
     return x.select(cut(22, 1).alias("chain"), cut(23, 4).try_cast("int").alias("res_ord"), cut(18, 3).alias("resname"), F.col("value").startswith("HETATM").alias("hetero"), cut(13, 4).alias("atom"), *(cut(31 + 8 * i, 8).try_cast("double").alias(c) for i, c in enumerate("xyz")))
 
 
+def mmcif(spark: SparkSession, path: str) -> DataFrame:
+    """The same columns from the ``_atom_site`` loop of an mmCIF file; author's names of chains and residues go first."""
+    x = numbered_lines(spark, path)
+    heads = x.where("value like '_atom_site.%'").select("file", "_row", F.regexp_extract("value", r"^_atom_site\.(\S+)", 1).alias("name")).orderBy("file", "_row").collect()  # a line a column
+    if not heads:
+        return spark.createDataFrame([], "chain string, res_ord int, resname string, hetero boolean, atom string, x double, y double, z double")
+    names = [r["name"] for r in heads if r["file"] == heads[0]["file"]]
+    last = max(r["_row"] for r in heads)
+    # rows follow the last column name up to the next item
+    rows = x.where(F.col("_row") > last)
+    end = rows.where(r"value rlike '^(#|loop_|_|data_)'").groupBy("file").agg(F.min("_row").alias("end"))
+    rows = rows.join(F.broadcast(end), "file", "left").where("(end is null or _row < end) and trim(value) <> ''")
+    word = r"""('[^']*'(?:[^\s'][^']*')*(?=\s|$)|"[^"]*"(?:[^\s"][^"]*")*(?=\s|$)|\S+)"""
+    rows = rows.select(F.transform(F.regexp_extract_all("value", F.lit(word), F.lit(1)), lambda w: F.regexp_replace(w, r"""^(['"])(.*)\1$""", "$2")).alias("f"))
+
+    def field(*wanted: str):
+        given = [F.get("f", F.lit(names.index(w))) for w in wanted if w in names]
+        return F.coalesce(*(F.when(~g.isin(".", "?"), g) for g in given)) if given else F.lit(None).cast("string")
+
+    model = F.coalesce(field("pdbx_PDB_model_num").try_cast("int"), F.lit(1))
+    atoms = rows.select(
+        field("auth_asym_id", "label_asym_id").alias("chain"), field("auth_seq_id", "label_seq_id").try_cast("int").alias("res_ord"), field("label_comp_id", "auth_comp_id").alias("resname"),
+        (field("group_PDB") == "HETATM").alias("hetero"), field("label_atom_id", "auth_atom_id").alias("atom"), *(field(f"Cartn_{c}").try_cast("double").alias(c) for c in "xyz"), model.alias("model"),
+    )
+    first = atoms.agg(F.min("model").alias("first"))
+    return atoms.crossJoin(F.broadcast(first)).where("model = first").drop("model", "first")
+
+
 def text(spark: SparkSession, path: str, ignore_whitespace: bool = False, ignore_case: bool = False) -> DataFrame:
     """(path, text): whole files."""
     from ..operators.texts import normalise

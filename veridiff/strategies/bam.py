@@ -15,9 +15,9 @@ def exact(ref: DataFrame, cand: DataFrame) -> DataFrame:
     gate = A.flagstat(ref).toDF("category", "p1", "f1", "r1").join(A.flagstat(cand).toDF("category", "p2", "f2", "r2"), "category", "full_outer")
     gate = gate.agg(F.avg(F.abs(F.coalesce("p1", F.lit(0)) - F.coalesce("p2", F.lit(0)))).alias("flagstat_difference"))
     n = ref.agg(F.count("*").alias("n_ref")).crossJoin(cand.agg(F.count("*").alias("n_cand")))
-    data = [c for c in ref.columns if c != "ord"]
+    data = [c for c in (*A.FIELDS, "tags") if c in ref.columns and c in cand.columns]
     x, y = ref.select("ord", F.struct(*data).alias("x")), cand.select("ord", F.struct(*data).alias("y"))
-    same = x.join(y, "ord").where(F.col("x").eqNullSafe(F.col("y"))).agg(F.count("*").alias("n_same"))
+    same = x.join(y, "ord").where(A.records_equal(data)).agg(F.count("*").alias("n_same"))
     gated = (F.col("flagstat_difference") > 0) | (F.col("n_ref") != F.col("n_cand"))
     value = F.when(gated, None).when(F.col("n_same") == F.col("n_ref"), 1.0).otherwise(0.0).cast("double")
     return n.crossJoin(gate).crossJoin(same).select(value.alias("similarity"), "flagstat_difference", "n_ref", "n_cand", "n_same")
@@ -27,8 +27,9 @@ def approximate(ref: DataFrame, cand: DataFrame, min_mapq: int = 20, overlap_thr
     """Jaccard of read counts with concordant reads as the intersection; reads join on (name, mate), the last of several."""
     def side(df: DataFrame, p: str) -> tuple[DataFrame, DataFrame]:
         q = A.qualifying(df, min_mapq)
-        last = F.max_by(F.struct("flag", "rname", "pos", "mapq", "len"), "ord").alias("v")
-        one = q.groupBy("qname", "is_read2").agg(last).select("qname", "is_read2", *(F.col("v." + c).alias(c + p) for c in ("flag", "rname", "pos", "mapq", "len")))
+        parts = ("flag", "rname", "mapq", "blocks")
+        last = F.max_by(F.struct(*parts), "ord").alias("v")
+        one = q.withColumn("blocks", A.blocks(df)).groupBy("qname", "is_read2").agg(last).select("qname", "is_read2", *(F.col("v." + c).alias(c + p) for c in parts))
         return q, one
 
     (qa, a), (qb, b) = side(ref, "1"), side(cand, "2")
@@ -49,9 +50,23 @@ def summary(ref: DataFrame, cand: DataFrame) -> DataFrame:
 
 
 def coverage(ref_depth: DataFrame, cand_depth: DataFrame, depth0_similarity: float | None = None) -> DataFrame:
-    """Mean of smaller over larger depth over the positions of either side; positions empty on both count as given."""
-    a = ref_depth.select("chrom", "pos", F.col("depth").alias("x"))
-    b = cand_depth.select("chrom", "pos", F.col("depth").alias("y"))
-    x, y = F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))
-    s = F.when((x == 0) & (y == 0), F.lit(depth0_similarity).cast("double")).otherwise(F.least(x, y) / F.greatest(x, y))
-    return a.join(b, ["chrom", "pos"], "full_outer").agg(F.avg(s).alias("similarity"), F.count("*").alias("n_positions"), F.sum(((x == 0) & (y == 0)).cast("long")).alias("n_depth0"), F.avg(x).alias("ref_average"), F.avg(y).alias("cand_average"))
+    """Mean of smaller over larger depth over the positions of either side; positions empty on both count as given.
+
+    Depths are runs (chrom, start, end, depth) or single positions (chrom, pos, depth).  Both sides' changes are summed along
+    each chromosome, so a stretch of constant depths is one row; nothing covered on either side counts as equal.
+    """
+    def steps(df: DataFrame, side: int) -> DataFrame:
+        runs = df if "start" in df.columns else df.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "depth")
+        d = F.col("depth").cast("long")
+        ends = F.array(*(F.struct(F.col(at).cast("long").alias("at"), (d * k).alias("d"), F.lit(k).cast("long").alias("n")) for at, k in (("start", 1), ("end", -1))))
+        x = runs.select("chrom", F.explode(ends).alias("v"))
+        pick = lambda c, s: (F.col(c) if s == side else F.lit(0).cast("long"))
+        return x.select("chrom", "v.at", pick("v.d", 0).alias("x"), pick("v.d", 1).alias("y"), F.col("v.n").alias("listed"))
+
+    seg = A.levels(steps(ref_depth, 0).unionByName(steps(cand_depth, 1)), ["x", "y", "listed"]).where("listed > 0").withColumn("w", F.expr("`end` - start"))
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    none = (x == 0) & (y == 0)
+    s = F.when(none, F.lit(depth0_similarity).cast("double")).otherwise(F.least(x, y) / F.greatest(x, y))
+    total = seg.agg(F.sum(s * w).alias("s"), F.sum(F.when(s.isNotNull(), w)).alias("k"), F.coalesce(F.sum(w), F.lit(0)).alias("n_positions"), F.coalesce(F.sum(F.when(none, w)), F.lit(0)).alias("n_depth0"), F.sum(x * w).alias("sx"), F.sum(y * w).alias("sy"))
+    n = F.col("n_positions")
+    return total.select(F.when(n == 0, 1.0).otherwise(F.expr("s / nullif(k, 0)")).alias("similarity"), "n_positions", "n_depth0", F.expr("sx / nullif(n_positions, 0)").alias("ref_average"), F.expr("sy / nullif(n_positions, 0)").alias("cand_average"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.alignments import concordant, qualifying
+from ..operators.alignments import blocks, concordant, qualifying
 
 
 def concordant_reads(ref: DataFrame, cand: DataFrame, time: str, delay: str = "10 minutes", min_mapq: int = 20, overlap: float = 0.95) -> DataFrame:
@@ -13,10 +13,10 @@ def concordant_reads(ref: DataFrame, cand: DataFrame, time: str, delay: str = "1
 
     Both sides carry an event time; a pair is compared once both reads have come.
     """
-    cols = ("flag", "rname", "pos", "mapq", "len")
+    cols = ("flag", "rname", "mapq", "blocks")
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        q = qualifying(df, min_mapq).withWatermark(time, delay)
+        q = qualifying(df, min_mapq).withColumn("blocks", blocks(df)).withWatermark(time, delay)
         return q.select(F.col("qname").alias("q" + p), F.col("is_read2").alias("m" + p), F.col(time).alias("t" + p), *(F.col(c).alias(c + p) for c in cols))
 
     near = f"t2 between t1 - interval {delay} and t1 + interval {delay}"
