@@ -62,7 +62,7 @@ def test_genomic_scans(spark, tmp_path):
     b = genomics.bed(spark, put(tmp_path, "a.bed", "track x\nc1\t1\t5\tn\t7\t+\nc1\t6\t9\tm\t.\t-\n")).orderBy("start").collect()
     assert [(r["start"], r["end"], r["score"]) for r in b] == [(1, 5, 7.0), (6, 9, None)]
     w = genomics.wig(spark, put(tmp_path, "a.wig", "fixedStep chrom=c1 start=3 step=2 span=2\n1.5\n2\nvariableStep chrom=c2\n7 9\n"))
-    assert sorted(map(tuple, w.collect())) == [("c1", 2, 1.5), ("c1", 3, 1.5), ("c1", 4, 2.0), ("c1", 5, 2.0), ("c2", 6, 9.0)]
+    assert sorted(map(tuple, w.collect())) == [("c1", 2, 4, 1.5), ("c1", 4, 6, 2.0), ("c2", 6, 7, 9.0)]
     p = genomics.pdb(spark, put(tmp_path, "a.pdb", PDB)).collect()
     assert [(r["chain"], r["res_ord"], r["resname"], r["x"]) for r in p if not r["hetero"]] == [("A", 1, "ALA", 11.0), ("A", 2, "GLY", 14.0)]
 
@@ -396,3 +396,96 @@ def test_id_columns_of_wide_tables(spark):
     four = spark.range(16).select(*(F.shiftright("id", i).bitwiseAND(F.lit(1)).alias(f"b{i}") for i in range(4)))
     assert tables.find_id_columns(four, four) == ["b0", "b1", "b2", "b3"]
     assert tables.find_id_columns(four.union(four), four) == [] and tables.find_id_columns(four.limit(0), four) == []
+
+
+def bigwig_bytes(order, sections, pack=True):
+    """Two chromosomes, an index of one leaf, sections of all three kinds."""
+    import struct
+    import zlib
+
+    head = 64
+    tree = struct.pack(order + "IIIIQQ", 0x78CA8C91, 2, 4, 8, 2, 0) + struct.pack(order + "BBH", 1, 0, 2)
+    tree += b"c1\0\0" + struct.pack(order + "II", 0, 1000) + b"c2\0\0" + struct.pack(order + "II", 1, 500)
+    body, places = b"", []
+    for raw in sections:
+        raw = zlib.compress(raw) if pack else raw
+        places.append((head + len(tree) + len(body), len(raw)))
+        body += raw
+    index = struct.pack(order + "IIQIIIIQII", 0x2468ACE0, 256, len(places), 0, 0, 1, 500, 0, 1, 0) + struct.pack(order + "BBH", 1, 0, len(places))
+    index += b"".join(struct.pack(order + "IIIIQQ", 0, 0, 0, 0, *p) for p in places)
+    header = struct.pack(order + "IHHQQQHHQQIQ", 0x888FFC26, 4, 0, head, head + len(tree), head + len(tree) + len(body), 0, 0, 0, 0, 1000 if pack else 0, 0)
+    return header + tree + body + index
+
+
+@pytest.mark.parametrize("order,pack", [("<", True), (">", True), ("<", False)])
+def test_bigwig(spark, tmp_path, order, pack):
+    import struct
+
+    section = lambda chrom, start, step, span, kind, n, rows: struct.pack(order + "IIIIIBBH", chrom, start, 0, step, span, kind, 0, n) + rows
+    parts = [
+        section(0, 0, 0, 0, 1, 2, struct.pack(order + "IIfIIf", 0, 100, 1.5, 200, 260, 2.5)),
+        section(0, 300, 0, 10, 2, 2, struct.pack(order + "IfIf", 300, 4.0, 350, 5.0)),
+        section(1, 5, 20, 5, 3, 3, struct.pack(order + "fff", 1.0, 2.0, 3.0)),
+    ]
+    path = put(tmp_path, "a.bw", bigwig_bytes(order, parts, pack))
+    got = sorted(map(tuple, api.load(spark, path, "bigwig").collect()))
+    assert got == [("c1", 0, 100, 1.5, 1000), ("c1", 200, 260, 2.5, 1000), ("c1", 300, 310, 4.0, 1000), ("c1", 350, 360, 5.0, 1000), ("c2", 5, 10, 1.0, 500), ("c2", 25, 30, 2.0, 500), ("c2", 45, 50, 3.0, 500)]
+    if order == "<" and pack:
+        other = put(tmp_path, "b.bw", bigwig_bytes(order, [*parts[:2], section(1, 5, 20, 5, 3, 3, struct.pack(order + "fff", 1.0, 2.0, 30.0))]))
+        assert api.detect_format(spark, path) == "bigwig"
+        assert all(api.compare_files(spark, path, path, s).similarity == pytest.approx(1) for s in ("exact", "approximate", "correlation", "summary"))
+        assert api.compare_files(spark, path, other, "exact").details["n_equal"] == 190
+        assert api.compare_files(spark, path, other, "approximate", tolerance=0.1).similarity == pytest.approx((1000 + 500 * 2 / 3) / 1500)
+        assert api.compare_files(spark, path, other, "approximate", tolerance=0.1, max_positions=30).similarity == 1
+
+
+def test_runs_measure_like_positions(spark):
+    """Every measure of runs against the same track position by position."""
+    from veridiff.strategies import signals as S
+
+    rng = __import__("random").Random(3)
+
+    def track():
+        rows, at = [], 0
+        while at < 400:
+            n = rng.randint(1, 40)
+            rows.append(("c1" if at < 250 else "c2", at, at + n, float(rng.randint(0, 6))))
+            at += n + rng.choice((0, 0, 5))
+        return rows
+
+    a, b = track(), track()
+    schema = "chrom string, start long, end long, value double"
+    whole = [spark.createDataFrame(t, schema) for t in (a, b)]
+    single = [spark.createDataFrame([(c, p, v) for c, s, e, v in t for p in range(s, e)], "chrom string, pos long, value double") for t in (a, b)]
+    for measure in (S.exact, S.approximate, lambda x, y: S.approximate(x, y, 0.3), S.correlation, lambda x, y: S.correlation(x, y, "spearman"), S.summary):
+        assert [pytest.approx(v) if isinstance(v, float) else v for v in measure(*single).first()] == list(measure(*whole).first())
+    assert sorted(map(tuple, S.value_stats(whole[0]).collect())) == [tuple(pytest.approx(v) if isinstance(v, float) else v for v in r) for r in sorted(map(tuple, S.value_stats(single[0]).collect()))]
+
+
+def bcf_bytes():
+    import struct
+
+    text = b'##fileformat=VCFv4.2\n##FILTER=<ID=PASS,Description="x",IDX=0>\n##contig=<ID=c1,length=900,IDX=0>\n##FILTER=<ID=q10,Description="x",IDX=1>\n##INFO=<ID=DP,Number=1,Type=Integer,Description="x",IDX=2>\n##INFO=<ID=AF,Number=A,Type=Float,Description="x",IDX=3>\n##INFO=<ID=DB,Number=0,Type=Flag,Description="x",IDX=4>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n\0'
+
+    def text_value(x):
+        return (bytes([len(x) << 4 | 7]) if len(x) < 15 else bytes([0xF7, 0x11, len(x)])) + x.encode()
+
+    def record(pos, name, alleles, qual, filters, info):
+        body = text_value(name) + b"".join(map(text_value, alleles)) + filters + b"".join(info)
+        bits = struct.pack("<f", qual) if qual is not None else struct.pack("<I", 0x7F800001)
+        body = struct.pack("<iii", 0, pos - 1, 1) + bits + struct.pack("<II", len(alleles) << 16 | len(info), 0) + body
+        return struct.pack("<II", len(body), 0) + body
+
+    key = lambda i: bytes([0x11, i])
+    first = record(10, ".", ["A", "C", "G"], 30.0, b"\x11\x00", [key(2) + b"\x11\x05", key(3) + b"\x25" + struct.pack("<ff", 0.5, 0.25), key(4) + b"\x00"])
+    second = record(20, "rs1", ["A" * 20, "."], None, b"\x00", [])
+    return gzip.compress(b"BCF\x02\x02" + struct.pack("<I", len(text)) + text + first + second)
+
+
+def test_bcf(spark, tmp_path):
+    path = put(tmp_path, "a.bcf", bcf_bytes())
+    rows = [tuple(r) for r in api.load(spark, path, "bcf").orderBy("ord").collect()]
+    assert rows == [("c1", 10, None, "A", "C,G", 30.0, "PASS", {"DP": "5", "AF": "0.5,0.25", "DB": "true"}, 0), ("c1", 20, "rs1", "A" * 20, "", None, "", {}, 1)]
+    assert api.detect_format(spark, path) == "bcf" and api.compare_files(spark, path, path, "exact").similarity == 1
+    text = put(tmp_path, "a.vcf", VCF)
+    assert api.load(spark, text, "vcf").columns == api.load(spark, path, "bcf").columns

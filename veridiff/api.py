@@ -12,7 +12,7 @@ from .operators.texts import joined  # noqa: F401  (public)
 from .plans import catalog
 from .plans.models import AlignPlan
 from .providers import Offline, Provider
-from .sources import binary, delimited, detect, genomics, indexes
+from .sources import bcf, bigwig, binary, delimited, detect, genomics, indexes
 from .status import SCHEMA, Result, Validation
 from .strategies import bam, bed, fasta, pdb, signals, table, txt, vcf
 
@@ -26,7 +26,8 @@ def register_handler(fmt: str, load: Callable[[SparkSession, str], DataFrame], c
 
 
 def get_supported_formats() -> list[str]:
-    return sorted({*catalog.BY_FORMAT, *_extra})
+    """Formats that load; those of ``catalog.BY_HANDLER`` do once a handler is registered."""
+    return sorted({*catalog.BY_FORMAT, *_extra} - ({*catalog.BY_HANDLER} - {*_extra}))
 
 
 def get_supported_strategies(fmt: str) -> list[str]:
@@ -60,8 +61,12 @@ def load(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         return genomics.mmcif(spark, path)
     if fmt == "xlsx":
         return binary.workbook(spark, path)
-    if fmt in ("cram", "bcf", "bigwig", "bw"):
-        raise ValueError(f"binary {fmt} files need a registered handler; convert to its text form or call register_handler")
+    if fmt in ("bigwig", "bw"):
+        return bigwig.bigwig(spark, path)
+    if fmt == "bcf":
+        return bcf.bcf(spark, path)
+    if fmt in catalog.BY_HANDLER:
+        raise ValueError(f"binary {fmt} files need a registered handler; convert to bam or call register_handler")
     if family not in loaders:
         raise ValueError(f"unsupported format {fmt}")
     return loaders[family](spark, path)

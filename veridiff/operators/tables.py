@@ -174,8 +174,8 @@ def column_measures(aligned: DataFrame, rules: list[ColumnRule]) -> DataFrame:
     return aligned.agg(*aggs).select(F.expr(f"stack({len(rows)}, {', '.join(rows)}) AS (column, strategy, similarity, matching, total)"))
 
 
-def average_ranks(values: DataFrame, value: str, buckets: int = 1024, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., value, rank): average rank of each distinct number, within each group of ``by``.
+def average_ranks(values: DataFrame, value: str, buckets: int = 1024, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """(by..., value, rank): average rank of each distinct number, within each group of ``by``; ``weight``: rows a row stands for.
 
     Ranks come from counts of distinct values: a running sum inside equal-width buckets, and one over the bucket totals, so
     no task sees more than a bucket's distinct values.
@@ -183,7 +183,7 @@ def average_ranks(values: DataFrame, value: str, buckets: int = 1024, by: tuple[
     by = list(by) or ["_all"]
     rows = values.where(F.col(value).isNotNull())
     rows = rows.withColumn("_all", F.lit(0)) if by == ["_all"] else rows
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     span = counts.groupBy(*by).agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), K.histogram_bin(F.col(value).cast("double"), F.col("lo"), F.col("hi"), buckets)).otherwise(0)
     binned = counts.join(span, by).withColumn("b", at).drop("lo", "hi")

@@ -20,6 +20,9 @@ CATALOG: dict[str, dict] = {
 }
 ALIASES = {("vcf", "statistics"): "summary", ("vcf", "statistical"): "summary", ("bigwig", "semantic"): "summary"}
 
+#: Formats of the families above whose files only a registered handler can read.
+BY_HANDLER = ("cram", "crai")
+
 BY_FORMAT = {f: family for family, spec in CATALOG.items() for f in spec["formats"]}
 
 

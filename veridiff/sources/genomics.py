@@ -85,23 +85,30 @@ def bed(spark: SparkSession, path: str, coord_only: bool = False) -> DataFrame:
 
 
 def bedgraph(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos, value: each run of a bedGraph position by position."""
+    """chrom, start, end, value of each run."""
     f = F.col("f")
-    x = _fields(spark, path, ("#", "track", "browser")).where(F.size("f") >= 4).select(f[0].alias("chrom"), f[1].try_cast("long").alias("s"), f[2].try_cast("long").alias("e"), f[3].try_cast("double").alias("value"))
-    return x.where("e > s").select("chrom", F.explode(F.sequence("s", F.col("e") - 1)).alias("pos"), "value")
+    x = _fields(spark, path, ("#", "track", "browser")).where(F.size("f") >= 4).select(f[0].alias("chrom"), f[1].try_cast("long").alias("start"), f[2].try_cast("long").alias("end"), f[3].try_cast("double").alias("value"))
+    return x.where("`end` > start")
 
 
 def wig(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos, value of fixedStep and variableStep sections; positions from 0."""
+    """chrom, start, end, value of fixedStep and variableStep sections; positions from 0, a run for each span.
+
+    A line's section is the last one opened in its block of lines, or else in the blocks before.
+    """
     x = numbered_lines(spark, path).where("value not like '#%' and value not like 'track%' and value not like 'browser%' and trim(value) <> ''")
-    head = F.col("value").rlike("^(fixed|variable)Step")
-    at = F.last(F.when(head, F.struct(F.col("_row").alias("r"), F.col("value").alias("v"))), ignorenulls=True).over(Window.partitionBy("file").orderBy("_row"))
-    x = x.withColumn("h", at).where(~head & F.col("h").isNotNull())
+    x = x.withColumn("head", F.col("value").rlike("^(fixed|variable)Step")).withColumn("chunk", F.floor(F.col("_row") / 100_000))
+    opened = F.when(F.col("head"), F.struct(F.col("_row").alias("r"), F.col("value").alias("v")))
+    per = x.groupBy("file", "chunk").agg(F.max(opened).alias("o"))
+    earlier = F.last("o", ignorenulls=True).over(Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.last(opened, ignorenulls=True).over(Window.partitionBy("file", "chunk").orderBy("_row"))
+    x = x.withColumn("own", inside).join(F.broadcast(per.withColumn("earlier", earlier).drop("o")), ["file", "chunk"])
+    x = x.withColumn("h", F.coalesce("own", "earlier")).where(~F.col("head") & F.col("h").isNotNull())
     opt = lambda k, d: F.coalesce(F.regexp_extract("h.v", k + "=([0-9]+)", 1).try_cast("long"), F.lit(d))
     fixed, v = F.col("h.v").startswith("fixed"), F.split(F.trim("value"), r"\s+")
     start = F.when(fixed, opt("start", 1) + (F.col("_row") - F.col("h.r") - 1) * opt("step", 1)).otherwise(v[0].try_cast("long")) - 1
     value = F.when(fixed, v[0].try_cast("double")).otherwise(F.get(v, F.lit(1)).try_cast("double"))
-    return x.select(F.regexp_extract("h.v", r"chrom=(\S+)", 1).alias("chrom"), F.explode(F.sequence(start, start + opt("span", 1) - 1)).alias("pos"), value.alias("value"))
+    return x.select(F.regexp_extract("h.v", r"chrom=(\S+)", 1).alias("chrom"), start.alias("start"), (start + opt("span", 1)).alias("end"), value.alias("value"))
 
 
 def fai(spark: SparkSession, path: str) -> DataFrame:

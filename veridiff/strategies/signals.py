@@ -1,4 +1,8 @@
-"""Signal-track, index and coverage strategies.  Tracks: chrom, pos, value; sizes: chrom, size."""
+"""Signal-track, index and coverage strategies.
+
+Tracks: runs of one value (chrom, start, end, value), half open and apart from each other, or single positions (chrom, pos,
+value); ``size`` where the file states sizes.  Runs are never taken apart: measures weigh them by their length.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,27 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import dist as D
+from ..operators import intervals as I
 from ..operators.tables import average_ranks
 
 
+def runs(track: DataFrame) -> DataFrame:
+    """A track as runs (chrom, start, end, value, ...); single positions are runs of one."""
+    return track if "start" in track.columns else track.withColumns({"start": F.col("pos"), "end": F.col("pos") + 1}).drop("pos")
+
+
 def sizes_of(track: DataFrame) -> DataFrame:
-    """Sizes where a file states none: one past the last position."""
-    return track.groupBy("chrom").agg((F.max("pos") + 1).alias("size"))
+    """Sizes as the file states them in ``size``, else one past the last position."""
+    size = F.col("size") if "size" in track.columns else F.col("end")
+    return runs(track).groupBy("chrom").agg(F.max(size).alias("size"))
 
 
 def head(track: DataFrame, max_positions: int | None) -> DataFrame:
-    return track.where(F.col("pos") < max_positions) if max_positions is not None else track
+    if max_positions is None:
+        return track
+    if "start" not in track.columns:
+        return track.where(F.col("pos") < max_positions)
+    return track.where(F.col("start") < max_positions).withColumn("end", F.least("end", F.lit(max_positions).cast("long")))
 
 
 def _common(ref: DataFrame, cand: DataFrame) -> DataFrame:
@@ -26,10 +41,19 @@ def _common(ref: DataFrame, cand: DataFrame) -> DataFrame:
     return both.crossJoin(a.agg(F.count("*").alias("n_ref_chroms"))).crossJoin(both.agg(F.count("*").alias("n_common")))
 
 
+def _meet(ref: DataFrame, cand: DataFrame) -> DataFrame:
+    """(chrom, x, y, w): values of both sides and the number of positions that have them."""
+    if "start" not in ref.columns and "start" not in cand.columns:
+        a, b = ref.select("chrom", "pos", F.col("value").alias("x")), cand.select("chrom", "pos", F.col("value").alias("y"))
+        return a.join(b, ["chrom", "pos"]).withColumn("w", F.lit(1).cast("long"))
+    j = I.overlap_join(*(runs(t).select("chrom", "start", "end", "value") for t in (ref, cand)))
+    return j.select(F.col("ref_chrom").alias("chrom"), F.col("ref_value").alias("x"), F.col("cand_value").alias("y"), F.col("overlap").alias("w"))
+
+
 def paired(ref: DataFrame, cand: DataFrame) -> DataFrame:
-    """(chrom, pos, x, y) of positions with a value on both sides."""
-    ok = lambda df, v: df.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select("chrom", "pos", F.col("value").cast("double").alias(v))
-    return ok(ref, "x").join(ok(cand, "y"), ["chrom", "pos"])
+    """(chrom, x, y, w) of positions with a value on both sides."""
+    ok = lambda df: df.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).withColumn("value", F.col("value").cast("double"))
+    return _meet(ok(ref), ok(cand))
 
 
 def _weighted(per_chrom: DataFrame, common: DataFrame) -> DataFrame:
@@ -40,9 +64,11 @@ def _weighted(per_chrom: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def exact(ref: DataFrame, cand: DataFrame) -> DataFrame:
+    """1 when sizes, positions and values agree; positions count, however long the runs that hold them."""
     s = sizes_of(ref).join(sizes_of(cand).withColumnRenamed("size", "size2"), "chrom", "full_outer").agg(F.bool_and(F.col("size").eqNullSafe(F.col("size2"))).alias("same_sizes"))
-    j = ref.select("chrom", "pos", F.col("value").alias("x")).join(cand.select("chrom", "pos", F.col("value").alias("y")), ["chrom", "pos"], "full_outer")
-    v = j.agg(F.sum(F.when(F.col("x").eqNullSafe(F.col("y")), 1).otherwise(0)).alias("n_equal"), F.count("*").alias("n_positions"))
+    met = _meet(ref, cand).agg(F.coalesce(F.sum(F.when(F.col("x").eqNullSafe(F.col("y")), F.col("w"))), F.lit(0)).alias("n_equal"), F.coalesce(F.sum("w"), F.lit(0)).alias("n_both"))
+    length = lambda df, name: runs(df).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias(name))
+    v = met.crossJoin(length(ref, "n1")).crossJoin(length(cand, "n2")).select("n_equal", F.expr("n1 + n2 - n_both").alias("n_positions"))
     ok = F.col("same_sizes") & (F.col("n_equal") == F.col("n_positions"))
     return s.crossJoin(v).select(F.when(ok, 1.0).otherwise(0.0).alias("similarity"), "same_sizes", "n_equal", "n_positions")
 
@@ -51,30 +77,33 @@ def approximate(ref: DataFrame, cand: DataFrame, tolerance: float = 1.0) -> Data
     """Size-weighted share of positions whose difference, relative to the larger magnitude, is within the tolerance."""
     m = F.greatest(F.abs("x"), F.abs("y"))
     rel = F.when(m > 0, F.abs(F.col("x") - F.col("y")) / m).otherwise(0.0)
-    per = paired(ref, cand).groupBy("chrom").agg(F.avg(F.when(rel <= tolerance, 1.0).otherwise(0.0)).alias("s"))
+    per = paired(ref, cand).groupBy("chrom").agg((F.sum(F.when(rel <= tolerance, F.col("w")).otherwise(0)) / F.sum("w")).alias("s"))
     return _weighted(per, _common(ref, cand))
 
 
 def correlation(ref: DataFrame, cand: DataFrame, method: str = "pearson") -> DataFrame:
     p = paired(ref, cand)
+    p = p.withColumns({"u": F.col("x"), "v": F.col("y")})
     if method == "spearman":
-        for v in ("x", "y"):
-            p = p.join(average_ranks(p.select("chrom", v), v, by=("chrom",)).withColumnRenamed("rank", "r" + v), ["chrom", v])
-        c = F.corr("rx", "ry")
-    else:
-        c = F.corr("x", "y")
+        for c, r in (("x", "u"), ("y", "v")):
+            ranks = average_ranks(p.select("chrom", c, "w"), c, by=("chrom",), weight="w").withColumnRenamed("rank", r)
+            p = p.drop(r).join(ranks, ["chrom", c])
+    means = p.groupBy("chrom").agg((F.sum(F.col("u") * F.col("w")) / F.sum("w")).alias("mu"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mv"))
+    p = p.join(means, "chrom").withColumns({"du": F.col("u") - F.col("mu"), "dv": F.col("v") - F.col("mv")})
+    cov, su, sv = (F.sum(F.col(a) * F.col(b) * F.col("w")) for a, b in (("du", "dv"), ("du", "du"), ("dv", "dv")))
     constant = (F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))
     equal = F.max(F.abs(F.col("x") - F.col("y"))) <= 1e-8 + 1e-5 * F.max(F.abs("y"))
-    s = F.when(F.count("*") < 2, None).when(constant & equal, 1.0).when(constant, None).otherwise(F.abs(c))
+    s = F.when(F.sum("w") < 2, None).when(constant & equal, 1.0).when(constant, None).otherwise(F.least(F.lit(1.0), F.abs(cov) / F.sqrt(su * sv)))
     return _weighted(p.groupBy("chrom").agg(s.alias("s")), _common(ref, cand))
 
 
 def summary(ref: DataFrame, cand: DataFrame, num_bins: int = 50) -> DataFrame:
     """Size-weighted similarity of value histograms over the common range; one single value overall gives 1."""
     common = _common(ref, cand)
-    rows = ref.select("chrom", F.col("value").cast("double").alias("v"), F.lit(0).alias("side")).unionByName(cand.select("chrom", F.col("value").cast("double").alias("v"), F.lit(1).alias("side")))
+    side = lambda df, k: runs(df).select("chrom", F.col("value").cast("double").alias("v"), F.lit(k).alias("side"), (F.col("end") - F.col("start")).alias("w"))
+    rows = side(ref, 0).unionByName(side(cand, 1))
     rows = rows.where("v is not null and not isnan(v)").join(F.broadcast(common.select("chrom")), "chrom", "left_semi")
-    counts = rows.groupBy("chrom", "v").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("p"), F.sum("side").alias("q"))
+    counts = rows.groupBy("chrom", "v").agg(F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("side") == 1, F.col("w")).otherwise(0)).alias("q"))
     span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), K.histogram_bin(F.col("v"), F.col("lo"), F.col("hi"), num_bins)).otherwise(0)
     binned = counts.crossJoin(F.broadcast(span)).groupBy("chrom", at.alias("bin")).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -84,7 +113,9 @@ def summary(ref: DataFrame, cand: DataFrame, num_bins: int = 50) -> DataFrame:
 
 
 def value_stats(track: DataFrame) -> DataFrame:
-    return track.groupBy("chrom").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.count("value").alias("n"))
+    """(chrom, min, max, avg, n) over positions."""
+    w = F.when(F.col("value").isNotNull(), F.col("end") - F.col("start"))
+    return runs(track).groupBy("chrom").agg(F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(F.col("value") * w) / F.sum(w)).alias("avg"), F.coalesce(F.sum(w), F.lit(0)).alias("n"))
 
 
 # -- indexes -------------------------------------------------------------------------------------------------------------
