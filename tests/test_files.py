@@ -489,3 +489,21 @@ def test_bcf(spark, tmp_path):
     assert api.detect_format(spark, path) == "bcf" and api.compare_files(spark, path, path, "exact").similarity == 1
     text = put(tmp_path, "a.vcf", VCF)
     assert api.load(spark, text, "vcf").columns == api.load(spark, path, "bcf").columns
+
+
+def test_variant_calls(spark, tmp_path):
+    """Three reads of four show a base that the reference has not; deletions and clipped bases do not count."""
+    from veridiff.operators import variants as V
+
+    genome = put(tmp_path, "g.fa", ">c1 x\nACGTACGTAC\nGTACGT\n")
+    head = "@HD\tVN:1.6\n@SQ\tSN:c1\tLN:16\n"
+    read = lambda i, pos, cigar, seq: f"r{i}\t0\tc1\t{pos}\t60\t{cigar}\t*\t0\t0\t{seq}\t{'I' * len(seq)}\n"
+    a = put(tmp_path, "a.sam", head + read(1, 1, "8M", "ACGTTCGT") + read(2, 3, "6M", "GTTCGT") + read(3, 5, "2S4M", "GGTCGT") + read(4, 1, "4M4D2M", "ACGTAC") + read(5, 3, "4M", "GTAC"))
+    b = put(tmp_path, "b.sam", head + "".join(read(i, 1, "8M", "ACGTACGT") for i in range(5)))
+    reads = genomics.sam(spark, a)
+    called = V.call(reads, genomics.fasta(spark, genome)).collect()
+    assert [(r["chrom"], r["pos"], r["ref"], r["alts"], r["qual"], r["info"]) for r in called] == [("c1", 5, "A", "T", 60.0, {"DP": "4"})]
+    assert api.compare_files(spark, a, a, "variant", fmt="sam", ref_fasta=genome, vcf_strategy="exact").similarity == 1
+    assert api.compare_files(spark, a, b, "variant", fmt="sam", ref_fasta=genome).status == "success"
+    assert api.compare_files(spark, a, b, "variant", fmt="sam").status == "error"
+    assert V.is_sorted(genomics.vcf(spark, put(tmp_path, "s.vcf", VCF))).first()[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import alignments, structures
+from .operators import alignments, structures, variants
 from .operators.texts import joined  # noqa: F401  (public)
 from .plans import catalog
 from .plans.models import AlignPlan
@@ -113,7 +113,11 @@ def _family(spark: SparkSession, family: str, fmt: str, ref: str, cand: str, str
         return table.approximate(a, b, plan, provider.compare(a.columns))
     if family == "bam":
         if strategy == "variant":
-            raise ValueError("variant calling needs an external caller: compare called variants with the vcf strategies")
+            if not p["ref_fasta"]:
+                raise ValueError("a reference FASTA file is required to call variants")
+            genome = genomics.fasta(spark, p["ref_fasta"])
+            called = [variants.call(x, genome) for x in (a, b)]
+            return {"exact": vcf.exact, "approximate": vcf.approximate, "summary": vcf.summary}[p["vcf_strategy"]](*called)
         if strategy == "coverage":
             sizes = [spark.createDataFrame((binary.bam_header if fmt == "bam" else genomics.sam_header)(spark, x)[1], "chrom string, size long") for x in (ref, cand)]
             return bam.coverage(alignments.depth(a, sizes[0]), alignments.depth(b, sizes[1]), p["depth0_similarity"])

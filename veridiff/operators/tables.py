@@ -269,3 +269,33 @@ def plan_rules(ref: DataFrame, columns: list[str], plan: ComparePlan | None) ->
 
 def safe_name(name: str) -> str:
     return re.sub(r"\W+", "_", name).strip("_").lower()
+
+
+def pearson_columns(aligned: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, pearson) of each column's two sides over rows where both are present, and their mean as column NULL.
+
+    Columns without variation have no correlation and stay out of the mean.
+    """
+    def corr(c: str) -> Column:
+        a, b = F.col(q(c + R)).cast("double"), F.col(q(c + C)).cast("double")
+        both = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+        r = F.corr(F.when(both, a), F.when(both, b))
+        return F.when(~F.isnan(r), r)
+
+    row = aligned.agg(*(corr(c).alias(f"p{i}") for i, c in enumerate(columns)))
+    rows = row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"p{i}").alias("pearson")) for i, c in enumerate(columns)))).alias("v")).select("v.*")
+    return rows.unionByName(rows.agg(F.avg("pearson").alias("pearson")).select(F.lit(None).cast("string").alias("column"), "pearson"))
+
+
+def align_labels(ref: DataFrame, cand: DataFrame, label: str = "_row") -> DataFrame:
+    """Rows of both sides joined by their label as lower-case text, for tables without key columns; repeated labels: an error."""
+    for df in (ref, cand):
+        if df.groupBy(F.lower(F.col(q(label)).cast("string"))).count().where("count > 1").take(1):
+            raise ValueError(f"labels in {label} repeat")
+    text = lambda df: df.withColumn(label, F.lower(F.col(q(label)).cast("string")))
+    return outer_align(text(ref), text(cand), [label])
+
+
+def to_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as doubles; text that is no number is missing."""
+    return df.withColumns({c: F.col(q(c)).try_cast("double") for c in columns})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ("chrom", "pos", "ref", "alt")
@@ -69,3 +69,85 @@ def stats_indels(raw: DataFrame) -> DataFrame:
     """(length, n): alternatives by length change; deletions are negative."""
     a = _alts(raw).select("ref", F.explode("a").alias("alt")).where(F.length("ref") != F.length("alt"))
     return a.groupBy((F.length("alt") - F.length("ref")).alias("length")).agg(F.count("*").alias("n"))
+
+
+def stats_af(raw: DataFrame) -> DataFrame:
+    """(af, snps, transitions, transversions, indels) of alternatives by allele frequency, to two digits.
+
+    Frequencies come from ``info``: AF, or AC over AN; alternatives without either count at 0.
+    """
+    a = _alts(raw)
+    if "info" in raw.columns:
+        nth = lambda name: F.get(F.split(F.col("info")[name], ","), F.col("k")).try_cast("double")
+        af = F.coalesce(nth("AF"), nth("AC") / F.when(F.col("info")["AN"].try_cast("double") > 0, F.col("info")["AN"].try_cast("double")), F.lit(0.0))
+        a = a.select("ref", "info", F.posexplode("a").alias("k", "alt")).select("ref", "alt", F.round(af, 2).alias("af"))
+    else:
+        a = a.select("ref", F.explode("a").alias("alt"), F.lit(0.0).alias("af"))
+    snp, ts = (F.length("ref") == 1) & (F.length("alt") == 1), transition(F.col("ref"), F.col("alt"))
+    kinds = {"snps": snp, "transitions": snp & ts, "transversions": snp & ~ts, "indels": F.length("ref") != F.length("alt")}
+    return a.groupBy("af").agg(*(F.sum(c.cast("long")).alias(name) for name, c in kinds.items()))
+
+
+def is_sorted(raw: DataFrame, reach: int = 100_000) -> DataFrame:
+    """One row: whether positions never fall within a chromosome and chromosomes stand together."""
+    from .intervals import is_sorted as starts_sorted
+
+    flat = raw.select("chrom", F.col("pos").alias("start"), "ord")
+    ends = flat.groupBy("chrom").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    overlap = F.lag("last").over(Window.orderBy("first")) > F.col("first")  # a row a chromosome
+    apart = ends.select(overlap.alias("o")).agg((~F.coalesce(F.bool_or("o"), F.lit(False))).alias("together"))
+    return starts_sorted(flat, "ord", reach).crossJoin(apart).select((F.coalesce("sorted", F.lit(True)) & F.col("together")).alias("sorted"))
+
+
+# -- calling ---------------------------------------------------------------------------------------------------------------
+
+#: Bases of one row of a dealt reference.
+PIECE = 1 << 14
+
+
+def pileup(reads: DataFrame, min_base_quality: int = 13) -> DataFrame:
+    """(chrom, pos, base, n): bases over each position from 0, by the cigars of mapped, kept reads.
+
+    Bases below the quality do not count; reads without qualities count whole.
+    """
+    from . import alignments as A
+
+    kept = reads.where(F.col("flag").bitwiseAND(F.lit(A.UNMAPPED | A.SECONDARY | A.QC_FAIL | A.DUPLICATE)) == 0).where("seq <> '*'")
+    pairs = "array<struct<s:bigint,q:bigint,n:bigint>>"
+    state = f"struct<at:bigint,q:bigint,out:{pairs}>"
+
+    def step(s: Column, o: Column) -> Column:
+        n = o["len"].cast("long")
+        at = s["at"] + F.when(o["op"].isin(0, 2, 3, 7, 8), n).otherwise(0)
+        q = s["q"] + F.when(o["op"].isin(0, 1, 4, 7, 8), n).otherwise(0)
+        run = F.array(F.struct(s["at"].alias("s"), s["q"].alias("q"), n.alias("n"))).cast(pairs)
+        return F.struct(at.alias("at"), q.alias("q"), F.when(o["op"].isin(0, 7, 8), F.concat(s["out"], run)).otherwise(s["out"]).alias("out")).cast(state)
+
+    start = F.struct(F.col("pos").cast("long").alias("at"), F.lit(0).cast("long").alias("q"), F.array().cast(pairs).alias("out")).cast(state)
+    runs = kept.select(F.col("rname").alias("chrom"), "seq", "qual", F.explode(F.aggregate(A.cigar_ops(F.col("cigar")), start, step, lambda s: s["out"])).alias("b"))
+    bases = runs.select("chrom", "seq", "qual", "b", F.explode(F.expr("sequence(0L, b.n - 1)")).alias("i"))
+    at = (F.col("b.q") + F.col("i") + 1).cast("int")
+    good = (F.length("qual") < F.length("seq")) | (F.ascii(F.substring("qual", at, F.lit(1))) - 33 >= min_base_quality)
+    bases = bases.where(good).select("chrom", (F.col("b.s") + F.col("i")).alias("pos"), F.upper(F.substring("seq", at, F.lit(1))).alias("base"))
+    return bases.where("base in ('A', 'C', 'G', 'T')").groupBy("chrom", "pos", "base").agg(F.count("*").alias("n"))
+
+
+def call(reads: DataFrame, reference: DataFrame, min_depth: int = 4, min_share: float = 0.2, min_base_quality: int = 13) -> DataFrame:
+    """Raw variant rows from a pileup: bases that differ from the reference with a share of the depth at their position.
+
+    A plain caller for comparing two files by the same rule: single bases only, no realignment, no genotype model, so its
+    calls are not those of a statistical caller.  Quality is 20 for each read that shows the base.
+    """
+    n = pileup(reads, min_base_quality)
+    depth = n.groupBy("chrom", "pos").agg(F.sum("n").alias("depth"))
+    pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / PIECE).cast("int")))
+    dealt = reference.select(F.col("id").cast("string").alias("chrom"), F.explode(pieces).alias("piece"), F.upper("seq").alias("seq"))
+    dealt = dealt.select("chrom", F.col("piece").cast("long").alias("piece"), F.substring("seq", F.col("piece") * PIECE + 1, F.lit(PIECE)).alias("part"))
+    rows = n.join(depth, ["chrom", "pos"]).where(F.col("depth") >= min_depth).where(F.col("n") >= F.col("depth") * min_share)
+    rows = rows.withColumn("piece", F.expr(f"pos div {PIECE}")).join(dealt, ["chrom", "piece"])
+    rows = rows.withColumn("ref", F.substring("part", (F.col("pos") % PIECE + 1).cast("int"), F.lit(1))).where("ref in ('A', 'C', 'G', 'T') and base <> ref")
+    sites = rows.groupBy("chrom", "pos", "ref", "depth").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "base"))).alias("v"))  # three bases at most
+    return sites.select(
+        "chrom", (F.col("pos") + 1).alias("pos"), F.lit(None).cast("string").alias("id"), "ref", F.array_join(F.transform("v", lambda x: x["base"]), ",").alias("alts"),
+        (F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s - x["n"]) * 20).cast("double").alias("qual"), F.lit("PASS").alias("filter"), F.create_map(F.lit("DP"), F.col("depth").cast("string")).alias("info"), F.col("pos").alias("ord"),
+    )

@@ -102,3 +102,10 @@ def bam_cigar_expand(spark, sf_dir):
     cigar = F.concat(n, F.lit("S"), (F.col("l_linenumber") + 40).cast("string"), F.lit("M2D3I"), n, F.lit("H"))
     e = A.expand_cigar(cigar)
     return t.select(F.col("l_linenumber").alias("line"), F.size(e).alias("b"), F.aggregate(e, F.lit(0), lambda s, x: s + x.cast("int")).alias("c")).groupBy("line").agg(F.count("*").alias("n"), F.sum("b").alias("bases"), F.sum("c").alias("codes"))
+
+
+@query(" SELECT NOT EXISTS (SELECT 1 FROM (SELECT (rname, pos) < lag((rname, pos)) OVER (ORDER BY ord) AS falls FROM sam_ref) WHERE falls) AS by_place, true AS by_order", ("sam_ref",))
+def bam_sorted(spark, sf_dir):
+    reads = load(spark, sf_dir, "sam_ref")
+    by_order = A.in_order(reads, [F.col("ord")]).withColumnRenamed("sorted", "by_order")
+    return A.in_order(reads, [F.col("rname"), F.col("pos")]).withColumnRenamed("sorted", "by_place").crossJoin(by_order)

@@ -164,3 +164,32 @@ def table_sorted_head(spark, sf_dir):
     from pyspark.sql import Window
 
     return top.withColumn("place", F.row_number().over(Window.orderBy("o_orderstatus", F.desc("o_totalprice"), "o_orderkey"))).select("o_orderkey", "o_orderstatus", "o_totalprice", "place")
+
+
+@query(
+    """, j AS (SELECT a.o_custkey::DOUBLE AS x1, b.O_CUSTKEY::DOUBLE AS y1, a.o_totalprice AS x2, b.O_TOTALPRICE AS y2 FROM table_ref a JOIN table_cand b ON a.o_orderkey = b.O_ORDERKEY),
+    c AS (SELECT corr(x1, y1) AS p1, corr(x2, y2) AS p2 FROM j)
+    SELECT 'o_custkey' AS "column", round(p1, 6) AS pearson FROM c UNION ALL SELECT 'o_totalprice', round(p2, 6) FROM c UNION ALL SELECT NULL, round((p1 + p2) / 2, 6) FROM c""",
+    ("table_ref", "table_cand"),
+)
+def table_pearson_columns(spark, sf_dir):
+    ref, cand = load(spark, sf_dir, "table_ref", "table_cand")
+    ref, cand = O.align_columns(ref, cand)
+    joined = O.inner_align(ref, cand, ["o_orderkey"])
+    return rounded(O.pearson_columns(joined, ["o_custkey", "o_totalprice"]))
+
+
+@query("SELECT lower('Label ' || n_nationkey) AS label, n_name AS a, CASE WHEN n_nationkey % 3 <> 0 THEN n_regionkey END AS b, CASE WHEN n_nationkey % 3 = 0 THEN 'ref' ELSE 'both' END AS side FROM nation")
+def table_label_align(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    ref = n.select(F.concat(F.lit("Label "), "n_nationkey").alias("label"), F.col("n_name").alias("v"))
+    cand = n.where("n_nationkey % 3 <> 0").select(F.concat(F.lit("LABEL "), "n_nationkey").alias("label"), F.col("n_regionkey").alias("v"))
+    j = O.align_labels(ref, cand, "label")
+    return j.select("label", F.col("`v@r`").alias("a"), F.col("`v@c`").alias("b"), F.col("_side").alias("side"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer")
+def table_to_numbers(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("n/a "), "c_custkey")).otherwise(F.col("c_acctbal").cast("string"))
+    return O.to_numbers(c.select("c_custkey", text.alias("v")), ["v"])

@@ -22,6 +22,10 @@ TSTV = """(SELECT sum((ts)::INT)::BIGINT AS ts, sum((NOT ts)::INT)::BIGINT AS tv
 RAE = "CASE WHEN {0} = 0 AND {1} = 0 THEN 1 WHEN {0} = 0 THEN 0 ELSE greatest(0, least(1, 1 - abs({0} - {1}) / abs({0}))) END"
 
 
+QUAL = "(SELECT row_number() OVER (ORDER BY bin) AS k, * FROM (SELECT floor(qual)::BIGINT AS bin, sum(s::INT)::BIGINT AS snps, sum((s AND t)::INT)::BIGINT AS ts, sum((s AND NOT t)::INT)::BIGINT AS tv, sum((NOT s)::INT)::BIGINT AS indels FROM (SELECT qual, len(ref) = 1 AND len(alt) = 1 AS s, ref || alt IN ('AG', 'GA', 'CT', 'TC') AS t FROM (SELECT qual, ref, string_split(alts, ',')[1] AS alt FROM {0} WHERE alts <> '')) GROUP BY ALL))"
+AF = "(SELECT sum(s::INT)::BIGINT AS snps, sum((s AND t)::INT)::BIGINT AS ts, sum((s AND NOT t)::INT)::BIGINT AS tv, sum(i::INT)::BIGINT AS indels FROM (SELECT len(ref) = 1 AND len(alt) = 1 AS s, ref || alt IN ('AG', 'GA', 'CT', 'TC') AS t, len(ref) <> len(alt) AS i FROM (SELECT ref, unnest(string_split(alts, ',')) AS alt FROM {0} WHERE alts <> '')))"
+
+
 def _pair(spark, sf_dir):
     return load(spark, sf_dir, *PAIR)
 
@@ -77,8 +81,39 @@ def vcf_approx(spark, sf_dir):
 @query(
     f", m AS (SELECT avg({RAE.format('x.value', 'y.value')}) AS v FROM {SN.format('vcf_raw')} x JOIN {SN.format('vcf_raw_cand')} y USING (key)), t AS (SELECT ("
     + " + ".join(RAE.format(f"x.{c}", f"y.{c}") for c in ("ts", "tv", "ts_tv", "ts_1stalt", "tv_1stalt", "ts_tv_1stalt"))
-    + f" + 1) / 7 AS s FROM {TSTV.format('vcf_raw')} x, {TSTV.format('vcf_raw_cand')} y) SELECT round((v + 1) / 2, 6) AS similarity, round(v, 6) AS value_mean, round(s, 6) AS tstv_similarity FROM m, t",
+    + f" + 1) / 7 AS s FROM {TSTV.format('vcf_raw')} x, {TSTV.format('vcf_raw_cand')} y), qj AS (SELECT "
+    + ", ".join(f"coalesce(x.{c}, 0) AS x{c}, coalesce(y.{c}, 0) AS y{c}" for c in ("bin", "snps", "ts", "tv", "indels"))
+    + f" FROM {QUAL.format('vcf_raw')} x FULL JOIN {QUAL.format('vcf_raw_cand')} y USING (k)), qs AS (SELECT avg((1 + "
+    + " + ".join(RAE.format(f"x{c}", f"y{c}") for c in ("bin", "snps", "ts", "tv", "indels"))
+    + ") / 6) AS q FROM qj), fs AS (SELECT (2 + "
+    + " + ".join(RAE.format(f"x.{c}", f"y.{c}") for c in ("snps", "ts", "tv", "indels"))
+    + f") / 6 AS f FROM {AF.format('vcf_raw')} x, {AF.format('vcf_raw_cand')} y) SELECT round((v + 1) / 2, 6) AS similarity, round(v, 6) AS value_mean, round(s, 6) AS tstv_similarity, round(q, 6) AS qual_similarity, round(f, 6) AS af_similarity FROM m, t, qs, fs",
     PAIR,
 )
 def vcf_summary(spark, sf_dir):
     return rounded(S.summary(*_pair(spark, sf_dir)))
+
+
+@query(f" SELECT 0.0::DOUBLE AS af, snps, ts AS transitions, tv AS transversions, indels FROM {AF.format('vcf_raw')}", ("vcf_raw",))
+def vcf_stats_af(spark, sf_dir):
+    return V.stats_af(load(spark, sf_dir, "vcf_raw"))
+
+
+@query(" SELECT NOT EXISTS (SELECT 1 FROM (SELECT pos < lag(pos) OVER (PARTITION BY chrom ORDER BY ord) AS falls FROM vcf_raw) WHERE falls) AND NOT EXISTS (SELECT 1 FROM (SELECT lag(l) OVER (ORDER BY f) > f AS o FROM (SELECT min(ord) AS f, max(ord) AS l FROM vcf_raw GROUP BY chrom)) WHERE o) AS sorted", ("vcf_raw",))
+def vcf_sorted(spark, sf_dir):
+    return V.is_sorted(load(spark, sf_dir, "vcf_raw"))
+
+
+READ = "SELECT id::VARCHAR AS chrom, seq FROM seq_cand WHERE seq <> '' AND id < 100000"
+
+
+@query(
+    f""", r AS ({READ}), b AS (SELECT chrom, unnest(range(1, len(seq) + 1)) AS pos, unnest(string_split(seq, '')) AS base FROM r), c AS (SELECT id::VARCHAR AS chrom, unnest(range(1, len(seq) + 1)) AS pos, unnest(string_split(seq, '')) AS ref FROM seq_ref)
+    SELECT chrom, pos, ref, base AS alts, 20.0::DOUBLE AS qual FROM b JOIN c USING (chrom, pos) WHERE base <> ref AND base IN ('A', 'C', 'G', 'T') AND ref IN ('A', 'C', 'G', 'T')""".replace("seq FROM seq_cand", "CASE WHEN id % 4 = 0 THEN translate(seq, 'ACGT', 'CGTA') ELSE seq END AS seq FROM seq_cand"),
+    ("seq_ref", "seq_cand"),
+)
+def bam_variant_call(spark, sf_dir):
+    """The plain caller over one read a sequence; every fourth read has all its bases turned."""
+    ref, cand = load(spark, sf_dir, "seq_ref", "seq_cand")
+    reads = cand.where("seq <> '' and id < 100000").select(F.lit(0).alias("flag"), F.col("id").cast("string").alias("rname"), F.lit(0).alias("pos"), F.concat(F.length("seq"), F.lit("M")).alias("cigar"), F.expr("if(id % 4 = 0, translate(seq, 'ACGT', 'CGTA'), seq)").alias("seq"), F.lit("*").alias("qual"))
+    return V.call(reads, ref, min_depth=1).select("chrom", "pos", "ref", "alts", "qual")

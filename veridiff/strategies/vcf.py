@@ -46,6 +46,23 @@ def exact(ref_raw: DataFrame, cand_raw: DataFrame) -> DataFrame:
     return n.select(F.when(same & (F.col("in_order") == F.col("n_both")) & (F.col("details_equal") == F.col("n_both")), 1.0).otherwise(0.0).alias("similarity"), "n_ref", "n_cand", "n_both", "details_equal")
 
 
+def section_similarity(ref: DataFrame, cand: DataFrame, order: str, name: str) -> DataFrame:
+    """One row: mean relative similarity of the cells of two sections, row by row in their order, absent rows as 0.
+
+    Sections carry an id column of zeros, whose cells are equal.  Sections have a row a bin.  None on either side: 1; on one: 0.
+    """
+    cols = ref.columns
+
+    def numbered(df: DataFrame, p: str) -> DataFrame:
+        return df.select(F.row_number().over(Window.orderBy(order)).alias("_n"), *(F.col(c).cast("double").alias(p + c) for c in cols))
+
+    j = numbered(ref, "a_").join(numbered(cand, "b_"), "_n", "full_outer")
+    s = sum((K.rae_similarity(F.coalesce("a_" + c, F.lit(0.0)), F.coalesce("b_" + c, F.lit(0.0))) for c in cols), F.lit(1.0))
+    n = j.agg(F.sum(s).alias("s"), F.count("*").alias("k"), F.count("a_" + cols[1]).alias("n1"), F.count("b_" + cols[1]).alias("n2"))
+    one_empty = (F.col("n1") == 0) | (F.col("n2") == 0)
+    return n.select(F.when(F.col("k") == 0, 1.0).when(one_empty, 0.0).otherwise(F.col("s") / (F.col("k") * (len(cols) + 1))).alias(name))
+
+
 def summary(ref_raw: DataFrame, cand_raw: DataFrame) -> DataFrame:
     """Mean relative similarity of the summary section.
 
@@ -59,4 +76,7 @@ def summary(ref_raw: DataFrame, cand_raw: DataFrame) -> DataFrame:
     names = ("ts", "tv", "ts_tv", "ts_1stalt", "tv_1stalt", "ts_tv_1stalt")
     # the section's own id column again counts as one equal cell
     tstv = t.select(((sum((K.rae_similarity(F.col(c), F.col(f"x{i + 1}")) for i, c in enumerate(names)), F.lit(0.0)) + 1) / 7).alias("tstv_similarity"))
-    return out.crossJoin(tstv).select(((F.col("value_mean") + 1) / 2).alias("similarity"), "value_mean", "tstv_similarity")
+    qual = section_similarity(V.stats_qual(ref_raw).where("bin is not null"), V.stats_qual(cand_raw).where("bin is not null"), "bin", "qual_similarity")
+    af = section_similarity(V.stats_af(ref_raw), V.stats_af(cand_raw), "af", "af_similarity")
+    parts = out.crossJoin(tstv).crossJoin(qual).crossJoin(af)
+    return parts.select(((F.col("value_mean") + 1) / 2).alias("similarity"), "value_mean", "tstv_similarity", "qual_similarity", "af_similarity")
