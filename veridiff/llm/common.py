@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that tune caching)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,17 +127,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours are tied to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = settle(small, "edges")
-        stars = new.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").limit(1)
-        roots = new.select("v").distinct().join(new.select(F.col("u").alias("v")), "v", "left_semi").limit(1)
-        done = not stars.take(1) and not roots.take(1)
-        e = new
-        if done:
+        e = settle(small, "edges")
+        # done when each node has one edge up and no node above another has one itself
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if not ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("top")).where("ups > 1 or ups = 1 and top = 0").take(1):
             break
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def merge_components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` (node, comp) after further ``links`` (a, b): only the components that these tie are worked on."""
+    def comp_of(p: DataFrame, end: str) -> DataFrame:
+        return p.join(comps.toDF(end, "_c"), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+
+    tied = settle(connected_components(comp_of(comp_of(links.select("a", "b"), "a"), "b")), "tied")
+    out = comps.join(tied.toDF("comp", "_t"), "comp", "left").select("node", F.coalesce("_t", "comp").alias("comp"))
+    return out.unionByName(tied.join(comps, "node", "left_anti"))  # nodes that stood alone
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -39,13 +39,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from .common import connected_components, give_back, regrouped, settle, small_batches, tidy
+from .common import connected_components, give_back, merge_components, regrouped, settle, small_batches, tidy
 from .exact_dedup import screen
 
 WORDS = 5
@@ -428,43 +426,34 @@ def _cells(rule: Jaccard, salted: np.ndarray, whole: np.ndarray):
 def _block_join(rule: Jaccard):
     """Pairs of rows of two blocks of a large cell that lie in different components and may link."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("id")
-        vectors = [unpacked(x) for x in rows["vec"]]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        ids, first = np.unique(rows["id"].to_numpy(), return_index=True)
+        vectors = [unpacked(rows["vec"][i].as_py()) for i in first.tolist()]
         coarse = np.array([fold(v, GROUPS) for v in vectors], np.uint32).reshape(-1, GROUPS)
-        n, left = rows["n"].to_numpy(np.int64), rows["left"].to_numpy(np.int64)
-        comp, block, ids = rows["comp"].to_numpy(), rows["block"].to_numpy(), rows["id"].to_numpy()
+        n, left, comp, block = (rows[c].to_numpy()[first] for c in ("n", "left", "comp", "block"))
         tree = CountTree(coarse, n, n, rule)
         a, b = [], []
-        for i in range(len(rows)):
+        for i in range(len(ids)):
             found = tree.search(coarse[i], int(n[i]), int(n[i]))
             found = found[(ids[found] > ids[i]) & (comp[found] != comp[i])]
             found = found[rule.enough(np.minimum(left[found], left[i]), n[found] + n[i])]
-            if key[1] != key[2]:
+            if key[1].as_py() != key[2].as_py():
                 found = found[block[found] != block[i]]
             for j in found.tolist():
                 if min(len(vectors[i]), len(vectors[j])) == GROUPS or rule.enough(overlap_bound(vectors[i], vectors[j]), int(n[i] + n[j])):
                     a.append(ids[i])
                     b.append(ids[j])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _bound(left: str, right: str):
-    """Upper bound of the overlap of the sets whose points are in two columns."""
-
-    @pandas_udf("long")
-    def bound(a: pd.Series, b: pd.Series) -> pd.Series:
-        small = ((a.str.len() == 2 * GROUPS) & (b.str.len() == 2 * GROUPS)).to_numpy(bool)
-        out = np.zeros(len(a), np.int64)
-        x, y = (unpacked(b"".join(v[small])).reshape(-1, GROUPS) for v in (a, b))
-        out[small] = np.minimum(x, y).sum(1, dtype=np.int64)
-        for i in np.flatnonzero(~small).tolist():
-            out[i] = overlap_bound(unpacked(a.iat[i]), unpacked(b.iat[i]))
-        return pd.Series(out)
-
-    return bound(F.col(left), F.col(right))
+def _with_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, node_a, node_b, sizes, vec_a, vec_b): the points give way to an upper bound of the sets' overlap."""
+    for b in batches:
+        x, y = b.column(5).to_pylist(), b.column(6).to_pylist()
+        bounds = [overlap_bound(unpacked(i), unpacked(j)) for i, j in zip(x, y)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(bounds, pa.int64())], [*b.schema.names[:5], "bound"])
 
 
 def _screen(ids: DataFrame, n: int):
@@ -556,7 +545,7 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
         pairs = settle(pairs, f"pairs_{name}")
         own = _points_of(points, pairs)
         q = pairs.join(own.toDF("a", "node_a", "n_a", "vec_a"), "a").join(own.toDF("b", "node_b", "n_b", "vec_b"), "b")
-        q = q.select("a", "b", "node_a", "node_b", F.expr("n_a + n_b").alias("sizes"), _bound("vec_a", "vec_b").alias("bound"))
+        q = q.select("a", "b", "node_a", "node_b", F.expr("n_a + n_b").alias("sizes"), "vec_a", "vec_b").mapInArrow(tidy(_with_bounds), "a long, b long, node_a long, node_b long, sizes long, bound long")
         return q.where(F.col("bound") * (num + den) >= F.col("sizes") * num).select("a", "b", "node_a", "node_b", F.expr("bound / sizes").alias("near"))
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
@@ -592,8 +581,7 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     second = heads.join(middle, "token").where(f"head.id <> mid.id and {num + den} * least(head.left, mid.left) >= {num} * (head.n + mid.n)")
     second = second.select(F.expr("least(head.id, mid.id)").alias("a"), F.expr("greatest(head.id, mid.id)").alias("b")).distinct()
     second = settle(bounded(second.join(near, ["a", "b"], "left_anti"), "second").unionByName(rest), "second")
-    found = found.unionByName(links(second, "second"))
-    comps = settle(connected_components(found), "comps")
+    comps = settle(merge_components(comps, links(second, "second")), "comps")
 
     # a set stays only if another component of its cell has sets small enough for it that reach its own size
     large = comp_of(large.drop("comp"), "node", "comp")
@@ -606,10 +594,10 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     dealt = kept.join(counts, "token").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).join(points.select("id", "vec"), "id")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "n", "left", "comp", "vec")
-    crossed = dealt.groupBy("token", "b1", "b2").applyInPandas(_block_join(rule), "a long, b long").distinct()
+    crossed = dealt.groupBy("token", "b1", "b2").applyInArrow(_block_join(rule), "a long, b long").distinct()
     crossed = settle(bounded(crossed.join(near, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "crossed"), "crossed")
     if crossed.take(1):
-        comps = connected_components(found.unionByName(links(crossed, "crossed")))
+        comps = merge_components(comps, links(crossed, "crossed"))
     out = nodes.select("id", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 

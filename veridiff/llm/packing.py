@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,24 +220,20 @@ def pack(pieces: DataFrame, capacity: int, key: list[str], group: int = GROUP) -
         r += 1
         groups = -(-rest // group)
 
-        def pack_group(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:  # runs before r changes: each round is written
-            g = int(k[0])
-            lengths = rows["length"].to_numpy(np.int64)
+        def pack_group(k: tuple, rows: pa.Table) -> pa.Table:  # runs before r changes: each round is written
+            g = k[0].as_py()
+            lengths = rows["length"].to_numpy()
             bins, offsets, free = best_fit_decreasing(lengths, capacity)
             gap = len(free) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-            rows = rows.drop(columns="_g")
-            rows["sequence_id"] = (r << 58) + (g << 20) + bins
-            rows["offset"] = offsets
-            rows["_gap"] = gap
             left = np.array(free)
             release = left > 0
             if not gap and left.sum() < capacity:  # as full as it can be: only what the bound rounded up
                 release &= np.arange(len(left)) == left.argmax()
-            rows["_loose"] = release[bins]
-            return rows
+            out = rows.drop_columns("_g").append_column("sequence_id", pa.array((r << 58) + (g << 20) + bins)).append_column("offset", pa.array(offsets))
+            return out.append_column("_gap", pa.array(np.full(len(bins), gap))).append_column("_loose", pa.array(release[bins]))
 
         salted = todo.withColumn("_g", F.pmod(F.xxhash64(F.lit(r), *key), F.lit(groups)))
-        out = settle(salted.groupBy("_g").applyInPandas(pack_group, schema), f"packed{r}")
+        out = settle(salted.groupBy("_g").applyInArrow(pack_group, schema), f"packed{r}")
         size = {x["_loose"]: x for x in out.groupBy("_loose").agg(F.sum(F.expr("if(offset = 0, 1, 0)")).alias("bins"), F.count("*").alias("n")).collect()}
         tight, loose = (size[k]["bins"] if k in size else 0 for k in (False, True))
         met = frozen + tight + loose <= bound
