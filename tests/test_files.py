@@ -507,3 +507,48 @@ def test_variant_calls(spark, tmp_path):
     assert api.compare_files(spark, a, b, "variant", fmt="sam", ref_fasta=genome).status == "success"
     assert api.compare_files(spark, a, b, "variant", fmt="sam").status == "error"
     assert V.is_sorted(genomics.vcf(spark, put(tmp_path, "s.vcf", VCF))).first()[0]
+
+
+def test_semantic_judgement(spark, tmp_path):
+    from veridiff.providers import Judging
+
+    asked = []
+
+    def ask(request):
+        asked.append(request)
+        return {"table": {"similarity": 0.75, "reason": "close"}, "txt": '{"equivalent": true}', "image": {"similarity": 7}}[request["kind"]]
+
+    judge = Judging(ask, max_rows=2, max_chars=5)
+    t = put(tmp_path, "a.csv", "id,v\n1,x\n2,y\n3,z\n")
+    assert api.compare_files(spark, t, t, "semantic", provider=judge, question="same?").similarity == 0.75
+    assert asked[0]["reference"] == "id,v\n1,x\n2,y"
+    x = put(tmp_path, "a.txt", "hello world\n")
+    assert api.compare_files(spark, x, x, "semantic", fmt="txt", provider=judge).similarity == 1 and asked[1]["candidate"] == "hello"
+    i = put(tmp_path, "a.png", b"\x89PNG\r\n\x1a\n123")
+    assert api.compare_files(spark, i, i, "semantic", provider=judge).status == "error" and asked[2]["reference"].startswith("iVBORw0K")
+    assert len(judge.answers) == 3
+
+
+def test_describe_paths(spark, tmp_path):
+    folder = tmp_path / "matrix"
+    folder.mkdir()
+    for n in ("barcodes.tsv.gz", "features.tsv", "matrix.mtx.gz"):
+        put(folder, n, "x")
+    assert detect.describe(spark, str(folder))["note"] == "10x" and detect.describe(spark, str(tmp_path))["note"] == ""
+    assert detect.describe(spark, str(tmp_path / "none")) == {"path": str(tmp_path / "none"), "exists": False, "is_folder": False, "format": "unknown", "note": "missing"}
+    assert detect.describe(spark, put(tmp_path, "a.vcf", VCF))["format"] == "vcf"
+    from veridiff.plans import catalog
+
+    assert [catalog.family_of_path(x) for x in ("/a/b.vcf.gz", "x.FASTQ.gz", "y.bw", "z.unknown", "noext", "t.csv")] == ["vcf", "fastq", "bigwig", None, None, "table"]
+    assert not {"cram", "crai"} & {*api.get_supported_formats()} and {"bcf", "bw", "cif"} <= {*api.get_supported_formats()}
+
+
+def test_state_and_diagnosis(spark, tmp_path):
+    task = evaluation.Task("9", "q", ["r.csv"])
+    results = spark.createDataFrame([Result("r.csv", "c.csv", "csv", "exact", similarity=float("nan"), task_id="9").row()], evaluation.SCHEMA)
+    evaluation.save_state(spark, task, results, spark.createDataFrame([("9", 0.5)], "task_id string, avg_similarity double"), str(tmp_path / "state"))
+    state = json.loads(spark.read.text(str(tmp_path / "state")).first()[0])
+    assert state["task"]["id"] == "9" and state["results"][0]["similarity"] is None and state["score"][0]["avg_similarity"] == 0.5
+    d = evaluation.diagnose([{"output": "ok"}, {"output": "ModuleNotFoundError: No module named x"}, {"output": "fine"}, {"output": "FileNotFoundError: a.csv"}, {"output": "", "ok": False}])
+    assert (d.failed, d.category, d.blocker_step, [s.status for s in d.steps]) == (True, "data_io", 4, ["success", "failure", "success", "failure", "failure"])
+    assert not evaluation.diagnose([{"output": "Killed"}, {"output": "done"}]).failed and evaluation.diagnose([]).failed

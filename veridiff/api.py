@@ -92,6 +92,11 @@ def validate_file(spark: SparkSession, path: str, fmt: str | None = None) -> Val
 
 def _family(spark: SparkSession, family: str, fmt: str, ref: str, cand: str, strategy: str, p: dict, provider: Provider) -> DataFrame:
     a, b = load(spark, ref, fmt), load(spark, cand, fmt)
+    if strategy == "semantic":
+        score = provider.judge(family, a, b, str(p.get("question", "")))
+        if score is None:
+            raise ValueError("no provider for semantic comparison, or no judgement")
+        return spark.createDataFrame([(float(score),)], "similarity double")
     if family == "fasta":
         if p.get("single_line"):
             b = b.where("n_lines = 1")
@@ -167,10 +172,7 @@ def _family(spark: SparkSession, family: str, fmt: str, ref: str, cand: str, str
             return txt.summary(pair)
         if strategy == "numeric":
             return pair.select(txt.numeric(F.col("ref"), F.col("cand"), p["tolerance"]).alias("similarity"))
-    score = provider.judge(family, a, b, str(p.get("question", "")))
-    if score is None:
-        raise ValueError("no provider for semantic comparison")
-    return spark.createDataFrame([(float(score),)], "similarity double")
+    raise ValueError(f"no comparison {strategy} of {family}")
 
 
 def compare_files(spark: SparkSession, ref: str, cand: str, strategy: str | None = None, fmt: str | None = None, provider: Provider | None = None, task_id: str | None = None, **given) -> Result:

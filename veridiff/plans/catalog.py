@@ -6,7 +6,7 @@ from __future__ import annotations
 CATALOG: dict[str, dict] = {
     "fasta": {"formats": ("fasta", "fa", "fna"), "default": "exact", "strategies": {"exact": {"by_name": False, "ignore_case": True, "single_line": False}, "approximate": {"by_name": False, "ignore_case": True, "single_line": False}, "summary": {"k": 11, "num_bins": 10, "ignore_case": True}}},
     "fastq": {"formats": ("fastq", "fq"), "default": "summary", "strategies": {"exact": {}, "approximate": {"trim_tolerance": 2, "quality_tolerance": 2}, "summary": {"k": 11, "num_bins": 10}}},
-    "table": {"formats": ("csv", "tsv", "gct", "table", "tab", "xlsx"), "default": "approximate", "strategies": {"exact": {"question": ""}, "approximate": {"question": "", "fuzzy_id_match": True}, "summary": {}, "semantic": {"max_rows": 1000}}},
+    "table": {"formats": ("csv", "tsv", "gct", "table", "tab", "xlsx"), "default": "approximate", "strategies": {"exact": {"question": ""}, "approximate": {"question": "", "fuzzy_id_match": True}, "summary": {}, "semantic": {"question": "", "max_rows": 1000}}},
     "bam": {"formats": ("bam", "sam", "cram"), "default": "summary", "strategies": {"exact": {}, "approximate": {"min_mapq": 20, "overlap_threshold": 0.95, "chunk_size": 100_000}, "summary": {}, "coverage": {"depth0_similarity": None}, "variant": {"ref_fasta": None, "vcf_strategy": "summary"}}},
     "bai": {"formats": ("bai", "crai"), "default": "functional", "strategies": {"functional": {"indexed_file": None}, "summary": {}}},
     "vcf": {"formats": ("vcf", "bcf"), "default": "summary", "strategies": {"exact": {}, "approximate": {"position_window": 10, "require_allele_match": True}, "summary": {}}},
@@ -30,6 +30,14 @@ def family_of(fmt: str) -> str | None:
     return BY_FORMAT.get(fmt.lower().lstrip("."))
 
 
+def family_of_path(path: str) -> str | None:
+    """The family by a file's name alone; a compression suffix does not count."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    for packed in (".gz", ".bgz", ".bz2", ".xz"):
+        name = name.removesuffix(packed)
+    return family_of(name.rsplit(".", 1)[-1]) if "." in name else None
+
+
 def resolve(family: str, strategy: str | None) -> str:
     """The strategy of that name or alias, else the family's default."""
     name = (strategy or "").lower()

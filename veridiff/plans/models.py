@@ -46,3 +46,38 @@ class ColumnRule:
 @dataclass(frozen=True)
 class ComparePlan:
     rules: tuple[ColumnRule, ...] = ()  # empty: numeric columns by rae, others exact
+
+
+#: What an agent's run can fail at, and how a step of it can end.
+FAILURES = (
+    "planning", "tool_selection", "tool_usage", "hallucination", "environment_config",
+    "code_execution", "data_io", "infrastructure", "resource_limit", "unknown",
+)
+STEP_ENDS = ("success", "failure", "partial")
+
+
+@dataclass(frozen=True)
+class Step:
+    """One labelled step of a run."""
+
+    step: int
+    category: str
+    status: str
+    attempt: int = 1
+    note: str = ""
+
+    def __post_init__(self) -> None:
+        if self.category not in FAILURES or self.status not in STEP_ENDS:
+            raise ValueError(f"unknown category {self.category} or status {self.status}")
+
+
+@dataclass(frozen=True)
+class Diagnosis:
+    """Whether a run failed, and then at which step and of what."""
+
+    failed: bool
+    steps: tuple[Step, ...] = ()
+    category: str | None = None
+    blocker_step: int | None = None
+    reason: str | None = None
+    confidence: float = 0.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from typing import Protocol
 
@@ -53,3 +55,37 @@ class Offline:
 
     def judge(self, kind: str, ref: object, cand: object, question: str) -> float | None:
         return None
+
+
+class Judging(Offline):
+    """The offline rules, with meaning judged by a callable: it gets a request and gives back an answer, both plain dicts.
+
+    A request holds ``kind`` (table, txt or image), ``question`` and for each side what a judge can read: the first
+    ``max_rows`` rows of a table as comma-separated text, the first ``max_chars`` characters of a text, an image in base64.
+    An answer holds ``similarity`` from 0 to 1, or ``equivalent`` alone, and may hold ``reason``; anything else is no judgement.
+    """
+
+    def __init__(self, ask: Callable[[dict], dict], max_rows: int = 1000, max_chars: int = 100_000):
+        self.ask, self.max_rows, self.max_chars = ask, max_rows, max_chars
+        self.answers: list[dict] = []
+
+    def payload(self, kind: str, side) -> str:
+        if kind == "table":
+            order = [c for c in ("_row",) if c in side.columns]
+            rows = (side.orderBy(*order) if order else side).limit(self.max_rows).drop("_row").collect()
+            names = [c for c in side.columns if c != "_row"]
+            return "\n".join(",".join("" if v is None else str(v) for v in r) for r in [names, *rows])
+        row = side.first()
+        text = (row["payload"] if kind == "image" else row["text"]) if row else ""
+        return text if kind == "image" else text[: self.max_chars]
+
+    def judge(self, kind: str, ref: object, cand: object, question: str) -> float | None:
+        answer = self.ask({"kind": kind, "question": question, "reference": self.payload(kind, ref), "candidate": self.payload(kind, cand)})
+        answer = json.loads(answer) if isinstance(answer, str) else answer
+        self.answers.append(answer)
+        value = answer.get("similarity")
+        if value is None and isinstance(answer.get("equivalent"), bool):
+            value = float(answer["equivalent"])
+        if isinstance(value, bool) or not isinstance(value, int | float) or not 0 <= value <= 1:
+            return None
+        return float(value)
