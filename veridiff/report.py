@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators.dist import numbered
+
 EQUIVALENT = 0.5
 #: Columns of the mart, in order.
 COLUMNS = ("id", "domain", "field", "difficulty", "agent", "avg_similarity", "equivalent", "completion", "duration_seconds", "input_tokens", "output_tokens")
@@ -94,4 +96,4 @@ def task_scores(results: DataFrame) -> DataFrame:
 
 def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Keys in order of first appearance."""
-    return df.groupBy(*keys).agg(F.min(order).alias("first")).withColumn("place", F.row_number().over(Window.orderBy("first")))
+    return numbered(df.groupBy(*keys).agg(F.min(order).alias("first")), "place", ["first"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -17,7 +17,7 @@ def exact(ref: DataFrame, cand: DataFrame, ignore_order: bool = False) -> DataFr
     if ignore_order:
         hit = I.touching(ref, cand).agg(F.count("*").alias("n_match"))
     else:
-        at = lambda df, p: df.withColumn("_k", F.row_number().over(Window.partitionBy("chrom").orderBy("ord"))).select("chrom", "_k", F.col("ord").alias(p + "ord"), F.col("start").alias(p + "start"), F.col("end").alias(p + "end"))
+        at = lambda df, p: D.numbered(df, "_k", ["ord"], ("chrom",)).select("chrom", "_k", F.col("ord").alias(p + "ord"), F.col("start").alias(p + "start"), F.col("end").alias(p + "end"))
         # equal places within each chromosome; with equal totals that is equality of the whole sorted sequence
         hit = at(ref, "a").join(at(cand, "b"), ["chrom", "_k"]).where("astart = bstart and aend = bend").agg(F.count("*").alias("n_match"))
     same = (F.col("n_ref") == F.col("n_cand")) & (F.col("n_match") == F.col("n_ref"))

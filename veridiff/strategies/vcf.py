@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..operators import variants as V
+from ..operators.dist import numbered
 
 
 def _keys(ref: DataFrame, cand: DataFrame) -> DataFrame:
@@ -32,8 +33,8 @@ def exact(ref_raw: DataFrame, cand_raw: DataFrame) -> DataFrame:
     a, b = V.flatten(ref_raw), V.flatten(cand_raw)
 
     def placed(df: DataFrame, p: str) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy("chrom").orderBy("place"))
-        return df.select(*V.KEY, F.col("qual").alias(p + "qual"), F.col("filter").alias(p + "filter"), n.alias(p + "n"))
+        df = numbered(df.select(*V.KEY, "qual", "filter", F.col("place.ord").alias("_ord"), F.col("place.k").alias("_k")), "_n", ["_ord", "_k"], ("chrom",))
+        return df.select(*V.KEY, F.col("qual").alias(p + "qual"), F.col("filter").alias(p + "filter"), F.col("_n").alias(p + "n"))
 
     j = placed(a, "a").withColumn("_l", F.lit(1)).join(placed(b, "b").withColumn("_r", F.lit(1)), list(V.KEY), "full_outer")
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
