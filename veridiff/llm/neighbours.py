@@ -219,9 +219,9 @@ def nearest_neighbours(df: DataFrame, queries, k: int = 10, vec: str = "embeddin
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
-            return pd.DataFrame({"key": [], "id": [], "score": []})
-        points, ids, asked_keys = points_of(v["key"]), v["ids"].tolist(), q["key"].tolist()
-        asked_points, squares = points_of(asked_keys), (points**2).sum(1)
+            return pd.DataFrame({"place": [], "id": [], "score": []})
+        points, ids, places = points_of(v["key"]), v["ids"].tolist(), q["place"].tolist()
+        asked_points, squares = points_of(q["key"]), (points**2).sum(1)
         enough = min(keep, len({y for held in ids for y in held}))
         keys, found, scores = [], [], []
         for at in range(0, len(asked_points), 256):
@@ -232,7 +232,7 @@ def nearest_neighbours(df: DataFrame, queries, k: int = 10, vec: str = "embeddin
             slack = 1e-9 * (own + squares.max())
             n = min(keep, len(points))
             limit = np.partition(rough, n - 1, 1)[:, n - 1 : n] + slack
-            for x, p, far, top, eps in zip(asked_keys[at : at + 256], block, rough, limit, slack):
+            for x, p, far, top, eps in zip(places[at : at + 256], block, rough, limit, slack):
                 n = min(keep, len(points))
                 while True:
                     rows = np.flatnonzero(far <= top)
@@ -247,32 +247,35 @@ def nearest_neighbours(df: DataFrame, queries, k: int = 10, vec: str = "embeddin
                 keys += [x] * len(best)
                 found += best.keys()
                 scores += best.values()
-        return pd.DataFrame({"key": keys, "id": found, "score": scores})
+        return pd.DataFrame({"place": keys, "id": found, "score": scores})
 
     def meet(keys: DataFrame, visits: int) -> DataFrame:
-        """(key, id, score): the nearest identifiers of each key in the leaves that it visits."""
+        """(place, id, score): the nearest identifiers of each asked vector (place, key) in the leaves that it visits."""
 
         def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out, leaves = [], []
-                for x in b.column(0).to_pylist():
+                rows, leaves = [], []
+                for i, x in enumerate(b.column(1).to_pylist()):
                     found = shared.value.visit(np.frombuffer(x, stored).astype(float), visits, held.value, keep + 1)
-                    out += [x] * len(found)
+                    rows += [i] * len(found)
                     leaves += found
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(leaves, pa.int64())], ["key", "leaf"])
-
-        left = keys.mapInArrow(tidy(routes), "key binary, leaf long").join(F.broadcast(slices), "leaf")
-        left = left.select("key", "leaf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        hits = left.groupBy("leaf", "slice").cogroup(right.groupBy("leaf", "slice")).applyInPandas(search, "key binary, id long, score double")
-        near = Window.partitionBy("key").orderBy("score", "id")
-        hits = hits.repartition("key").groupBy("key", "id").agg(F.min("score").alias("score"))
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaves, pa.int64())], ["place", "key", "leaf"])
+
+        left = keys.select("place", "key").mapInArrow(tidy(routes), "place long, key binary, leaf long").join(F.broadcast(slices), "leaf")
+        left = left.select("place", "key", "leaf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+        hits = left.groupBy("leaf", "slice").cogroup(right.groupBy("leaf", "slice")).applyInPandas(search, "place long, id long, score double")
+        near = Window.partitionBy("place").orderBy("score", "id")
+        hits = hits.repartition("place").groupBy("place", "id").agg(F.min("score").alias("score"))
         return hits.withColumn("r", F.row_number().over(near)).where(F.col("r") <= keep).drop("r")
 
-    hits = settle(meet(asked.select("key").distinct(), tree.visits), "hits")
-    short = settle(asked.join(hits.groupBy("key").count().where(F.col("count") >= keep), "key", "left_anti").select("key").distinct(), "short")
+    # distinct asked vectors have numbers, which travel with the hits instead of them
+    places = settle(asked.select("key").distinct().withColumn("place", F.monotonically_increasing_id()), "places")
+    hits = settle(meet(places, tree.visits), "hits")
+    short = settle(places.join(hits.groupBy("place").count().where(F.col("count") >= keep), "place", "left_anti"), "short")
     if tree.visits < tree.leaves and short.take(1):
-        hits = hits.join(short, "key", "left_anti").unionByName(meet(short, tree.leaves))
+        hits = hits.join(short.select("place"), "place", "left_anti").unionByName(meet(short, tree.leaves))
     mine = Window.partitionBy("query_id").orderBy("score", "id")
-    out = asked.join(hits, "key").where("id <> query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    out = asked.join(places, "key").join(hits, "place").where("id <> query_id").groupBy("query_id", "id").agg(F.min("score").alias("score"))
     out = out.withColumn("rank", F.row_number().over(mine)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", F.col("id").alias(id_col), "score")
