@@ -527,6 +527,10 @@ def test_semantic_judgement(spark, tmp_path):
     i = put(tmp_path, "a.png", b"\x89PNG\r\n\x1a\n123")
     assert api.compare_files(spark, i, i, "semantic", provider=judge).status == "error" and asked[2]["reference"].startswith("iVBORw0K")
     assert len(judge.answers) == 3
+    odd = put(tmp_path, "strange", "???\n")
+    named = Judging(lambda r: {"format": "txt"} if r["kind"] == "format" else {"similarity": 1.0})
+    assert detect.describe(spark, odd)["format"] == "unknown"
+    assert api.compare_files(spark, odd, odd, "exact", provider=named).similarity == 1 and api.compare_files(spark, odd, odd, "exact").status != "success"
 
 
 def test_describe_paths(spark, tmp_path):

@@ -12,7 +12,7 @@ from .operators.texts import joined  # noqa: F401  (public)
 from .plans import catalog
 from .plans.models import AlignPlan
 from .providers import Offline, Provider
-from .sources import bcf, bigwig, binary, delimited, detect, genomics, indexes
+from .sources import bcf, bigwig, binary, delimited, detect, genomics, indexes, lines
 from .status import SCHEMA, Result, Validation
 from .strategies import bam, bed, fasta, pdb, signals, table, txt, vcf
 
@@ -163,8 +163,8 @@ def _family(spark: SparkSession, family: str, fmt: str, ref: str, cand: str, str
         return (pdb.exact if strategy == "exact" else pdb.approximate)(structures.chains(a), structures.chains(b), **p)
     if family == "txt":
         if strategy == "exact":
-            lines = lambda df: df.select(F.lit(0).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            return txt.exact(lines(a), lines(b), **p).drop("doc")
+            numbered = lambda df: df.select(F.lit(0).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+            return txt.exact(numbered(a), numbered(b), **p).drop("doc")
         pair = a.select(F.col("text").alias("ref")).crossJoin(b.select(F.col("text").alias("cand")))
         if strategy == "approximate":
             return txt.approximate(pair, **p)
@@ -179,6 +179,8 @@ def compare_files(spark: SparkSession, ref: str, cand: str, strategy: str | None
     """Compare a candidate file with a reference file."""
     provider = provider or Offline()
     fmt = (fmt or (detect_format(spark, ref) if _exists(spark, ref) else detect.extension(ref))).lower()
+    if fmt == "unknown" and _exists(spark, ref):
+        fmt = provider.format(ref, lines.head(spark, ref)) or fmt
     family = catalog.family_of(fmt)
     name = catalog.resolve(family, strategy) if family else strategy or ""
     params = catalog.parameters(family, name, given) if family else given

@@ -173,6 +173,16 @@ def coordinate_sorted(reads: DataFrame, contigs: list[str]) -> DataFrame:
     return in_order(reads, [rank, F.when(rank < len(contigs), F.col("pos")).otherwise(0)])
 
 
+def sort_by_place(reads: DataFrame, contigs: list[str]) -> DataFrame:
+    """Reads by contig, in header order, and position; those without a contig last.  A range-partitioned sort."""
+    rank = F.coalesce(F.create_map(*(x for i, c in enumerate(contigs) for x in (F.lit(c), F.lit(i))))[F.col("rname")], F.lit(len(contigs))) if contigs else F.lit(0)
+    return reads.orderBy(rank, "pos", "ord")
+
+
+def sort_by_name(reads: DataFrame) -> DataFrame:
+    return reads.orderBy("qname", "is_read2", "ord")
+
+
 def name_sorted(reads: DataFrame) -> DataFrame:
     return in_order(reads, [F.col("qname")])
 

@@ -14,6 +14,7 @@ from .sources.detect import extension
 
 class Provider(Protocol):
     def match(self, refs: list[str], cands: list[str]) -> dict[str, tuple[str, float]]: ...
+    def format(self, path: str, lines: list[str]) -> str | None: ...
     def strategy(self, path: str, fmt: str, guideline: str) -> tuple[str, dict]: ...
     def align(self, ref_columns: list[str], cand_columns: list[str]) -> AlignPlan: ...
     def compare(self, columns: list[str]) -> ComparePlan: ...
@@ -41,6 +42,10 @@ class Offline:
                 used.add(c)
         return out
 
+    def format(self, path: str, lines: list[str]) -> str | None:
+        """A format for a file that no rule knows; offline there is none."""
+        return None
+
     def strategy(self, path: str, fmt: str, guideline: str) -> tuple[str, dict]:
         family = family_of(fmt)
         default = CATALOG[family]["default"] if family else "approximate"
@@ -69,6 +74,12 @@ class Judging(Offline):
         self.ask, self.max_rows, self.max_chars = ask, max_rows, max_chars
         self.answers: list[dict] = []
 
+    def format(self, path: str, lines: list[str]) -> str | None:
+        """The judge may name the format of a file from its first lines: an answer's ``format``, if it is a known one."""
+        answer = self.ask({"kind": "format", "path": path, "lines": lines})
+        name = answer.get("format") if isinstance(answer, dict) else None
+        return name if isinstance(name, str) and family_of(name) else None
+
     def payload(self, kind: str, side) -> str:
         if kind == "table":
             order = [c for c in ("_row",) if c in side.columns]

@@ -109,3 +109,21 @@ def bam_sorted(spark, sf_dir):
     reads = load(spark, sf_dir, "sam_ref")
     by_order = A.in_order(reads, [F.col("ord")]).withColumnRenamed("sorted", "by_order")
     return A.in_order(reads, [F.col("rname"), F.col("pos")]).withColumnRenamed("sorted", "by_place").crossJoin(by_order)
+
+
+@query(" SELECT qname, is_read2, rname, pos, row_number() OVER (ORDER BY CASE rname WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, pos, ord) AS place FROM sam_ref QUALIFY place <= 200", ("sam_ref",))
+def bam_sort_place(spark, sf_dir):
+    """The first reads in coordinate order; contigs that the header does not name come last."""
+    from pyspark.sql import Window
+
+    top = A.sort_by_place(load(spark, sf_dir, "sam_ref"), ["R", "A"]).limit(200)
+    rank = F.expr("case rname when 'R' then 0 when 'A' then 1 else 2 end")
+    return top.withColumn("place", F.row_number().over(Window.orderBy(rank, "pos", "ord"))).select("qname", "is_read2", "rname", "pos", "place")
+
+
+@query(" SELECT qname, is_read2, row_number() OVER (ORDER BY qname, is_read2, ord) AS place FROM sam_ref QUALIFY place <= 200", ("sam_ref",))
+def bam_sort_name(spark, sf_dir):
+    from pyspark.sql import Window
+
+    top = A.sort_by_name(load(spark, sf_dir, "sam_ref")).limit(200)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("qname", "is_read2", "ord"))).select("qname", "is_read2", "place")
