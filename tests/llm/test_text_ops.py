@@ -52,6 +52,27 @@ def test_segments():
         assert [(a, b, round(s, 6)) for a, b, s in T.segments(x)] == [(a, b, round(s, 6)) for a, b, s in split(x)]
 
 
+def test_scores_by_definition(spark, data):
+    """The query's scores of all documents of up to 120 words, from the model's ratios and the definition of segments."""
+    import math
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = T.learn_toxicity(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in Q.QUERIES["op10_toxicity"](spark, data).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert set(got) == set(texts)
+    checked = 0
+    for i, text in texts.items():
+        words = T._words(text.lower())
+        if len(words) > 120:
+            continue
+        found = split([model.ratio(w) - T.DRIFT for w in words])
+        evidence = sum(max(0.0, model.lam * s - math.log(max(model.k * len(words), 1e-9))) for _, _, s in found)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.base + model.slope * math.log1p(evidence)))))
+        checked += 1
+    assert checked > 20
+
+
 def test_held_out_accuracy(spark):
     """Learns on the training folds of the sf0.1 documents, judged on rows it never saw."""
     folder = "/root/testdata/sf0.1"
@@ -440,6 +461,31 @@ def test_pipeline_stages(spark, data):
     assert {r["doc_id"] for r in C.run(spark, data).collect()} == {r["doc_id"] for r in c.collect()}
 
 
+def test_pipeline_odd_rows(spark, data):
+    """Null texts and ids, empty texts, repeated rows, ties and clashing columns through every stage; and no rows at all."""
+    import corpus_pipeline as C
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, None), (1, None), (2, ""), (None, "alone here"), (None, "alone here"), (3, text), (3, text), (4, text + " "), (5, text + " more"), (6, "other words entirely in this one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("id", "node", "digest", "sequence_id", "_id", "text_sha256", "component_id", "n", "predicted"):
+        docs = docs.withColumn(name, F.lit(name))
+    a = C.toxicity(spark, docs, data)
+    assert a.columns == docs.columns and a.count() == len(rows)
+    b = C.exact_dedup(spark, a, data)
+    assert b.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in b.collect())) == [(0, "alone here"), (1, ""), (4, text + " "), (5, text + " more"), (6, "other words entirely in this one")]
+    c = C.ngram_jaccard_join(spark, b, data)
+    assert c.columns == docs.columns and sorted((r["doc_id"] or 0) for r in c.collect()) == [0, 1, 4, 6]
+    d = C.packing(spark, c, data).collect()
+    assert sorted((r["doc_id"] or 0) for r in d) == [0, 1, 4, 6] and len({r["sequence_id"] for r in d}) == 1
+    none = docs.limit(0)
+    for _, stage in C.STAGES[:3]:
+        none = stage(spark, none, data)
+        assert none.columns == docs.columns and none.count() == 0
+    assert C.packing(spark, none, data).count() == 0
+
+
 def test_linked_blocks():
     page = "<main><h1><a href=x>A linked title</a></h1><p>The text of the article is here and it has a few of the usual words in it.</p><p><a href=y>See the source</a></p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></main>"
     assert H.main_text(page) == "A linked title The text of the article is here and it has a few of the usual words in it. See the source"

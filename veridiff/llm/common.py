@@ -67,6 +67,13 @@ def give_back() -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver give memory back after many small jobs: what it no longer refers to, and with it the shuffles and
+    broadcasts that executors still hold for that."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+    give_back()
+
+
 def tidy(run):
     """A batch function that gives memory back when it ends."""
 
@@ -80,7 +87,7 @@ def tidy(run):
 
 
 #: Bytes of an Arrow batch on its way to Python; the session's own setting holds where it is smaller.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, settle, work_dir
+from .common import BLANKS, release, settle, work_dir
 
 #: Fixed settings of the state: disk-backed store, memory shared by all stores of an executor and bounded.
 STATE_CONF = {
@@ -112,6 +112,7 @@ def exact_dedup(df: DataFrame, text: str = "text", id_col: str = "doc_id", diges
     variants = texts.groupBy("digest", "body").agg(F.count("*").alias("n")).select("digest")
     shared = variants.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1").join(hits.select("digest"), "digest", "left_semi").select("digest")
     clash = settle(shared, "clash")
+    release(spark)
     out = groups.select("digest", "id", "locator", F.coalesce("best.id", F.when(F.col("best").isNull(), F.col("id"))).alias("keep_id"), F.coalesce("best.locator", "locator").alias("keep_locator"), F.coalesce("n", F.lit(1)).alias("group_size"))
     if clash.take(1):
         out = _untangle(df, out, clash, text, id_col, digest)

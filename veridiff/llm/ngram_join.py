@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, give_back, merge_components, regrouped, settle, small_batches, tidy
+from .common import connected_components, merge_components, regrouped, release, settle, small_batches, tidy
 from .exact_dedup import screen
 
 WORDS = 5
@@ -279,7 +279,7 @@ def _heavy(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h)
     h, n = h[order], n[order]
     del top
-    give_back()
+    release(texts.sparkSession)
     return h, n
 
 
@@ -573,6 +573,7 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     comps = settle(connected_components(found), "comps")
     rest = apart(near.join(first, ["a", "b"], "left_anti"))
 
+    release(df.sparkSession)
     # large cells: one set of each component against the cell's centre, then all sets that components still keep apart
     large = cells.where("node is not null").select(F.col("a").alias("token"), F.col("b").alias("id"), "node", "n", "left")
     large = settle(comp_of(large, "node", "comp").withColumn("most", F.expr(f"({num + den} * left - {num} * n) div {num}")), "large")
@@ -598,6 +599,7 @@ def similar_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     crossed = settle(bounded(crossed.join(near, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "crossed"), "crossed")
     if crossed.take(1):
         comps = merge_components(comps, links(crossed, "crossed"))
+    release(df.sparkSession)
     out = nodes.select("id", F.col("n").alias("n_shingles"), "node").join(comps, "node", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 

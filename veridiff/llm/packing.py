@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, tidy, union_all
+from .common import release, settle, small_batches, tidy, union_all
 
 MAX_UNITS = 300_000
 BLOCK_CHARS = 1 << 19
@@ -244,6 +244,7 @@ def pack(pieces: DataFrame, capacity: int, key: list[str], group: int = GROUP) -
         frozen, rest = frozen + tight, size[True]["n"]
         done.append(out.where("not _loose").withColumn("certified", sure).drop("_gap", "_loose"))
         todo = out.where("_loose").select(pieces.columns)
+    release(pieces.sparkSession)
     return union_all(done)
 
 

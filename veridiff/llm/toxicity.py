@@ -29,10 +29,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_utf8, give_back, settle, small_batches, tidy
+from .common import crc32_utf8, release, settle, small_batches, tidy
 
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -141,34 +142,38 @@ def text_counts(words: list[str]) -> Counter:
     return out
 
 
-def log_odds(toxic: Counter, clean: Counter) -> dict[str, float]:
-    """Cautious log-odds ratios of features that speak for toxicity, and 0 for exempt clean words."""
-    size_t, size_c = toxic[""] + 1, clean[""] + 1
+def learned(names: pa.Array, toxic: np.ndarray, clean: np.ndarray) -> Model:
+    """Cautious log-odds ratios of features that speak for toxicity, 0 for exempt clean words, and the clean law's lambda.
+
+    ``names`` are words, prefixes (ending in '~') and "", whose counts are the sizes of the classes.  Counts stay arrays; only
+    features that are kept become Python objects.
+    """
+    all_of = pc.equal(names, "").to_numpy(zero_copy_only=False)
+    size_t, size_c = int(toxic[all_of].sum()) + 1, int(clean[all_of].sum()) + 1
     prior = PRIOR * (size_t + size_c)
-    out = []
-    for f, t in toxic.items():
-        if t < 2 or not f:
-            continue
-        c = clean[f]
-        a = PRIOR * (t + c)
-        d = math.log((t + a) / (size_t + prior)) - math.log((c + a) / (size_c + prior))
-        d -= ERRORS * math.sqrt(1 / (t + a) + 1 / (c + a))
-        if d > LEAST:
-            out.append((d, f))
-    out.sort(reverse=True)
-    ratios = {f: d for d, f in out}
-    m = Model(dict(ratios))
-    return ratios | {f: 0.0 for f, c in clean.items() if c and f and not f.endswith("~") and f not in ratios and m.ratio(f) > 0}
-
-
-def _clean_law(ratios: dict[str, float], clean: Counter) -> float:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = PRIOR * (toxic + clean)
+        d = np.log((toxic + a) / (size_t + prior)) - np.log((clean + a) / (size_c + prior)) - ERRORS * np.sqrt(1 / (toxic + a) + 1 / (clean + a))
+    keep = (toxic >= 2) & (d > LEAST) & ~all_of
+    ratios = dict(zip(names.filter(pa.array(keep)).to_pylist(), d[keep].tolist()))
+    m, exempt, dist = Model(ratios), {}, Counter()
+    words = (clean > 0) & ~all_of & ~pc.ends_with(names, "~").to_numpy(zero_copy_only=False)
+    at, total = np.flatnonzero(words), 0
+    for k in range(0, len(at), 20_000):
+        part = at[k : k + 20_000]
+        for f, n in zip(names.take(pa.array(part)).to_pylist(), clean[part].tolist()):
+            r = m.ratio(f)
+            if r > 0 and f not in ratios:
+                exempt[f] = r = 0.0  # known from clean texts: it does not borrow from a prefix
+            dist[round(r - DRIFT, 2)] += n
+            total += n
+    dist[-DRIFT] += max(0, size_c - 1 - total)  # words met once
+    return Model(ratios | exempt, _clean_law(dist, max([*ratios.values(), 1.0])))
+
+
+def _clean_law(dist: Counter, top: float) -> float:
     """Lambda of the clean score distribution."""
-    m, dist = Model(ratios), Counter()
-    for f, n in clean.items():
-        if f and n and not f.endswith("~"):
-            dist[round(m.ratio(f) - DRIFT, 2)] += n
-    dist[-DRIFT] += max(0, clean[""] - sum(dist.values()))  # words met once
-    dist[round(max([*ratios.values(), 1.0]) - DRIFT, 2)] += 1  # so that a positive score is possible
+    dist[round(top - DRIFT, 2)] += 1  # so that a positive score is possible
     s, p = np.array(list(dist)), np.array(list(dist.values()), float)
     p /= p.sum()
     if (s * p).sum() >= 0:
@@ -220,20 +225,14 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
     tallies = sample.mapInArrow(tidy(count), "f string, part int, n long").groupBy("f").agg(*(F.sum(F.when(F.col("part") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(4)))
     # of the bounded sample only what toxic texts hold more than once, and clean words, matter
     rows = tallies.where("n1 + n3 > 1 or (n0 + n2 > 1 and not endswith(f, '~'))").toArrow()
-    names = rows.column("f").to_pylist()
-    parts = [Counter({f: n for f, n in zip(names, rows.column(f"n{i}").to_pylist()) if n}) for i in range(4)]
-    toxic, clean = [parts[1], parts[3]], [parts[0], parts[2]]
     n_y = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not n_y.get(0) or not n_y.get(1):
         share = n_y.get(1, 0) / max(1, sum(n_y.values()))
         return Model(base=math.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-
-    def learned(t: Counter, c: Counter) -> Model:
-        ratios = log_odds(t, c)
-        return Model(ratios, _clean_law(ratios, c))
-
-    folds = [learned(toxic[1 - held], clean[1 - held]) for held in (0, 1)]  # for each fold one that did not see it
-    model = learned(toxic[0] + toxic[1], clean[0] + clean[1])
+    names = rows.column("f").combine_chunks()
+    n0, n1, n2, n3 = (rows.column(f"n{i}").to_numpy() for i in range(4))
+    folds = [learned(names, n3, n2), learned(names, n1, n0)]  # for each fold one that did not see it
+    model = learned(names, n1 + n3, n0 + n2)
     shared = spark.sparkContext.broadcast(folds)
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,18 +249,20 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id_co
                 s.append([sc.m.lam * x for *_, x in segments(scores)])
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["y", "n", "s"])
 
-    got = sample.mapInArrow(tidy(raw), "y int, n long, s array<double>").toArrow().to_pylist()
-    y = np.array([float(r["y"]) for r in got])
+    got = sample.mapInArrow(tidy(raw), "y int, n long, s array<double>").toArrow()
+    y, n = got.column("y").to_numpy().astype(float), got.column("n").to_numpy()
+    scores = got.column("s").combine_chunks()
+    row, flat = np.repeat(np.arange(len(y)), pc.list_value_length(scores).to_numpy(zero_copy_only=False)), scores.flatten().to_numpy()
     weight = np.where(y == 1, max(1.0, n_all[1] / MAX_TOXIC), max(1.0, n_all[0] / MAX_CLEAN))  # undoes the sampling
     best = None
     for k in K_GRID:
-        x = np.array([math.log1p(sum(max(0.0, v - math.log(max(k * r["n"], 1e-9))) for v in r["s"])) for r in got])
-        fit = (*_logistic(x, y, weight), k)
+        evidence = np.maximum(0.0, flat - np.log(np.maximum(k * n, 1e-9))[row])
+        fit = (*_logistic(np.log1p(np.bincount(row, evidence, len(y))), y, weight), k)
         best = fit if best is None or fit > best else best
     _, model.base, model.slope, model.k = best
-    shared.unpersist()
-    del rows, names, parts, toxic, clean, folds, got, x
-    give_back()
+    shared.destroy()
+    del rows, names, n0, n1, n2, n3, folds, got, scores, row, flat
+    release(spark)
     return model
 
 
