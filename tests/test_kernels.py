@@ -113,3 +113,27 @@ def test_merge_touching_and_bins(spark):
     want = [("a", 0, 20), ("a", 30, 71), ("b", 1, 2)]
     for width in (4, 16, 1000):
         assert sorted(map(tuple, merge(df, width).collect())) == want
+
+
+def test_depth_with_reads_beyond_the_contig(spark):
+    from veridiff.operators.alignments import depth
+
+    reads = spark.createDataFrame([("a", 2, 0, "4M"), ("a", 14, 0, "2M"), ("a", 20, 0, "3M"), ("b", 1, 4, "4M")], "rname string, pos long, flag int, cigar string")
+    sizes = spark.createDataFrame([("a", 10), ("b", 10)], "chrom string, size int")
+    runs = [("a", 0, 2, 0), ("a", 2, 6, 1), ("a", 6, 10, 0), ("a", 14, 16, 1), ("a", 20, 23, 1)]
+    assert sorted(map(tuple, depth(reads, sizes).collect())) == runs
+    assert sorted(map(tuple, depth(reads).collect())) == [r for r in runs if r[3]]
+
+
+def test_bam_depth_beyond_its_size(spark, tmp_path):
+    """Parts beyond the fixture's contig size of 22000, against the SQL."""
+    from tests.oracle import connect, rows_of, rows_of_sql
+    from veridiff.queries import QUERIES, SQL
+
+    cols = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    t = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(*cols)
+    far = t.withColumn("l_partkey", F.col("l_partkey") + 40_000).withColumn("l_orderkey", F.col("l_orderkey") + 10_000_000)
+    t.unionByName(far).coalesce(1).write.parquet(f"{tmp_path}/t")
+    next((tmp_path / "t").glob("part-*.parquet")).rename(tmp_path / "lineitem.parquet")
+    got = rows_of(QUERIES["bam_depth"](spark, str(tmp_path)))
+    assert got == rows_of_sql(connect(str(tmp_path)), SQL["bam_depth"])

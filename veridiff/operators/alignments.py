@@ -56,17 +56,18 @@ def mapq_stats(reads: DataFrame) -> DataFrame:
 def depth(reads: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(chrom, start, end, depth): runs of equal depth, from 0 and half open, over the aligned blocks of mapped, kept reads.
 
-    With ``sizes`` (chrom, size) the positions without reads, of contigs that have any, are runs of depth 0.
+    With ``sizes`` (chrom, size) the positions without reads, of contigs that have any, are runs of depth 0; those end with
+    the contig, also where reads lie beyond it.
     """
     kept = reads.where(F.col("flag").bitwiseAND(F.lit(UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE)) == 0)
     runs = kept.select(F.col("rname").alias("chrom"), F.explode(blocks(reads)).alias("b")).select("chrom", "b.s", "b.e")
     steps = runs.select("chrom", F.explode(F.expr("array(struct(s as at, 1L as depth), struct(e as at, -1L as depth))")).alias("v")).select("chrom", "v.at", "v.depth")
     if sizes is not None:
         used = runs.select("chrom").distinct()
-        ends = sizes.join(used, "chrom", "left_semi").select("chrom", F.explode(F.array(F.lit(0).cast("long"), F.col("size").cast("long"))).alias("at"), F.lit(0).cast("long").alias("depth"))
-        steps = steps.unionByName(ends)
-    out = levels(steps, ["depth"])
-    return out if sizes is not None else out.where("depth > 0")
+        ends = sizes.join(used, "chrom", "left_semi").select("chrom", F.explode(F.expr("array(struct(0L as at, 0L as past), struct(cast(size as long) as at, 1L as past))")).alias("v"))
+        steps = steps.withColumn("past", F.lit(0).cast("long")).unionByName(ends.select("chrom", "v.at", F.lit(0).cast("long").alias("depth"), "v.past"))
+        return levels(steps, ["depth", "past"]).where("depth > 0 or past = 0").drop("past")
+    return levels(steps, ["depth"]).where("depth > 0")
 
 
 #: Positions of one window of running sums.
