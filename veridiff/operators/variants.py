@@ -13,12 +13,14 @@ SN = ("samples", "records", "no-ALTs", "SNPs", "MNPs", "indels", "others", "mult
 def flatten(raw: DataFrame) -> DataFrame:
     """One row per alternative; sites without one drop out; a repeated key keeps its first place and its last values.
 
-    A quality of 0 becomes missing.
+    A quality of 0 becomes missing.  Of values at the same place the larger quality, then the larger filter counts, so that
+    both sides of a comparison choose alike.
     """
     alts = F.filter(F.split(F.coalesce("alts", F.lit("")), ","), lambda a: (a != "") & (a != "."))
     rows = raw.select("chrom", "pos", "ref", F.posexplode(alts).alias("k", "alt"), "qual", "filter", "ord")
     rows = rows.withColumn("place", F.struct("ord", "k"))
-    last = F.max_by(F.struct(F.when(F.col("qual") != 0, F.col("qual").cast("double")).alias("qual"), F.coalesce("filter", F.lit("")).alias("filter")), "place").alias("v")
+    values = F.struct(F.when(F.col("qual") != 0, F.col("qual").cast("double")).alias("qual"), F.coalesce("filter", F.lit("")).alias("filter"))
+    last = F.max(F.struct("place", values.alias("v")))["v"].alias("v")
     return rows.groupBy(*KEY).agg(F.min("place").alias("place"), last).select(*KEY, "v.qual", "v.filter", "place")
 
 
