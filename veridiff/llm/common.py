@@ -69,11 +69,32 @@ def give_back() -> None:
 
 def release(spark: SparkSession) -> None:
     """Let the driver give memory back after many small jobs: what it no longer refers to, and with it the shuffles and
-    broadcasts that executors still hold for that."""
+    broadcasts that executors still hold for that, and what its JVM's C library keeps of freed memory."""
     spark.sparkContext._jvm.java.lang.System.gc()
+    trim_jvm(spark)
     give_back()
 
 
+def trim_jvm(spark: SparkSession) -> bool:
+    """Whether the driver's JVM could return freed native memory (threads, compiled code, buffers) to the system: it knows the
+    command System.trim_native_heap from Java 17.0.9 on, with glibc."""
+    sc = spark.sparkContext
+    lang, new = sc._jvm.java.lang, sc._gateway.new_array
+    try:
+        kind = lang.Class.forName
+        types = new(lang.Class, 4)
+        for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = kind(name)
+        # by the interface's method: the server's own class is not open to reflection
+        invoke = kind("javax.management.MBeanServerConnection").getMethod("invoke", types)
+        args = new(lang.Object, 4)
+        args[0], args[1] = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Exception:  # noqa: BLE001  another JVM or C library
+        return False
+    return True
+
+
 def tidy(run):
     """A batch function that gives memory back when it ends."""
 
