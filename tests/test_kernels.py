@@ -149,3 +149,20 @@ def test_values_at_one_place_are_chosen_alike(spark):
     for side in (ref, cand):
         assert {(r["qual"], r["filter"]) for r in flatten(side).collect()} == {(7.0, "q10")}
     assert vcf.exact(ref, cand).first().asDict() == {"similarity": 1.0, "n_ref": 20, "n_cand": 20, "n_both": 20, "details_equal": 20}
+
+
+SITES = "chrom string, pos long, ref string, alts string, qual double, filter string, ord long"
+
+
+@pytest.mark.parametrize("order", ["b1 b2 a1 a2", "a1 b1 a2 b2", "b1 a1 a2 b2", "a2 a1 b1 b2", "a1 a2 b1 b2"])
+def test_vcf_exact_compares_order_across_chromosomes(spark, order):
+    """Chromosomes that change places or mix, each in its own order, are another order of the whole."""
+    side = lambda names: spark.createDataFrame([(n[0], int(n[1]), "A", "C,G", 5.0, "PASS", i) for i, n in enumerate(names.split())], SITES)
+    got = vcf.exact(side("a1 a2 b1 b2"), side(order)).first().asDict()
+    assert got == {"similarity": 1.0 if order == "a1 a2 b1 b2" else 0.0, "n_ref": 8, "n_cand": 8, "n_both": 8, "details_equal": 8}
+
+
+def test_vcf_exact_keeps_sites_without_a_place(spark):
+    rows = [("a", i, "A", "C", 5.0, "PASS", None if i > 7 else i % 4) for i in range(10)]
+    ref, cand = spark.createDataFrame(rows, SITES), spark.createDataFrame(rows[::-1], SITES)
+    assert vcf.exact(ref, cand).first().asDict() == {"similarity": 1.0, "n_ref": 10, "n_cand": 10, "n_both": 10, "details_equal": 10}

@@ -48,20 +48,22 @@ def numbered(df: DataFrame, name: str, order: list[str], by: tuple[str, ...] = (
     """``df`` with row numbers from 1 in ``order`` (its first column a number), within each group of ``by``.
 
     Rows are numbered inside equal ranges of the first column, and ranges by their counts, so no task orders a whole group.
+    Rows without a value there come last.
     """
     from pyspark.sql import Window
 
     keys = list(by) or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
+    small = (lambda x: x) if by else F.broadcast  # a row, or a row a range
     at = F.col(order[0]).cast("double")
     span = rows.groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
     place = F.when(F.col("_hi") > F.col("_lo"), F.floor((at - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (buckets - 1))).otherwise(0).cast("long")
-    rows = rows.join(span, keys).withColumn("_range", place).drop("_lo", "_hi")
+    rows = rows.join(small(span), keys).withColumn("_range", F.coalesce(place, F.lit(buckets))).drop("_lo", "_hi")
     counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     before = counts.select(*keys, "_range", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    out = rows.withColumn("_inside", inside).join(before, [*keys, "_range"])
-    return out.withColumn(name, (F.col("_before") + F.col("_inside")).cast("int")).drop("_range", "_inside", "_before", "_all")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(F.col(order[0]).asc_nulls_last(), *order[1:]))
+    out = rows.withColumn("_inside", inside).join(small(before), [*keys, "_range"])
+    return out.withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before", "_all")
 
 
 def two_sided(ref: DataFrame, cand: DataFrame, key: Column, by: list[str] | None = None) -> DataFrame:

@@ -96,4 +96,4 @@ def task_scores(results: DataFrame) -> DataFrame:
 
 def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Keys in order of first appearance."""
-    return numbered(df.groupBy(*keys).agg(F.min(order).alias("first")), "place", ["first"])
+    return numbered(df.groupBy(*keys).agg(F.min(order).alias("first")), "place", ["first"]).withColumn("place", F.col("place").cast("int"))

@@ -27,13 +27,14 @@ def approximate(ref_raw: DataFrame, cand_raw: DataFrame) -> DataFrame:
 def exact(ref_raw: DataFrame, cand_raw: DataFrame) -> DataFrame:
     """1 when keys, their order, qualities and filters agree.
 
-    Order is compared pair by pair within chromosomes and over the chromosomes' first places, which is the order of the
-    whole where sites of a chromosome stand together.
+    Order is that of the whole: each key must have the same place among all keys of its side, across chromosomes too.  Keys at
+    the same place are ordered by value.  Rows without a chromosome are no sites.
     """
     a, b = V.flatten(ref_raw), V.flatten(cand_raw)
 
     def placed(df: DataFrame, p: str) -> DataFrame:
-        df = numbered(df.select(*V.KEY, "qual", "filter", F.col("place.ord").alias("_ord"), F.col("place.k").alias("_k")), "_n", ["_ord", "_k"], ("chrom",))
+        df = df.where("chrom is not null").select(*V.KEY, "qual", "filter", F.col("place.ord").alias("_ord"), F.col("place.k").alias("_k"))
+        df = numbered(df, "_n", ["_ord", "_k", *V.KEY])
         return df.select(*V.KEY, F.col("qual").alias(p + "qual"), F.col("filter").alias(p + "filter"), F.col("_n").alias(p + "n"))
 
     j = placed(a, "a").withColumn("_l", F.lit(1)).join(placed(b, "b").withColumn("_r", F.lit(1)), list(V.KEY), "full_outer")
